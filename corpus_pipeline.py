@@ -7,12 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from postlake.llm.common import shared_folder, table
+from postlake.llm.decontaminate import stage_decontaminate
 from postlake.llm.language import stage_language
 from postlake.llm.neardup import stage_near_duplicates
+from postlake.llm.packing import stage_packing
+from postlake.llm.substrings import stage_substrings
 
 STAGES = [
     ("language_id", stage_language),
     ("near_duplicates", stage_near_duplicates),
+    ("substrings", stage_substrings),
+    ("decontamination", stage_decontaminate),
+    ("packing", stage_packing),
 ]
 
 #: The stages' searches and models are beyond SQL; the tests compare them with brute force.

@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op1_decontamination
 from .language import op3_language_id
 from .neardup import op9_near_duplicates
+from .packing import op2_packing
+from .substrings import op4_repeated_passages
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
+        "op2_packing": op2_packing,
         "op3_language_id": op3_language_id,
+        "op4_repeated_passages": op4_repeated_passages,
         "op9_near_duplicates": op9_near_duplicates,
     }
 
