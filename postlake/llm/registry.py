@@ -14,6 +14,7 @@ from .packing import op2_packing
 from .quality import op10_quality
 from .substrings import op4_repeated_passages
 from .suffixes import op6_previous_factors
+from .tokenids import op7_token_blocks
 from .toxicity import op5_toxicity
 
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_repeated_passages": op4_repeated_passages,
         "op5_toxicity": op5_toxicity,
         "op6_previous_factors": op6_previous_factors,
+        "op7_token_blocks": op7_token_blocks,
         "op8_fingerprints": op8_fingerprints,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_quality": op10_quality,
