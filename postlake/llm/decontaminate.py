@@ -3,8 +3,8 @@
 Windows have sizes near those of the benchmark's items: an item of n words uses the largest
 size of SIZES that leaves STRIDE - 1 words of play, so that wherever the item stands in a
 document, one of the document's windows at multiples of STRIDE lies wholly inside it.  An
-item gives the fingerprints of all its windows of that size, and of the next size below for
-items that stand in part; an item too short for the smallest size has a size of its own and
+item gives the fingerprints of all its windows of that size, of the next size below for items
+that stand in part, and of PART words for long items that are altered throughout; an item too short for the smallest size has a size of its own and
 stride 1.  A fingerprint is the 64-bit SimHash of a window's words, weighted by their length.
 
 Two fingerprints within RADIUS bits differ in at most RADIUS // BLOCKS bits of one of their
@@ -36,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, chunks, docs_of, prefix, ragged, spans, table, words
+from .common import U64, Words, chunks, docs_of, fresh, prefix, ragged, spans, table, words
 
 SIZES = (12, 16, 24, 32, 44, 60, 88, 128, 256, 512)
 STRIDE = 4
+PART = 24
 RADIUS, BLOCKS = 11, 4
 MIN_SIMILARITY = 0.5
 SHINGLE, SLACK = 3, 4
@@ -148,7 +149,7 @@ def item_table(ids: list[int], texts: list[str]) -> Items:
     by: dict[tuple[int, int], list[int]] = {}
     for i, n in enumerate(length):
         fit = [s for s in SIZES if s + STRIDE - 1 <= n]
-        for s in fit[-2:]:
+        for s in {*fit[-2:], *(s for s in fit if s == PART)}:
             by.setdefault((s, STRIDE), []).append(i)
         if n and not fit:
             by.setdefault((int(n), 1), []).append(i)
@@ -250,5 +251,6 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold an item."""
-    bad = contaminated(docs, table(spark, sf_dir, "benchmark"), spark).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    key = fresh(docs, "__id")
+    bad = contaminated(docs, table(spark, sf_dir, "benchmark"), spark).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long") == F.col(key), "left_anti")
