@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, components, docs_of, mix, prefix, shared_checkpoints, signed, spans, table, words
+from .common import U64, chunks, components, docs_of, fresh, mix, prefix, shared_checkpoints, signed, spans, table, words
 
 K = 100
 TREES = 20
@@ -205,10 +205,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop all documents of each group but the one with the smallest doc_id; rows with the same doc_id and text stay once."""
-    drop = near_duplicates(docs, spark).where("not kept").select(F.col("doc_id").alias("__id"))
+    key = fresh(docs, "__id")
+    drop = near_duplicates(docs, spark).where("not kept").select(F.col("doc_id").alias(key))
     ids = F.col("doc_id").cast("long")
-    kept = docs.join(drop, ids == F.col("__id"), "left_anti")
+    kept = docs.join(drop, ids == F.col(key), "left_anti")
     # only rows whose id occurs again are shuffled with their texts
-    again = docs.select(ids.alias("__id")).where("__id is not null").groupBy("__id").count().where("count > 1").select("__id")
-    once = kept.join(again, ids == F.col("__id"), "left_anti")
-    return once.unionByName(kept.join(again, ids == F.col("__id"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    again = docs.select(ids.alias(key)).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    once = kept.join(again, ids == F.col(key), "left_anti")
+    return once.unionByName(kept.join(again, ids == F.col(key), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -13,7 +13,7 @@ that fills it most:
 
 Every step makes a fuller bin fuller at the cost of an emptier one, so the sum of squared
 fills grows with each and the search ends; emptied bins go.  At its end no bin can be
-improved by a step with any bin that isn't fuller.
+improved by a step with any emptier bin.
 
 Defined results: null, empty and blank texts have length 1, so every row is placed exactly
 once.  Rows with equal doc_id are placed each on its own, told apart by copy 0, 1, ... in

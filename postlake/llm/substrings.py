@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, prefix, ragged, shared_checkpoints, signed, spans, table, words
+from .common import chunks, fresh, prefix, ragged, shared_checkpoints, signed, spans, table, words
 from .seeds import EDGE, T, edge_arrays, edge_texts, grouped, merged, seeds, settled
 
 
@@ -109,13 +109,14 @@ def without_spans(texts: pa.Array, row: np.ndarray, start: np.ndarray, end: np.n
 def stage_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut the copies out of text and set n_chars; a document of which no word is left goes, all others stay."""
     copies = repeats(docs, spark).where("is_copy").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
+    held = fresh(docs, "__cuts")
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    both = packed.join(copies.select(F.col("doc_id").alias("id"), "cuts"), "id", "left").select("row.*", F.col("cuts").alias("__cuts"))
+    both = packed.join(copies.select(F.col("doc_id").alias("id"), "cuts"), "id", "left").select("row.*", F.col("cuts").alias(held))
     names, schema = docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            cuts = batch.column("__cuts")
+            cuts = batch.column(held)
             size = np.array([0 if c is None else len(c) for c in cuts.to_pylist()] if cuts.null_count < len(cuts) else [0] * len(cuts), np.int64)
             cut = np.flatnonzero(size)
             columns = {c: batch.column(c) for c in names}
