@@ -11,7 +11,9 @@ from ..functions import address as A
 from ..functions import html as H
 from ..functions import text as T
 from ..lexicon import RESERVATIONS, bounded, default_lexicon
-from ..operators import hints, projection, threads
+from ..operators import hints, projection, segmentation, threads
+from ..sinks import exports
+from ..streaming import sync
 from ..wordlists import MAIL_KINDS, NEWSLETTER_SENDERS
 from .mailbox import MAIL_SQL, _q, duplicated, mail, sql_list
 
@@ -409,3 +411,29 @@ def m04_raw_headers(spark, sf_dir):
     m = mail(spark, sf_dir)
     raw = F.concat(F.lit("Subject: old\r\nFrom: "), F.element_at("headers", F.lit("from")), F.lit("\r\nX-Long: one\r\n\ttwo\r\nnot a header\r\n dropped: x\r\nEmpty:\r\nSUBJECT: "), "subject", F.lit("\r\n\r\nBody: no\r\n"))
     return m.select("uid", F.explode(T.raw_headers(T.header_slice(raw))).alias("name", "value"))
+
+
+@query(ROWS_SQL + " SELECT thread_id, message_key, subject, date, " + ", ".join(f"array_to_string(\"{c}\", '; ') AS \"{c}\"" for c in FLAT[:3]) + ", reply_text, " + ", ".join(f"array_to_string(\"{c}\", '; ') AS \"{c}\"" for c in FLAT[3:]) + " FROM rows")
+def k04_csv_rows(spark, sf_dir):
+    return exports.csv_rows(rows(spark, sf_dir))
+
+
+# --- segmentation and incremental sync ---------------------------------------------------------------------
+@query()
+def g11_reply_text(spark, sf_dir):
+    b = segmentation.with_blocks(mail(spark, sf_dir), "uid", "body")
+    first = {k: segmentation.first_block(F.col("blocks"), k).alias(k) for k in ("salutation", "signature", "quoted", "forwarded", "disclaimer")}
+    return b.select("uid", segmentation.reply_text(F.col("blocks")).alias("reply"), *first.values(), F.size("blocks").alias("n_blocks"))
+
+
+@query("SELECT user_id AS uid, arg_max(event_type, event_id) AS body, max(event_id) AS modseq FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
+def x03_incremental_upsert(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    changes = e.select(F.lit("a").alias("account_id"), F.lit("in").alias("mailbox"), F.col("user_id").alias("uid"), F.lit(1).alias("uidvalidity"), F.col("event_id").alias("modseq"), (F.col("event_type") == "error").alias("vanished"), F.col("event_type").alias("body"))
+    return sync.visible(sync.latest(changes)).select("uid", "body", "modseq")
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def x09_windowed_counts(spark, sf_dir):
+    counts = sync.windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")

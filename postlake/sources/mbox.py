@@ -112,7 +112,7 @@ class MboxDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return MboxReader(dict(self.options))
+        return MboxReader(self.options)  # names in any case
 
 
 def read_folder(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
