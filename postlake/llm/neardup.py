@@ -10,9 +10,10 @@
    of the order is.  The candidates are each region's members with its smallest doc_id
    (hubs), and, within MIN_DEPTH, every document with its longest-common-prefix neighbours
    in the sorted order; regions of ALL_PAIRS or fewer give all their pairs.
-3. Hub candidates are verified first by their signatures' share of equal values; neighbours
-   are verified where the hubs haven't joined them already.  Groups are the connected
-   components of verified pairs.
+3. Hub candidates are verified first, and neighbours where the hubs haven't joined them
+   already.  A pair whose signatures agree in a share of THRESHOLD - PLAY or more is verified
+   by its texts: the Jaccard similarity of their shingle sets must be THRESHOLD.  Groups are
+   the connected components of verified pairs.
 
 The work is linear in documents times trees: no step lists all pairs of a crowded region,
 and none drops a document from one.
@@ -42,7 +43,8 @@ MIN_DEPTH, MAX_DEPTH = 3, 8
 REGION = 64
 ALL_PAIRS = 4
 NEIGHBOURS = 2
-THRESHOLD = 0.45  # share of equal MinHash values, an estimate of the shingles' Jaccard similarity
+THRESHOLD = 0.45  # Jaccard similarity of the shingle sets
+PLAY = 0.1  # two standard errors of the signatures' estimate of it
 SHINGLE = 3
 
 _random = np.random.default_rng(20240229)
@@ -52,27 +54,40 @@ ORDERS = [[(t * MIN_DEPTH + i) % K for i in range(MIN_DEPTH)] for t in range(TRE
 ORDERS = [o + [int(c) for c in np.random.default_rng(t).permutation(K) if c not in o][: MAX_DEPTH - MIN_DEPTH] for t, o in enumerate(ORDERS)]
 
 
-def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of text, hash of its word sequence, signature as K uint16) of the texts that have words."""
+def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of text, hash of its word sequence, its first shingle, all shingles' hashes) of the texts that have words."""
     w = words(texts)
     count = np.diff(w.bounds)
     some = np.flatnonzero(count)
-    if not len(some):
-        return some, np.zeros(0, np.int64), np.zeros((0, K), np.uint16)
     sums = prefix(w.hash)
     whole = spans(sums, w.bounds[some], w.bounds[some + 1])
     width = np.minimum(count[some], SHINGLE)
     shingles = count[some] - width + 1
     first = np.cumsum(shingles) - shingles
     at = np.arange(int(shingles.sum())) + np.repeat(w.bounds[some] - first, shingles)
-    hashes = spans(sums, at, at + np.repeat(width, shingles))
+    return some, whole, first, spans(sums, at, at + np.repeat(width, shingles))
+
+
+def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of text, hash of its word sequence, signature as K uint16) of the texts that have words."""
+    some, whole, first, hashes = shingle_hashes(texts)
     out = np.empty((len(some), K), np.uint16)
-    for k in range(K):
-        low = np.minimum.reduceat(((hashes * MULTIPLIERS[k]) >> U64(32)).astype(np.uint32), first)
-        out[:, k] = low & np.uint32(0xFFFF)
+    if len(some):
+        for k in range(K):
+            low = np.minimum.reduceat(((hashes * MULTIPLIERS[k]) >> U64(32)).astype(np.uint32), first)
+            out[:, k] = low & np.uint32(0xFFFF)
     return some, signed(whole), out
 
 
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of every text."""
+    out = [np.zeros(0, U64)] * len(texts)
+    some, _, first, hashes = shingle_hashes(texts)
+    for i, own in zip(some.tolist(), np.split(hashes, first[1:]) if len(some) else ()):
+        out[i] = np.unique(own)
+    return out
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         some, whole, sig = signatures(batch.column("text"))
@@ -166,11 +181,28 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield give([np.concatenate(x) for x in zip(*held)])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose signatures agree well enough for a look at the texts."""
     for batch in batches:
         if batch.num_rows:
             equal = np.mean(_matrix(batch.column("sa"), K, np.uint16) == _matrix(batch.column("sb"), K, np.uint16), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(equal)], names=["a", "b", "similarity"]).filter(pa.array(equal >= THRESHOLD))
+            yield batch.select(["a", "b"]).filter(pa.array(equal >= THRESHOLD - PLAY))
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose shingle sets have a Jaccard similarity of THRESHOLD; rows of one a that follow each other share its set."""
+    last, one = None, np.zeros(0, U64)
+    for batch in chunks(batches, "tb"):
+        at, left = batch.column("a").to_numpy(), batch.column("ta")
+        keep = np.zeros(batch.num_rows, np.bool_)
+        for i, other in enumerate(shingle_sets(batch.column("tb"))):
+            # texts are compared too, as rows that share a doc_id may differ in them
+            if last is None or last[0] != at[i] or last[1] != left[i]:
+                last = at[i], left[i]
+                one = shingle_sets(left.slice(i, 1))[0]
+            shared = len(np.intersect1d(one, other, assume_unique=True))
+            keep[i] = shared and shared >= THRESHOLD * (len(one) + len(other) - shared)
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -188,7 +220,13 @@ def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
     def verified(p: DataFrame) -> DataFrame:
         left = p.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
         both = left.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-        return both.select("a", "b", "sa", "sb").mapInArrow(_verify, "a bigint, b bigint, similarity double").select("a", "b")
+        alike = both.select("a", "b", "sa", "sb").mapInArrow(_alike, "a bigint, b bigint").checkpoint()
+        # only the texts of documents in such pairs are shuffled, each row of them once
+        ids = alike.select(F.col("a").alias("id")).unionByName(alike.select(F.col("b").alias("id"))).distinct()
+        texts = docs_of(docs).where("text is not null").join(ids, F.col("doc_id") == F.col("id"), "left_semi").repartition("doc_id").dropDuplicates(["doc_id", "text"])
+        right = alike.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+        both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+        return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint").distinct()
 
     hubs = components(verified(pairs.where("hub")), spark)
     root = lambda side: hubs.select(F.col("node").alias(side), F.col("root").alias("r" + side))

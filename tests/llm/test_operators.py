@@ -113,6 +113,17 @@ def test_near_duplicates_against_all_pairs(spark, table):
         assert max(len(docs[a] & docs[b]) / max(1, len(docs[a] | docs[b])) for b in groups if b != a and groups[b] == groups[a]) > 0.25
 
 
+def test_documents_that_share_half_their_text_stay_apart(spark):
+    common_text = prose(40, 110)
+    rows = [(i, f"{common_text} {prose(1000 + i, 90)}", "en") for i in range(2000)]
+    twin = rows[7][1].split()
+    rows.append((5000, " ".join(twin[:190] + ["changed"] * 3), "en"))
+    a, b = shingles(rows[0][1]), shingles(rows[1][1])
+    assert 0.35 < len(a & b) / len(a | b) < neardup.THRESHOLD
+    found = {(r["doc_id"], r["group_id"]) for r in neardup.near_duplicates(documents(spark, rows), spark).collect()}
+    assert found == {(7, 7), (5000, 7)}
+
+
 def brute_repeats(rows, t=50):
     """(doc_id, is copy, words) of every document's words in windows that occur earlier, or only later."""
     seen, places = {}, {}
