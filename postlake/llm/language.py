@@ -1,6 +1,7 @@
 """Language identification by compression.
 
-Every language has a raw-content zstandard dictionary made of labelled text.  A text is
+Every language has a raw-content zstandard dictionary made of pieces of labelled texts,
+taken from all over them.  A text is
 put in lower case and encoded with each dictionary in blocks of BLOCK bytes, each block
 afresh, so that a long text goes on being compared with the dictionaries and not with
 itself.  The language of the smallest code wins, and the text is rejected when the margin
@@ -23,10 +24,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs_of, table
+from .common import docs_of, shared_checkpoints, table
 
 SAMPLE_DOCS = 256  # labelled documents of a language that its dictionary is made of, at most
 DICT_BYTES = 64 << 10  # size of a dictionary, at most
+PIECE = 64  # characters of a text that are taken at one place
 BLOCK = 2048
 LEVEL = 3
 MIN_MARGIN = 0.01  # of the smallest code
@@ -36,21 +38,51 @@ SCHEMA = "doc_id bigint, lang_pred string, margin double, accepted boolean"
 def fit(labelled: DataFrame, lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionaries from a bounded sample: the sample_docs documents of each language with the lowest id hash.
 
-    The sample is chosen on ids alone; texts are read for the chosen ids only.  Every sampled
-    document gives an equal share of the dictionary, so that one long document can't fill it.
+    The sample is chosen on ids alone; texts are read for the chosen ids only.  The bytes of
+    a dictionary are shared equally among the sampled documents, and what short ones leave
+    goes to the longer ones, so that no long document fills it while others have more to
+    give, and few documents fill it as well as many.  A document longer than its share gives
+    pieces from every part of its text: the text is cut into as many equal parts as there are
+    pieces, and the place in each part is a hash of the id and the part's number.
     """
-    ids = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id")).where("lang is not null and doc_id is not null").distinct()
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    ids = rows.select("lang", "doc_id").where("lang is not null and doc_id is not null").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs)
-    share = max(1, dict_bytes // sample_docs)
+    shared_checkpoints(labelled.sparkSession)
     # chosen has sample_docs rows a language at most, whatever the input's size
-    rows = docs_of(labelled).join(F.broadcast(chosen), "doc_id").select("lang", "rank", F.substring(F.lower("text"), 1, share).alias("part")).where("part is not null").distinct().collect()
+    sample = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).where("text <> ''").distinct().checkpoint()
+    sizes: dict[str, list[int]] = {}
+    for r in sample.select("lang", F.octet_length("text").alias("n")).collect():
+        sizes.setdefault(r["lang"], []).append(r["n"] + 1)
+    if not sizes:
+        return {}
+    shares = labelled.sparkSession.createDataFrame([(k, level(v, dict_bytes)) for k, v in sizes.items()], "lang string, share bigint")
+    # n characters, of which the share holds most; the line feed after each piece counts
+    n, most = F.length("text").cast("long"), F.floor(F.col("share") * F.length("text") / F.octet_length("text"))
+    number = F.greatest(F.lit(1), F.floor(F.col("most") / PIECE))
+    width = F.least(F.lit(PIECE), F.greatest(F.lit(2), F.col("most"))) - 1
+    room = F.greatest(F.lit(0), F.floor(F.col("n") / F.col("number")) - F.col("width"))
+    place = lambda k: F.floor(k * F.col("n") / F.col("number")) + F.pmod(F.xxhash64("doc_id", k), F.col("room") + 1) + 1
+    pieces = F.transform(F.sequence(F.lit(0).cast("long"), F.col("number") - 1), lambda k: F.substr(F.col("text"), place(k).cast("int"), F.col("width").cast("int")))
+    sample = sample.join(F.broadcast(shares), "lang").withColumns({"n": n, "most": most}).withColumn("number", number).withColumn("width", width).withColumn("room", room)
+    part = F.when(F.octet_length("text") < F.col("share"), F.col("text")).otherwise(F.array_join(pieces, "\n"))
     parts: dict[str, list[tuple[int, str]]] = {}
-    for r in rows:
+    for r in sample.select("lang", "rank", part.alias("part")).collect():
         parts.setdefault(r["lang"], []).append((r["rank"], r["part"]))
     return {k: "\n".join(x for _, x in sorted(v)).encode()[:dict_bytes] for k, v in sorted(parts.items())}
 
 
+def level(sizes: list[int], total: int) -> int:
+    """The share of each so that together they take total, where none takes more than its size; 1 at least."""
+    left = total
+    for k, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - k) >= left:
+            return max(1, left // (len(sizes) - k))
+        left -= size
+    return total
+
+
 def coder(dictionaries: dict[str, bytes], level: int = LEVEL) -> Callable[[list], tuple[np.ndarray, np.ndarray]]:
     """A function of texts: index of the best language in sorted order (-1: none) and margin."""
     coders = []

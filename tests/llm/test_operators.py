@@ -237,6 +237,22 @@ def test_language_matches_compression_by_hand_and_labels(spark, table):
     assert np.mean([got[r["doc_id"]]["lang_pred"] == r["lang"] for r in known]) > 0.95
 
 
+def test_language_dictionaries_come_from_whole_texts(spark, table):
+    header = prose(77, 50)[:300]
+    rows = [(r["doc_id"], f"{header} {r['text']}" if k % 10 else r["text"], r["lang"]) for k, r in enumerate(table) if r["lang"] and len((r["text"] or "").split()) >= 20]
+    docs = documents(spark, rows)
+    dictionaries = language.fit(docs)
+    accepted = {r["doc_id"]: r["accepted"] for r in language.classify(docs, dictionaries).collect()}
+    assert np.mean(list(accepted.values())) > 0.97
+    # few long texts fill a dictionary, and each from all of its parts
+    long = [(i, " ".join(f"w{i}x{k:05d}" for k in range(20_000)), g) for i, g in enumerate(("en", "en", "de"))]
+    for name, d in language.fit(documents(spark, long)).items():
+        assert 0.95 * language.DICT_BYTES < len(d) <= language.DICT_BYTES
+        for i, _, g in long:
+            places = [int(x) for x in re.findall(rf"w{i}x(\d{{5}})", d.decode())]
+            assert g != name and not places or g == name and all(any(2000 * k <= x < 2000 * (k + 1) for x in places) for k in range(10))
+
+
 def test_toxicity_folding_exceptions_and_brute_force(spark, table):
     filler = prose(4, 20)
     texts = ["you idіot", "you 1D10T!", "ｉｄｉｏｔ", "take out the trash can", "an idiotproof plan", "worthle$s scum", filler, "crétin", "what a ret4rd"]
