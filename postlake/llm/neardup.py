@@ -7,16 +7,18 @@
    Documents that share the first MIN_DEPTH values of an order form a region, which is
    sorted by the values that follow.  A region of more than REGION documents is split by
    the next value, and again, down to MAX_DEPTH, so the depth adapts to how crowded a part
-   of the order is.  The candidates are each region's members with its smallest doc_id
-   (hubs), and, within MIN_DEPTH, every document with its longest-common-prefix neighbours
-   in the sorted order; regions of ALL_PAIRS or fewer give all their pairs.
-3. Hub candidates are verified first, and neighbours where the hubs haven't joined them
-   already.  A pair whose signatures agree in a share of THRESHOLD - PLAY or more is verified
-   by its texts: the Jaccard similarity of their shingle sets must be THRESHOLD.  Groups are
-   the connected components of verified pairs.
+   of the order is.  The first candidates are each region's members with its smallest doc_id
+   (hubs).  When those are verified, the trees are walked once more: all pairs of a region
+   that the hubs haven't joined, and, in regions that are crowded down to MAX_DEPTH and
+   between regions that share MIN_DEPTH values, the longest-common-prefix neighbours.
+3. A pair whose signatures agree in a share of THRESHOLD - PLAY or more is verified by its
+   texts: the Jaccard similarity of their shingle sets must be THRESHOLD.  Groups are the
+   connected components of verified pairs.
 
-The work is linear in documents times trees: no step lists all pairs of a crowded region,
-and none drops a document from one.
+A pair of similarity THRESHOLD shares the first values of some tree with probability 0.96.
+
+The work is linear in documents times trees: no step lists all pairs of a region of more
+than REGION documents, and none drops a document from one.
 
 Defined results: null and empty texts and texts without a word are in no group.  Texts of
 one or two words have their word sequence as the only shingle.  Rows with the same doc_id
@@ -38,12 +40,12 @@ from pyspark.sql import functions as F
 from .common import U64, chunks, components, docs_of, fresh, mix, prefix, shared_checkpoints, signed, spans, table, words
 
 K = 100
-TREES = 20
+TREES = 33
 MIN_DEPTH, MAX_DEPTH = 3, 8
-REGION = 64
-ALL_PAIRS = 4
+REGION = 32
 NEIGHBOURS = 2
 THRESHOLD = 0.45  # Jaccard similarity of the shingle sets
+FILTER_BITS = 1 << 25  # of the bitmap that keeps texts without candidates from being shuffled
 PLAY = 0.1  # two standard errors of the signatures' estimate of it
 SHINGLE = 3
 
@@ -100,7 +102,7 @@ def _matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key of tree and first values, label of the values that follow, doc_id) of every document and tree."""
+    """(key of tree and first values, label of the values that follow, doc_id, root) of every document and tree."""
     for batch in batches:
         sig = _matrix(batch.column("sig"), K, np.uint16)
         for t, order in enumerate(ORDERS):
@@ -110,14 +112,18 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             label = sig[:, order[MIN_DEPTH:]].astype(U64)
             packed = label[:, 0] << U64(48) | label[:, 1] << U64(32) | label[:, 2] << U64(16) | label[:, 3]
             # the sign is flipped so that signed order is the order of the values
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(packed ^ U64(1 << 63))), pa.array(label[:, 4].astype(np.int32)), batch.column("doc_id")], names=["key", "label", "last", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(packed ^ U64(1 << 63))), pa.array(label[:, 4].astype(np.int32)), batch.column("doc_id"), batch.column("root")], names=["key", "label", "last", "doc_id", "root"])
 
 
-def forest_pairs(key: np.ndarray, label: np.ndarray, last: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, hub?) of rows sorted by key, label, last: the candidates of step 2."""
+def forest_pairs(key: np.ndarray, label: np.ndarray, last: np.ndarray, doc: np.ndarray, root: np.ndarray, hubs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of rows sorted by key, label, last: the candidates of step 2, with hubs or of the others that differ in root."""
+    some = np.zeros(len(key), np.bool_)
+    some[1:] = key[1:] == key[:-1]
+    some[:-1] |= some[1:]
+    key, label, last, doc, root = (x[some] for x in (key, label, last, doc, root))
     n = len(key)
     if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.bool_)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     same = key[1:] == key[:-1]
     diff = label[1:].view(U64) ^ label[:-1].view(U64)
     lcp = np.where(same, MIN_DEPTH, 0)
@@ -126,44 +132,44 @@ def forest_pairs(key: np.ndarray, label: np.ndarray, last: np.ndarray, doc: np.n
     lcp = np.where(same & (diff == 0) & (last[1:] == last[:-1]), MAX_DEPTH, lcp)
     found = []
     open_ = np.ones(n, np.bool_)
+    area, small = np.zeros(n, np.int64), np.zeros(n, np.bool_)
     for depth in range(MIN_DEPTH, MAX_DEPTH + 1):
         region = np.concatenate([[0], np.cumsum(lcp < depth)])
         start = np.flatnonzero(np.concatenate([[True], lcp < depth]))
         size = np.diff(np.append(start, n))
-        hub = np.minimum.reduceat(doc, start)
         done = open_ & (size[region] <= REGION) if depth < MAX_DEPTH else open_
-        found.append((hub[region[done]], doc[done], True))
-        if depth == MIN_DEPTH:
+        if hubs:
+            hub = np.minimum.reduceat(doc, start)[region]
             # a crowded region also keeps a hub at its least depth
-            found.append((hub[region], doc, True))
-            small = size[region] <= ALL_PAIRS
+            found.append((hub, doc) if depth == MIN_DEPTH else (hub[done], doc[done]))
+        area[done], small[done] = depth * n + region[done], size[region[done]] <= REGION
         open_ &= ~done
-    for step in range(1, max(NEIGHBOURS, ALL_PAIRS - 1) + 1):
-        if n <= step:
+    for step in range(1, 1 if hubs else min(n, REGION)):
+        near = (area[step:] == area[:-step]) & small[step:]
+        if step <= NEIGHBOURS:
+            near |= key[step:] == key[:-step]
+        elif not near.any():
             break
-        near = key[step:] == key[:-step]
-        if step > NEIGHBOURS:
-            near &= small[step:]
-        found.append((doc[:-step][near], doc[step:][near], False))
-    a = np.concatenate([np.minimum(x, y) for x, y, _ in found])
-    b = np.concatenate([np.maximum(x, y) for x, y, _ in found])
-    hubs = np.concatenate([np.full(len(x), h) for x, _, h in found])
+        near &= root[step:] != root[:-step]
+        found.append((doc[:-step][near], doc[step:][near]))
+    a = np.concatenate([np.minimum(x, y) for x, y in found])
+    b = np.concatenate([np.maximum(x, y) for x, y in found])
     keep = a != b
-    return a[keep], b[keep], hubs[keep]
+    return a[keep], b[keep]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], hubs: bool) -> Iterator[pa.RecordBatch]:
     """Candidates of a sorted partition; the rows of the last key wait for the next batch."""
     held: list[list[np.ndarray]] = []
-    names = ("key", "label", "last", "doc_id")
+    names = ("key", "label", "last", "doc_id", "root")
 
     def give(rows: list[np.ndarray]) -> pa.RecordBatch:
-        a, b, hub = forest_pairs(*rows)
-        order = np.lexsort((~hub, b, a))
-        a, b, hub = a[order], b[order], hub[order]
+        a, b = forest_pairs(*rows, hubs)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
         first = np.ones(len(a), np.bool_)
         first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(hub[first])], names=["a", "b", "hub"])
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], names=["a", "b"])
 
     for batch in batches:
         new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
@@ -205,33 +211,50 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _among(rows: DataFrame, ids: DataFrame, spark: SparkSession) -> DataFrame:
+    """rows without most of those whose doc_id is not in ids, by a bitmap of hashes of bounded size."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS).cast("long"))
+    slots = ids.select(place("id").alias("p")).groupBy((F.col("p") / 8).cast("long").alias("byte")).agg(F.bit_or(F.pow(F.lit(2), F.col("p") % 8).cast("int")).cast("short").alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    bitmap[slots.column("byte").to_numpy()] = slots.column("bits").to_numpy()
+    sent = spark.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column("p").to_numpy()
+            yield batch.select(["doc_id", "text"]).filter(pa.array((sent.value[p // 8] >> (p % 8).astype(np.uint8) & 1).astype(np.bool_)))
+
+    return rows.withColumn("p", place("doc_id")).mapInArrow(run, "doc_id bigint, text string")
+
+
 def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """(doc_id, group_id, kept) of every document that has a copy or near copy; group_id is the group's smallest doc_id."""
     shared_checkpoints(spark)
     signed_docs = docs_of(docs).where("doc_id is not null").mapInArrow(_sign, "doc_id bigint, whole bigint, sig binary").checkpoint()
     unique = signed_docs.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"))
     exact = signed_docs.join(unique.select("whole", F.col("doc_id").alias("first")), "whole").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    trees = unique.select("doc_id", "sig").mapInArrow(_orders, "key bigint, label bigint, last int, doc_id bigint")
-    pairs = trees.repartition("key").sortWithinPartitions("key", "label", "last", "doc_id").mapInArrow(_candidates, "a bigint, b bigint, hub boolean")
-    pairs = pairs.groupBy("a", "b").agg(F.max("hub").alias("hub")).checkpoint()
     # one signature a document: the smallest of those that share a doc_id
     sigs = unique.groupBy("doc_id").agg(F.min("sig").alias("sig"))
 
+    def pairs(rows: DataFrame, hubs: bool) -> DataFrame:
+        trees = rows.select("doc_id", "sig", "root").mapInArrow(_orders, "key bigint, label bigint, last int, doc_id bigint, root bigint")
+        found = trees.repartition("key").sortWithinPartitions("key", "label", "last", "doc_id").mapInArrow(lambda batches: _candidates(batches, hubs), "a bigint, b bigint")
+        return found.distinct()
+
     def verified(p: DataFrame) -> DataFrame:
         left = p.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
         both = left.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
         alike = both.select("a", "b", "sa", "sb").mapInArrow(_alike, "a bigint, b bigint").checkpoint()
         # only the texts of documents in such pairs are shuffled, each row of them once
         ids = alike.select(F.col("a").alias("id")).unionByName(alike.select(F.col("b").alias("id"))).distinct()
-        texts = docs_of(docs).where("text is not null").join(ids, F.col("doc_id") == F.col("id"), "left_semi").repartition("doc_id").dropDuplicates(["doc_id", "text"])
+        texts = _among(docs_of(docs).where("doc_id is not null and text is not null"), ids, spark).join(ids, F.col("doc_id") == F.col("id"), "left_semi").repartition("doc_id").dropDuplicates(["doc_id", "text"])
         right = alike.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
         both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint").distinct()
 
-    hubs = components(verified(pairs.where("hub")), spark)
-    root = lambda side: hubs.select(F.col("node").alias(side), F.col("root").alias("r" + side))
-    rest = pairs.where("not hub").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    hubs = components(verified(pairs(unique.withColumn("root", F.lit(0).cast("long")), True)), spark)
+    joined = unique.join(hubs, F.col("doc_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rest = pairs(joined, False)
     edges = exact.unionByName(hubs.select(F.col("root").alias("a"), F.col("node").alias("b"))).unionByName(verified(rest))
     groups = components(edges, spark)
     return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), F.lit(False).alias("kept")).unionByName(groups.select("root").distinct().select(F.col("root").alias("doc_id"), F.col("root").alias("group_id"), F.lit(True).alias("kept")))

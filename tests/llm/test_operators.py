@@ -124,6 +124,24 @@ def test_documents_that_share_half_their_text_stay_apart(spark):
     assert found == {(7, 7), (5000, 7)}
 
 
+def test_near_duplicates_at_the_threshold_and_in_crowds(spark):
+    rows, pairs = [], []
+    for i in range(300):
+        w = prose(5000 + i, 200)
+        rows += [(2 * i, w, "en"), (2 * i + 1, " ".join(w.split()[: 126 + i % 8]) + " " + prose(6000 + i, 74 - i % 8), "en")]
+        pairs.append((2 * i, 2 * i + 1))
+    crowd = prose(41, 100)
+    for i in range(300):
+        own = prose(7000 + i, 60)
+        rows += [(1000 + 2 * i, f"{crowd} {own} {prose(8000 + i, 40)}", "en"), (1001 + 2 * i, f"{crowd} {own} {prose(9000 + i, 40)}", "en")]
+    for a, b in pairs:
+        x, y = shingles(rows[a][1]), shingles(rows[b][1])
+        assert neardup.THRESHOLD <= len(x & y) / len(x | y) < 0.52
+    groups = {r["doc_id"]: r["group_id"] for r in neardup.near_duplicates(documents(spark, rows), spark).collect()}
+    assert np.mean([groups.get(a, -1) == groups.get(b, -2) for a, b in pairs]) >= 0.9
+    assert np.mean([groups.get(1000 + 2 * i, -1) == groups.get(1001 + 2 * i, -2) == 1000 + 2 * i for i in range(300)]) >= 0.9
+
+
 def brute_repeats(rows, t=50):
     """(doc_id, is copy, words) of every document's words in windows that occur earlier, or only later."""
     seen, places = {}, {}
