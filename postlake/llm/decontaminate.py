@@ -5,7 +5,9 @@ size of SIZES that leaves STRIDE - 1 words of play, so that wherever the item st
 document, one of the document's windows at multiples of STRIDE lies wholly inside it.  An
 item gives the fingerprints of all its windows of that size, of the next size below for items
 that stand in part, and of PART words for long items that are altered throughout; an item too short for the smallest size has a size of its own and
-stride 1.  A fingerprint is the 64-bit SimHash of a window's words, weighted by their length.
+stride 1.  Items of under SHORT words, which have few windows to be found by when they stand
+in part or altered, also give all windows of SHORT_PART words, those under twice that of SHORTEST_PART,
+at stride 1.  A fingerprint is the 64-bit SimHash of a window's words, weighted by their length.
 
 Two fingerprints within RADIUS bits differ in at most RADIUS // BLOCKS bits of one of their
 BLOCKS blocks.  The index lists, for each block and value, the item windows whose block is
@@ -41,6 +43,7 @@ from .common import U64, Words, chunks, docs_of, fresh, prefix, ragged, spans, t
 SIZES = (12, 16, 24, 32, 44, 60, 88, 128, 256, 512)
 STRIDE = 4
 PART = 24
+SHORT, SHORT_PART, SHORTEST_PART = 20, 8, 4
 RADIUS, BLOCKS = 11, 4
 MIN_SIMILARITY = 0.5
 SHINGLE, SLACK = 3, 4
@@ -153,6 +156,8 @@ def item_table(ids: list[int], texts: list[str]) -> Items:
             by.setdefault((s, STRIDE), []).append(i)
         if n and not fit:
             by.setdefault((int(n), 1), []).append(i)
+        if SHINGLE < n < SHORT:
+            by.setdefault((SHORT_PART if n >= 2 * SHORT_PART else int(min(n - 1, SHORTEST_PART)), 1), []).append(i)
     sums, first = runs(w, 1)
     found = []
     for (size, stride), members in sorted(by.items()):

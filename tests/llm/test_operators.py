@@ -213,6 +213,29 @@ def test_decontamination_catches_altered_items_and_leaves_clean_documents(spark)
     assert got == {(i, i) for i, _ in items} | {(20 + i, i) for i, _ in items}
 
 
+@pytest.mark.parametrize("n", (6, 8, 10, 13, 16, 19))
+def test_short_items_in_part_and_altered_against_similarity(n):
+    items = [prose(300 + 40 * n + i, n).split() for i in range(150)]
+    table = decontaminate.item_table(list(range(150)), [" ".join(w) for w in items])
+    indexes = table.indexes()
+    size = lambda s: sum(len("".join(x)) for x in s)
+    triples = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    for replaced, share in ((True, 0.1), (True, 0.2), (False, 0.3), (False, 0.4)):
+        docs, want = [], set()
+        for i, w in enumerate(items):
+            r, k = random.Random(i), round(share * n)
+            if replaced:
+                hit = r.sample(range(n), k)
+                there = [f"zz{x}" if j in hit else x for j, x in enumerate(w)]
+            else:
+                there = w[k:] if i % 2 else w[: n - k]
+            docs.append(f"{prose(20 + i, r.randrange(1, 40))} {' '.join(there)} {prose(900 + i, 40)}")
+            if size(triples(w) & triples(there)) >= decontaminate.MIN_SIMILARITY * size(triples(w)):
+                want.add((i, i))
+        got = {x[:2] for x in decontaminate.scan(table, indexes, common.words(pa.array(docs)))}
+        assert len(want) > 10 and len(want & got) >= 0.95 * len(want)
+
+
 def squares(bins, sizes):
     return sum(sum(sizes[i] for i in b) ** 2 for b in bins)
 
