@@ -5,24 +5,32 @@ documents of a portion are laid end to end and cut into blocks of BLOCK ids.  Ev
 starts from a fresh model, so it decodes alone, and carries the CRC-32 of its ids.
 
 The coder is a range coder with 16-bit digits and carries.  Before each id an order-2 and an
-order-1 context (the last two ids, the last one) each predict the id that followed last time,
-with a confidence.  A binary decision "it is the order-2 prediction" and, failing that, "it is
-the order-1 prediction" are coded with probabilities that a logistic mixer makes of adaptive
-estimates per confidence of the orders and of an order-0 estimate of how often predictions
-come true; the mixer's weights learn from each outcome.  An id that neither order predicts is
-coded by the order-0 frequencies of its high part and, given a group of high parts, of its
-low byte.  All arithmetic is in integers, so the decoder repeats the encoder's on any machine.
-
-The blocks of a portion are coded side by side, one array operation for all of them.
+order-1 context (the last two ids, the last one) each predict the id that followed last time.
+"It is the order-2 prediction" and, failing that, "it is the order-1 prediction" are coded
+with probabilities that are mixed, in the logistic domain, of three estimates: one by how
+often the order-2 prediction has held in a row, one by the same of order 1 and whether the
+two agree, one by how often the predicted id has occurred at all (order 0).  An estimate is
+the share of predictions of its class that have come true in the block; its weight in the
+mixture falls with the code length that it alone would have cost so far.  Estimates and
+weights are renewed every CHUNK ids.  An id that neither order predicts is coded by the
+order-0 frequencies of its high part and, given a group of high parts, of its low byte.  All
+arithmetic is in integers, so the decoder repeats the encoder's on any machine.
+
+As the encoder knows all ids, it finds every prediction, class and probability of LANES
+blocks by sorting and counting; only the coder's interval goes step by step, one array
+operation for all blocks.
 
 Defined results: null and empty texts have no ids and stand in a block with count 0.  A long
-text runs over several blocks; start tells where in its ids each part begins.  Repeated rows
-are coded each on their own, a null doc_id is carried through, other columns are ignored.
+text runs over several blocks; start tells where in its ids each part begins.  It is made
+into ids part by part, and its blocks are coded LANES at a time.  Repeated rows are coded each
+on their own, a null doc_id is carried through, other columns are ignored, an empty table
+gives no block.  Vocabularies may have up to 2**20 ids.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -33,235 +41,394 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import U64, chunks, docs_of, prefix, ragged, spans, table, text_bytes
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # unless the session names another in VOCABULARY_CONF
+VOCABULARY_CONF = "spark.postlake.vocabulary"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 4096
+LANES, ROWS = 1024, 128  # blocks that are coded side by side, blocks whose steps are found together
 PORTION_BYTES = 8 << 20
-KNOWN = 1_000_000  # pieces of text whose ids a worker remembers
-SCHEMA = "doc_ids array<bigint>, starts array<int>, counts array<int>, n_ids int, crc bigint, payload binary"
-SLOTS1, SLOTS2 = 12, 13  # bits of the contexts' table places
-GROUP = 3  # bits of the high part that don't choose the low byte's table
-INCREMENT = 24
+KNOWN, PLACE_BITS = 1_000_000, 21  # pieces of text whose ids a worker remembers, bits of their places by hash
+SCHEMA = "doc_ids array<bigint>, starts array<int>, counts array<int>, n_ids int, high_parts int, crc bigint, payload binary"
+SLOT_BITS = 14  # of the contexts' table places
+CHUNK = 64
+GROUPS = 32  # of high parts, each with a table of low bytes
+INCREMENT = 13
 REFRESH = (32, 96, 256, 512, 1024, 2048, 3072)
 I64 = np.int64
 WHOLE = 1 << 16
+NO_ID = 0xFFFFFF
 
-#: squash(x) = 4096 / (1 + e^-x/256), and stretch, its inverse, as tables of integers.
+#: SQUASH[x + 2047] = 4096 / (1 + e^-x/256), STRETCH is its inverse, COST the code length of a probability in 1/16 bits.
 _x = np.arange(-2047, 2048)
-SQUASH = np.clip(np.round(4096 / (1 + np.exp(-_x / 256.0))), 1, 4095).astype(I64)
-STRETCH = np.clip(np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(I64)
+SQUASH = np.clip(np.round(4096 / (1 + np.exp(-_x / 256.0))), 1, 4095).astype(np.int32)
+STRETCH = np.clip(np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -2047, 2047).astype(np.int32)
+COST = np.round(-16 * np.log2(np.maximum(np.arange(4097), 0.5) / 4096)).astype(I64)
+#: The weight of an estimate by the code length it is behind the best, in units of 1/16 bits times SLOWLY.
+SLOWLY = 32
+WEIGHT = np.maximum(1, np.round(WHOLE * 2.0 ** (-np.arange(257) / 16.0))).astype(I64)
+GAIN = 19  # of the mixture, in sixteenths
+LEVEL = np.minimum(7, np.floor(np.log2(np.maximum(1, np.arange(BLOCK + 2))))).astype(np.int32)
+
+
+def slot1(last: np.ndarray) -> np.ndarray:
+    return ((last.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - SLOT_BITS)).astype(np.uint16)
+
+
+def slot2(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    mixed = last.astype(np.uint32) * np.uint32(2654435761) + before.astype(np.uint32) * np.uint32(2246822519)
+    return (((mixed ^ (mixed >> np.uint32(15))) * np.uint32(3266489917)) >> np.uint32(32 - SLOT_BITS)).astype(np.uint16)
+
+
+def shares(tried: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The estimated probabilities, of 4096, from counts of tries and of those that came true."""
+    return np.clip((held * 8 + 4) * 4096 // (tried * 8 + 8), 8, 4088)
+
+
+def spent(p: np.ndarray, tried: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Code length of counts under p, summed over the classes."""
+    return (held * COST[p] + (tried - held) * COST[4096 - p]).sum(axis=-1)
+
+
+def parts(p: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """What each estimate and class adds to the mixture: its weight times its stretched probability."""
+    behind = np.minimum((cost - cost.min(axis=-1, keepdims=True)) // SLOWLY, 256)
+    w = WEIGHT[behind]
+    return (STRETCH[p] * ((w << 16) // w.sum(axis=-1, keepdims=True) * GAIN >> 4)[..., None]).astype(np.int32)
+
+
+def classes(which: int, c1: np.ndarray, c2: np.ndarray, agree: np.ndarray, level: np.ndarray) -> list[np.ndarray]:
+    """The class, below 8, that each of the three estimates takes a prediction of order 2 (which 0) or 1 (which 1) to be in."""
+    if which == 0:
+        return [c2, np.where(c1 == 0, 0, 1 + np.minimum(c1 - 1, 2) + 3 * agree), level]
+    return [c2, c1, level]
+
+
+def intervals(ask2: np.ndarray, p2: np.ndarray, ask1: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of WHOLE that "order 2" and then "order 1" take."""
+    a = np.where(ask2, p2 << 4, 0)
+    left = WHOLE - a
+    return a, np.where(ask1, np.clip(left * p1 >> 12, 1, left - 1), 0)
+
+
+def high_parts(vocabulary: int) -> int:
+    """The number of high parts of ids, a power of two from 256."""
+    n = 256
+    while n << 8 < vocabulary:
+        n <<= 1
+    if n > 4096:
+        raise ValueError("the vocabulary has more than 2**20 ids")
+    return n
+
+
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Where in WHOLE the symbols begin whose frequencies are 1 + INCREMENT * counts (last axis), and the end."""
+    sums = np.zeros((*counts.shape[:-1], counts.shape[-1] + 1), np.int32)
+    np.cumsum(counts * INCREMENT + 1, axis=-1, out=sums[..., 1:], dtype=np.int32)
+    return (sums.astype(I64) * WHOLE // sums[..., -1:]).astype(np.int32)
+
+
+def _follow(ids: np.ndarray, slot: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(predicted id, how often in a row it was right plus one or 0 for none, its level) at each place of the rows."""
+    n, most = ids.shape
+    at = (np.argsort(slot, axis=1, kind="stable") + (np.arange(n) * most)[:, None]).ravel()
+    s, x = slot.ravel()[at], ids.ravel()[at]
+    some = np.zeros(n * most, np.bool_)
+    some[1:] = s[1:] == s[:-1]
+    some[:: most] = False
+    q = np.full(n * most, -1, np.int32)
+    q[1:] = np.where(some[1:], x[:-1], -1)
+    place = np.arange(n * most, dtype=np.int32)
+    missed = np.maximum.accumulate(np.where(q != x, place, 0))
+    run = np.zeros(n * most, np.int32)
+    run[1:] = np.where(some[1:], np.minimum(place[:-1] - missed[:-1], 6) + 1, 0)
+    high = np.zeros(n * most, np.int32)
+    high[1:] = level.ravel()[at[:-1]]
+    out = np.empty((3, n * most), np.int32)
+    out[:, at] = q, run, high
+    return tuple(out.reshape(3, n, most))
+
+
+def _occurrences(ids: np.ndarray) -> np.ndarray:
+    """How often the id of each place has occurred in its row, itself included; ids that agree in 16 bits count together."""
+    n, most = ids.shape
+    at = (np.argsort((ids & 0xFFFF).astype(np.uint16), axis=1, kind="stable") + (np.arange(n) * most)[:, None]).ravel()
+    x = (ids & 0xFFFF).ravel()[at]
+    new = np.ones(n * most, np.bool_)
+    new[1:] = x[1:] != x[:-1]
+    new[:: most] = True
+    place = np.arange(n * most, dtype=np.int32)
+    out = np.empty(n * most, np.int32)
+    out[at] = place - np.maximum.accumulate(np.where(new, place, 0)) + 1
+    return out.reshape(n, most)
+
+
+def _probabilities(asked: np.ndarray, held: np.ndarray, of: list[np.ndarray], n: int, most: int) -> np.ndarray:
+    """The mixed probabilities, of 4096, of the predictions at the flat places asked, with whether they held."""
+    number = -(-most // CHUNK)
+    base = (asked // most * number + asked % most // CHUNK) * 8
+    at = [base + c[asked] for c in of]
+    size = n * number * 8
+    tried = np.stack([np.bincount(k, minlength=size).reshape(n, number, 8) for k in at], axis=2)
+    came = np.stack([np.bincount(k[held], minlength=size).reshape(n, number, 8) for k in at], axis=2)
+    p = shares(np.cumsum(tried, axis=1) - tried, np.cumsum(came, axis=1) - came)
+    cost = spent(p, tried, came)
+    part = parts(p, np.cumsum(cost, axis=1) - cost)
+    dot = sum(part[:, :, k].ravel()[at[k]] for k in range(3)) >> 16
+    return SQUASH[np.clip(dot, -2047, 2047) + 2047]
+
+
+def _literals(x: np.ndarray, row: np.ndarray, place: np.ndarray, n: int, high_parts: int) -> tuple[np.ndarray, ...]:
+    """(start and size of the high part, start and size of the low byte) of the literal ids x at the given places."""
+    high, low = x >> 8, x & 255
+    group = high * GROUPS // high_parts
+    out = np.empty((4, len(x)), np.int32)
+    highs, lows = np.ones((n, high_parts), np.int32), np.ones((n, GROUPS, 256), np.int32)
+    epoch = np.searchsorted(REFRESH, place, "right")
+    for e in range(len(REFRESH) + 1):
+        mine = np.flatnonzero(epoch == e)
+        if len(mine):
+            r, h, c = row[mine], high[mine], low[mine]
+            rg = r * GROUPS + group[mine]
+            for k, counts, key, line in ((0, highs, h, r), (2, lows, c, rg)):
+                sums = np.cumsum(counts, axis=-1, dtype=np.int32).reshape(-1, counts.shape[-1])
+                total, end = sums[line, -1].astype(I64), sums[line, key].astype(I64)
+                start = (end - counts.reshape(sums.shape)[line, key]) * WHOLE // total
+                out[k, mine], out[k + 1, mine] = start, end * WHOLE // total - start
+            highs += INCREMENT * np.bincount(r * high_parts + h, minlength=highs.size).reshape(highs.shape).astype(np.int32)
+            lows += INCREMENT * np.bincount(rg * 256 + c, minlength=lows.size).reshape(lows.shape).astype(np.int32)
+    return tuple(out)
+
+
+def _steps(ids: np.ndarray, size: np.ndarray, high_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of coding steps of each row; row, number, start and width of every step) of rows of ids."""
+    n, most = ids.shape
+    inside = (np.arange(most)[None, :] < size[:, None]).ravel()
+    last, before = np.full((n, most), NO_ID, np.int32), np.full((n, most), NO_ID, np.int32)
+    last[:, 1:], before[:, 2:] = ids[:, :-1], ids[:, :-2]
+    level = LEVEL[_occurrences(ids)]
+    q1, c1, l1 = (x.ravel() for x in _follow(ids, slot1(last), level))
+    q2, c2, l2 = (x.ravel() for x in _follow(ids, slot2(last, before), level))
+    x = ids.ravel()
+    agree, has2 = q1 == q2, (c2 > 0) & inside
+    hit2 = has2 & (q2 == x)
+    asks1 = (c1 > 0) & inside & ~hit2 & ~(has2 & agree)
+    hit1 = asks1 & (q1 == x)
+    literal = inside & ~hit2 & ~hit1
+    asked = has2 | asks1
+    first, second = np.zeros(n * most, np.int32), np.zeros(n * most, np.int32)
+    at = np.flatnonzero(has2)
+    first[at] = _probabilities(at, hit2[at], classes(0, c1, c2, agree, l2), n, most) << 4
+    at = np.flatnonzero(asks1)
+    left = WHOLE - first[at]
+    second[at] = np.clip(left * _probabilities(at, hit1[at], classes(1, c1, c2, agree, l1), n, most) >> 12, 1, left - 1)
+    step = asked.astype(np.uint8) + (literal.astype(np.uint8) << 1)
+    place = np.cumsum(step.reshape(n, most), axis=1, dtype=np.int32)
+    number = place[:, -1].astype(I64)
+    place = place.ravel() - step
+    at = np.flatnonzero(asked)
+    a, b, two, one = first[at], second[at], hit2[at], hit1[at]
+    start = np.where(two, 0, np.where(one, a, a + b))
+    width = np.where(two, a, np.where(one, b, WHOLE - a - b))
+    there = np.flatnonzero(literal)
+    k = place[there] + asked[there]
+    row = there // most
+    s1, w1, s2, w2 = _literals(x[there], row, there % most, n, high_parts)
+    return number, np.concatenate([at // most, row, row]), np.concatenate([place[at], k, k + 1]), np.concatenate([start, s1, s2]), np.concatenate([width, w1, w2])
+
+
+def _encode(blocks: list[np.ndarray], high_parts: int) -> list[bytes]:
+    n, most = len(blocks), max(map(len, blocks))
+    if not most:
+        return [b""] * n
+    size = np.array([len(b) for b in blocks])
+    found = []
+    for lot in range(0, n, ROWS):
+        own = size[lot : lot + ROWS]
+        ids = np.zeros((len(own), most), np.int32)
+        for i, b in enumerate(blocks[lot : lot + ROWS]):
+            ids[i, : len(b)] = b
+        found.append(_steps(ids, own, high_parts))
+    number = np.concatenate([x[0] for x in found])
+    order = np.argsort(-number, kind="stable")
+    number = number[order]
+    room = int(number[0]) + 4
+    starts, widths = np.zeros(n * room, np.uint16), np.zeros(n * room, np.uint16)
+    for lot, (_, row, step, start, width) in enumerate(found):
+        at = (row + lot * ROWS) * room + step
+        starts[at], widths[at] = start, width
+    starts, widths = starts.reshape(n, room), widths.reshape(n, room)
+    low, whole = np.zeros(n, U64), np.full(n, (1 << 48) - 1, U64)
+    row = np.arange(n) * room
+    digits, end = np.zeros(n * room, np.uint32), row.copy()
+    live = np.searchsorted(-number, -np.arange(room - 4), "left").tolist()
+    sixteen, thirty_two, least, rest = U64(16), U64(32), U64(1 << 32), U64(0xFFFFFFFF)
+    for lot in range(0, len(live), 64):
+        begin, part = (x[order, lot : lot + 64].T.astype(U64, order="C") for x in (starts, widths))
+        for k, m in enumerate(live[lot : lot + 64]):
+            lo, wi, en = low[:m], whole[:m], end[:m]
+            unit = wi >> sixteen
+            lo += unit * begin[k, :m]
+            np.multiply(unit, part[k, :m], out=wi)
+            small = (wi < least).nonzero()[0]
+            if len(small):
+                place, value = en[small], lo[small]
+                digits[place] = value >> thirty_two
+                en[small] = place + 1
+                lo[small] = (value & rest) << sixteen
+                wi[small] <<= sixteen
+    for _ in range(3):
+        digits[end] = low >> thirty_two
+        end += 1
+        low = (low & rest) << sixteen
+    carry = np.flatnonzero(digits >> 16)
+    while len(carry):
+        digits[carry] &= 0xFFFF
+        carry -= 1
+        digits[carry] += 1
+        carry = carry[digits[carry] >> 16 > 0]
+    out = [b""] * n
+    for i, of in enumerate(order.tolist()):
+        if size[of]:
+            out[of] = digits[row[i] : end[i]].astype("<u2").tobytes()
+    return out
+
+
+def encode(blocks: list[np.ndarray], high_parts: int = 256) -> list[bytes]:
+    """The coded form of each block of ids."""
+    out: list[bytes] = []
+    for k in range(0, len(blocks), LANES):
+        out += _encode(blocks[k : k + LANES], high_parts)
+    return out
 
 
 class Model:
-    """The models of n blocks, which move on id by id together."""
+    """The models of n blocks, which the decoder moves on id by id together."""
 
-    def __init__(self, n: int) -> None:
-        self.n = n
+    def __init__(self, n: int, high_parts: int) -> None:
         self.lane = np.arange(n)
-        self.one, self.two = np.zeros(n << SLOTS1, np.int32), np.zeros(n << SLOTS2, np.int32)
-        # estimates that a prediction comes true, in 16 bits: by both confidences, by the order-1 confidence, in all
-        self.by2 = np.full(n * 64, WHOLE // 2, I64)
-        self.by1 = np.full(n * 8, WHOLE // 2, I64)
-        self.all = np.full((2, n), WHOLE // 2, I64)
-        self.weight = np.full((2, 2, n), 45_000, I64)
-        self.high = np.ones((n, 256), I64)
-        self.low = np.ones((n, 256 >> GROUP, 256), np.int32)
-        self.before, self.last = np.full(n, 0xFFFF), np.full(n, 0xFFFF)
+        self.high_parts = high_parts
+        self.tables = [np.zeros((3, n << SLOT_BITS), np.int32) for _ in range(2)]  # of order 1 and 2: id, in a row, level
+        for x in self.tables:
+            x[0] = -1
+        self.seen = np.zeros(n << 16, np.int16)
+        # by decision, block, estimate and class: tried, came true; those of this chunk apart
+        self.old, self.new = np.zeros((2, 2, n, 3, 8), I64), np.zeros((2, 2, n, 3, 8), I64)
+        self.cost = np.zeros((2, n, 3), I64)
+        self.p = shares(self.old[:, 0], self.old[:, 1])
+        self.part = parts(self.p, self.cost)
+        self.highs, self.lows = np.zeros((n, high_parts), np.int32), np.zeros((n, GROUPS, 256), np.int32)
+        self.last, self.before = np.full(n, NO_ID, np.int32), np.full(n, NO_ID, np.int32)
         self.refresh()
 
     def refresh(self) -> None:
-        self.high_sums = np.zeros((self.n, 257), I64)
-        np.cumsum(self.high, axis=1, out=self.high_sums[:, 1:])
-        self.low_sums = np.zeros((self.n, 256 >> GROUP, 257), np.int32)
-        np.cumsum(self.low, axis=2, out=self.low_sums[:, :, 1:], dtype=np.int32)
-
-    def look(self, k: int) -> None:
-        """Find the predictions of the first k blocks."""
-        lane, last, before = self.lane[:k], self.last[:k], self.before[:k]
-        self.at1 = (lane << SLOTS1) + ((last * 40503 & 0xFFFF) >> (16 - SLOTS1))
-        self.at2 = (lane << SLOTS2) + (((last * 40503 + before * 60493) & 0xFFFF) >> (16 - SLOTS2))
-        e1, e2 = self.one[self.at1], self.two[self.at2]
-        self.c1, self.q1, self.c2, self.q2 = e1 >> 16, e1 & 0xFFFF, e2 >> 16, e2 & 0xFFFF
-
-    def mixed(self, which: int, k: int) -> np.ndarray:
-        """The probability, of WHOLE, that the decision is yes: order 2 (which 0) or order 1 (which 1)."""
-        self.place = (self.lane[:k] << 6) + (self.c2 << 3) + self.c1 if which == 0 else (self.lane[:k] << 3) + self.c1
-        own = (self.by2 if which == 0 else self.by1)[self.place]
-        self.s0, self.s1 = STRETCH[own >> 4], STRETCH[self.all[which, :k] >> 4]
-        w = self.weight[which]
-        dot = (w[0, :k] * self.s0 + w[1, :k] * self.s1) >> 16
-        self.p = SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        return self.p << 4
-
-    def learn(self, which: int, k: int, asked: np.ndarray, yes: np.ndarray) -> None:
-        error = np.where(asked, (yes.astype(I64) << 12) - self.p, 0)
-        w = self.weight[which]
-        w[0, :k] += self.s0 * error * 3 >> 10
-        w[1, :k] += self.s1 * error * 3 >> 10
-        goal = np.where(yes, WHOLE - 1, 0)
-        of = self.by2 if which == 0 else self.by1
-        of[self.place] += np.where(asked, goal - of[self.place], 0) >> 4
-        self.all[which, :k] += np.where(asked, goal - self.all[which, :k], 0) >> 5
-
-    def move(self, k: int, ids: np.ndarray, literal: np.ndarray, step: int) -> None:
-        for entries, at, c, q, top in ((self.one, self.at1, self.c1, self.q1, 7), (self.two, self.at2, self.c2, self.q2, 7)):
-            hit = (q == ids) & (c > 0)
-            more = np.minimum(c + 1, top)
-            keep = ~hit & (c > 2)
-            entries[at] = np.where(hit, more << 16 | q, np.where(keep, (c >> 1) << 16 | q, 1 << 16 | ids))
-        at = self.lane[:k][literal]
-        high, low = ids[literal] >> 8, ids[literal] & 255
-        self.high[at, high] += INCREMENT
-        self.low[at, high >> GROUP, low] += INCREMENT
-        self.before[:k], self.last[:k] = self.last[:k], ids
-        if step + 1 in REFRESH:
+        self.high_sums, self.low_sums = scaled(self.highs), scaled(self.lows)
+
+    def look(self, k: int, step: int) -> None:
+        if step and step % CHUNK == 0:
+            self.cost += spent(self.p, self.new[:, 0], self.new[:, 1])
+            self.old += self.new
+            self.new[:] = 0
+            self.p = shares(self.old[:, 0], self.old[:, 1])
+            self.part = parts(self.p, self.cost)
+        if step in REFRESH:
             self.refresh()
+        lane, last, before = self.lane[:k] << SLOT_BITS, self.last[:k], self.before[:k]
+        self.at = lane + slot1(last), lane + slot2(last, before)
+        (self.q1, self.c1, l1), (self.q2, self.c2, l2) = (x[:, at] for x, at in zip(self.tables, self.at))
+        agree = self.q1 == self.q2
+        self.ask2 = self.c2 > 0
+        self.ask1 = (self.c1 > 0) & ~(self.ask2 & agree)
+        self.of = classes(0, self.c1, self.c2, agree, l2), classes(1, self.c1, self.c2, agree, l1)
+        p = []
+        for which in (0, 1):
+            dot = sum(self.part[which, self.lane[:k], e, self.of[which][e]] for e in range(3)) >> 16
+            p.append(SQUASH[np.clip(dot, -2047, 2047) + 2047])
+        self.a, self.b = intervals(self.ask2, p[0], self.ask1, p[1])
+
+    def move(self, k: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        for which, asked, hit in ((0, self.ask2, hit2), (1, self.ask1 & ~hit2, hit1)):
+            at = np.flatnonzero(asked)
+            for e in range(3):
+                self.new[which, 0, at, e, self.of[which][e][at]] += 1
+                self.new[which, 1, at, e, self.of[which][e][at]] += hit[at]
+        place = (self.lane[:k] << 16) + (ids & 0xFFFF)
+        self.seen[place] += 1
+        level = LEVEL[self.seen[place]]
+        for entries, at, q, c in zip(self.tables, self.at, (self.q1, self.q2), (self.c1, self.c2)):
+            entries[:, at] = ids, np.where((q == ids) & (c > 0), np.minimum(c + 1, 7), 1), level
+        at = np.flatnonzero(~hit2 & ~hit1)
+        high, low = ids[at] >> 8, ids[at] & 255
+        self.highs[at, high] += 1
+        self.lows[at, high * GROUPS // self.high_parts, low] += 1
+        self.before[:k], self.last[:k] = self.last[:k], ids
 
 
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded form of each block of ids, the longest block first."""
-    n, most = len(blocks), len(blocks[0]) if blocks else 0
-    if not n or not most:
-        return [b""] * n
-    size = np.array([len(b) for b in blocks])
-    ids = np.zeros((most, n), I64)
-    for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
-    model = Model(n)
-    low, width = np.zeros(n, U64), np.full(n, (1 << 48) - 1, U64)
-    digits = np.zeros(n * (4 * most + 8), np.uint32)
-    row = model.lane * (4 * most + 8)
-    end = row.copy()
-
-    def shift(k: int, turns: int) -> None:
-        for _ in range(turns):
-            small = np.flatnonzero(width[:k] < U64(1 << 32))
-            if not len(small):
-                return
-            digits[end[small]] = low[small] >> U64(32)
-            end[small] += 1
-            low[small] = (low[small] & U64(0xFFFFFFFF)) << U64(16)
-            width[small] <<= U64(16)
-
-    def decision(k: int, asked: np.ndarray, yes: np.ndarray, p: np.ndarray) -> None:
-        """yes takes the first p of WHOLE."""
-        unit = width[:k] >> U64(16)
-        part = unit * p.astype(U64)
-        low[:k] += np.where(asked & ~yes, part, U64(0))
-        width[:k] = np.where(asked, np.where(yes, part, (unit << U64(16)) - part), width[:k])
-        shift(k, 1)
-
-    def symbol(at: np.ndarray, start: np.ndarray, number: np.ndarray, total: np.ndarray, k: int) -> None:
-        unit = width[at] // total.astype(U64)
-        low[at] += unit * start.astype(U64)
-        width[at] = unit * number.astype(U64)
-        shift(k, 2)
-
-    for t in range(most):
-        k = int(np.searchsorted(-size, -t, "left"))
-        x = ids[t, :k]
-        model.look(k)
-        asked = model.c2 > 0
-        hit = asked & (model.q2 == x)
-        decision(k, asked, hit, model.mixed(0, k))
-        model.learn(0, k, asked, hit)
-        asked = ~hit & (model.c1 > 0) & ~(asked & (model.q1 == model.q2))
-        hit1 = asked & (model.q1 == x)
-        decision(k, asked, hit1, model.mixed(1, k))
-        model.learn(1, k, asked, hit1)
-        literal = ~hit & ~hit1
-        at = np.flatnonzero(literal)
-        high, lowest = x[at] >> 8, x[at] & 255
-        sums = model.high_sums
-        symbol(at, sums[at, high], sums[at, high + 1] - sums[at, high], sums[at, 256], k)
-        sums, group = model.low_sums, high >> GROUP
-        symbol(at, sums[at, group, lowest], sums[at, group, lowest + 1] - sums[at, group, lowest], sums[at, group, 256], k)
-        model.move(k, x, literal, t)
-    for _ in range(3):
-        digits[end] = low >> U64(32)
-        end += 1
-        low = (low & U64(0xFFFFFFFF)) << U64(16)
-    out = []
-    for i in range(n):
-        d = digits[row[i] : end[i]].astype(I64)
-        carry = np.flatnonzero(d >> 16)
-        d &= 0xFFFF
-        for j in carry.tolist():
-            j -= 1
-            while d[j] == 0xFFFF:
-                d[j] = 0
-                j -= 1
-            d[j] += 1
-        out.append(d.astype("<u2").tobytes())
-    return out
-
-
-def decode(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The ids of coded blocks, which may come in any order."""
+def _decode(payloads: list[bytes], sizes: list[int], high_parts: int) -> list[np.ndarray]:
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    n, most = len(order), max(sizes, default=0)
-    if not most:
-        return [np.zeros(0, I64) for _ in sizes]
+    n, most = len(order), max(sizes)
     size = np.array([sizes[i] for i in order])
     data = [np.frombuffer(payloads[i], "<u2").astype(U64) for i in order]
     wide = max(map(len, data)) + 4
     digits = np.zeros((n, wide), U64)
     for i, d in enumerate(data):
         digits[i, : len(d)] = d
-    model = Model(n)
+    model = Model(n, high_parts)
     code = digits[:, 0] << U64(32) | digits[:, 1] << U64(16) | digits[:, 2]
     next_ = np.full(n, 3)
     width = np.full(n, (1 << 48) - 1, U64)
     out = np.zeros((most, n), I64)
 
-    def shift(k: int, turns: int) -> None:
-        for _ in range(turns):
-            small = np.flatnonzero(width[:k] < U64(1 << 32))
-            code[small] = code[small] << U64(16) | digits[small, np.minimum(next_[small], wide - 1)]
-            next_[small] += 1
-            width[small] <<= U64(16)
-
-    def decision(k: int, asked: np.ndarray, p: np.ndarray) -> np.ndarray:
-        unit = width[:k] >> U64(16)
-        part = unit * p.astype(U64)
-        yes = asked & (code[:k] < part)
-        code[:k] -= np.where(asked & ~yes, part, U64(0))
-        width[:k] = np.where(asked, np.where(yes, part, (unit << U64(16)) - part), width[:k])
-        shift(k, 1)
-        return yes
-
-    def symbol(at: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
-        unit = width[at] // sums[:, 256].astype(U64)
-        value = np.minimum(code[at] // unit, (sums[:, 256] - 1).astype(U64)).astype(I64)
-        found = (sums[:, 1:] <= value[:, None]).sum(axis=1)
+    def value(at: np.ndarray) -> np.ndarray:
+        return np.minimum(code[at] // (width[at] >> U64(16)), U64(WHOLE - 1)).astype(I64)
+
+    def take(at: np.ndarray, start: np.ndarray, part: np.ndarray) -> None:
+        unit = width[at] >> U64(16)
+        code[at] -= unit * start.astype(U64)
+        width[at] = unit * part.astype(U64)
+        small = at[width[at] < U64(1 << 32)]
+        code[small] = code[small] << U64(16) | digits[small, np.minimum(next_[small], wide - 1)]
+        next_[small] += 1
+        width[small] <<= U64(16)
+
+    def symbol(at: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        v = value(at)
+        found = np.minimum((sums[:, 1:] <= v[:, None]).sum(axis=1), sums.shape[1] - 2)
         i = np.arange(len(at))
-        code[at] -= unit * sums[i, found].astype(U64)
-        width[at] = unit * (sums[i, found + 1] - sums[i, found]).astype(U64)
-        shift(k, 2)
+        take(at, sums[i, found], sums[i, found + 1] - sums[i, found])
         return found
 
     for t in range(most):
         k = int(np.searchsorted(-size, -t, "left"))
-        model.look(k)
-        asked = model.c2 > 0
-        hit = decision(k, asked, model.mixed(0, k))
-        model.learn(0, k, asked, hit)
-        asked = ~hit & (model.c1 > 0) & ~(asked & (model.q1 == model.q2))
-        hit1 = decision(k, asked, model.mixed(1, k))
-        model.learn(1, k, asked, hit1)
-        literal = ~hit & ~hit1
-        at = np.flatnonzero(literal)
-        x = np.where(hit, model.q2, model.q1).astype(I64)
-        high = symbol(at, model.high_sums[at], k)
-        x[at] = high << 8 | symbol(at, model.low_sums[at, high >> GROUP].astype(I64), k)
+        model.look(k, t)
+        hit2, hit1 = np.zeros(k, np.bool_), np.zeros(k, np.bool_)
+        at = np.flatnonzero(model.ask2 | model.ask1)
+        if len(at):
+            v, a, b = value(at), model.a[at], model.b[at]
+            hit2[at] = v < a
+            hit1[at] = (v >= a) & (v < a + b)
+            take(at, np.where(v < a, 0, np.where(v < a + b, a, a + b)), np.where(v < a, a, np.where(v < a + b, b, WHOLE - a - b)))
+        x = np.where(hit2, model.q2, model.q1)
+        at = np.flatnonzero(~hit2 & ~hit1)
+        if len(at):
+            high = symbol(at, model.high_sums[at])
+            x[at] = high << 8 | symbol(at, model.low_sums[at, high * GROUPS // high_parts])
         out[t, :k] = x
-        model.move(k, x, literal, t)
+        model.move(k, x, hit2, hit1)
     back = [np.zeros(0, I64)] * n
     for lane, i in enumerate(order):
         back[i] = out[: size[lane], lane].copy()
     return back
 
 
+def decode(payloads: list[bytes], sizes: list[int], high_parts: int = 256) -> list[np.ndarray]:
+    """The ids of coded blocks, which may come in any order."""
+    out: list[np.ndarray] = []
+    for k in range(0, len(sizes), ROWS):
+        part = sizes[k : k + ROWS]
+        out += _decode(payloads[k : k + ROWS], part, high_parts) if max(part) else [np.zeros(0, I64)] * len(part)
+    return out
+
+
 def vocabulary(raw: bytes, pattern: str = PATTERN) -> tiktoken.Encoding:
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
     return tiktoken.Encoding("postlake", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -292,82 +459,144 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Tokens:
-    """A tokenizer that remembers the ids of the pieces it has met, by their hashes."""
+    """A tokenizer that remembers the ids of the pieces it has met.
+
+    Pieces are looked up by their hashes.  Two pieces may have one hash, so the ids of a
+    portion are turned back into bytes, and a piece that doesn't come back as itself is made
+    into ids on its own.
+    """
 
     def __init__(self, raw: bytes) -> None:
         self.coder = vocabulary(raw)
-        self.bytes = np.zeros(1 << 16, I64)
-        for token, i in self.coder._mergeable_ranks.items():
-            self.bytes[i] = len(token)
+        ranks = self.coder._mergeable_ranks
+        self.high_parts = high_parts(max(ranks.values(), default=0) + 1)
+        length = np.zeros(max(ranks.values(), default=0) + 1, I64)
+        for token, i in ranks.items():
+            length[i] = len(token)
+        self.begin, self.length = np.cumsum(length) - length, length
+        self.letters = np.frombuffer(b"".join(t for t, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.where, self.count = np.zeros(0, U64), np.zeros(0, I64), np.zeros(0, I64)
-        self.flat = np.zeros(0, np.uint16)
+        self.keys, self.where, self.count = np.zeros(1, U64), np.zeros(1, I64), np.zeros(1, I64)
+        self.flat = np.zeros(0, np.int32)
+        self.slots = np.zeros((2, 1 << PLACE_BITS), np.int32)  # of either half of a hash: where in keys it is, 0 if nowhere
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Where in keys the hashes are; 0 for those that are new or have lost their place to others."""
+        at = self.slots[0][(hashes >> U64(64 - PLACE_BITS)).view(I64)]
+        lost = np.flatnonzero(self.keys[at] != hashes)
+        if len(lost):
+            again = self.slots[1][(hashes[lost] & U64((1 << PLACE_BITS) - 1)).view(I64)]
+            at[lost] = np.where(self.keys[again] == hashes[lost], again, 0)
+        return at
+
+    def _add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        count = np.array([len(x) for x in ids], I64)
+        place = np.arange(len(self.keys), len(self.keys) + len(ids), dtype=np.int32)
+        self.where = np.concatenate([self.where, len(self.flat) + np.cumsum(count) - count])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(count.sum()))])
+        self.keys, self.count = np.concatenate([self.keys, hashes]), np.concatenate([self.count, count])
+        one = (hashes >> U64(64 - PLACE_BITS)).view(I64)
+        free = self.slots[0][one] == 0
+        self.slots[0][one[free]] = place[free]
+        rest = self.slots[0][one] != place
+        self.slots[1][(hashes[rest] & U64((1 << PLACE_BITS) - 1)).view(I64)] = place[rest]
+
+    def _ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece) of pieces that lie end to end."""
+        base = int(start[0])
+        data, start, end = data[base : int(end[-1])], start - base, end - base
+        raw = data.tobytes()
+        hashes = spans(prefix(data.astype(U64) + U64(1)), start, end) | U64(1)
+        at = self._find(hashes)
+        new = np.flatnonzero(at == 0)
+        if len(new):
+            if len(self.keys) > KNOWN:
+                self.forget()
+                new = np.arange(len(start))
+            unique, first = np.unique(hashes[new], return_index=True)
+            before = len(self.keys)
+            self._add(unique, [self.coder.encode_ordinary(raw[start[i] : end[i]].decode()) for i in new[first].tolist()])
+            at[new] = before + np.searchsorted(unique, hashes[new])
+        number = self.count[at]
+        ids = self.flat[ragged(self.where[at], number)]
+        # the bytes of the ids, piece by piece, against the text
+        length = self.length[ids]
+        upto = np.concatenate([[0], np.cumsum(length)])
+        bounds = np.concatenate([[0], np.cumsum(number)])
+        same = np.diff(upto[bounds]) == end - start
+        if same.all():
+            wrong = np.flatnonzero(self.letters[ragged(self.begin[ids], length)] != data)
+            same[np.searchsorted(start, wrong, "right") - 1] = False
+        else:
+            for i in np.flatnonzero(same).tolist():
+                own = ids[bounds[i] : bounds[i + 1]]
+                same[i] = np.array_equal(self.letters[ragged(self.begin[own], self.length[own])], data[start[i] : end[i]])
+        for i in np.flatnonzero(~same).tolist()[::-1]:
+            own = np.array(self.coder.encode_ordinary(raw[start[i] : end[i]].decode()), np.int32)
+            ids = np.concatenate([ids[: bounds[i]], own, ids[bounds[i + 1] :]])
+            number[i] = len(own)
+        return ids, number
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text)."""
         data, offsets = text_bytes(texts)
         start = pieces(data, offsets)
         if not len(start):
-            return np.zeros(0, I64), np.zeros(len(texts), I64)
+            return np.zeros(0, np.int32), np.zeros(len(texts), I64)
         end = np.append(start[1:], len(data))
-        hashes = spans(prefix(data.astype(U64) + U64(1)), start, end)
-        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, unique)
-        known = np.zeros(len(unique), np.bool_)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == unique[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = data.tobytes()
-            ids = [self.coder.encode_ordinary(raw[start[i] : end[i]].decode()) for i in first[new].tolist()]
-            count = np.array([len(x) for x in ids], I64)
-            where = len(self.flat) + np.cumsum(count) - count
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint16, int(count.sum()))])
-            keys, where, count = np.concatenate([self.keys, unique[new]]), np.concatenate([self.where, where]), np.concatenate([self.count, count])
-            order = np.argsort(keys)
-            self.keys, self.where, self.count = keys[order], where[order], count[order]
-            at = np.searchsorted(self.keys, unique)
-        per_piece = self.count[at][back]
-        ids = self.flat[ragged(self.where[at][back], per_piece)].astype(I64)
+        found, at = [], 0
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(end, start[at] + PORTION_BYTES, "right")))
+            found.append(self._ids(data, start[at:to], end[at:to]))
+            at = to
+        ids, per_piece = (np.concatenate(x) for x in zip(*found))
         sums = np.concatenate([[0], np.cumsum(per_piece)])
-        bounds = sums[np.searchsorted(start, offsets)]
-        number = np.diff(bounds)
-        length = np.concatenate([[0], np.cumsum(self.bytes[ids])])[bounds]
-        if not np.array_equal(np.diff(length), np.diff(offsets)):
-            raise ValueError("ids don't add up to their texts")
-        if len(self.keys) > KNOWN:
-            self.forget()
-        return ids, number
+        return ids, np.diff(sums[np.searchsorted(start, offsets)])
+
+
+_of_worker: dict[bytes, Tokens] = {}
+
+
+def tokens_of(raw: bytes) -> Tokens:
+    """The worker's tokenizer of this vocabulary file, which it keeps from task to task."""
+    key = hashlib.blake2b(raw).digest()
+    if key not in _of_worker:
+        _of_worker.clear()
+        _of_worker[key] = Tokens(raw)
+    return _of_worker[key]
+
+
+def checksum(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def tokens_to_blocks(docs: DataFrame, spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
+def tokens_to_blocks(docs: DataFrame, spark: SparkSession, path: str | None = None) -> DataFrame:
     """One row for each block: its documents, where their parts start, how many ids each has, CRC-32, and the code."""
-    with open(path, "rb") as f:
+    with open(path or spark.conf.get(VOCABULARY_CONF, VOCABULARY), "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())  # the vocabulary file, of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(sent.value)
+        tokens = tokens_of(sent.value)
         for batch in chunks(batches, limit=PORTION_BYTES):
             ids, number = tokens(batch.column("text"))
             doc_ids = batch.column("doc_id").to_pylist()
             first = np.cumsum(number) - number
-            starts = range(0, max(len(ids), 1), BLOCK)
-            blocks = [ids[s : s + BLOCK] for s in starts]
-            order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-            coded = dict(zip(order, encode([blocks[i] for i in order])))
-            rows = []
-            for i, s in enumerate(starts):
-                e = s + len(blocks[i])
-                # a document stands in each block that it has ids in, one without ids in the block of its place
-                a = int(np.searchsorted(first + number, s, "right" if s else "left"))
-                b = int(np.searchsorted(first, e, "left" if e < len(ids) else "right"))
-                part = np.maximum(first[a:b], s), np.minimum(first[a:b] + number[a:b], e)
-                rows.append((doc_ids[a:b], (part[0] - first[a:b]).tolist(), (part[1] - part[0]).tolist(), e - s, zlib.crc32(blocks[i].astype("<u2").tobytes()), coded[i]))
-            columns = list(zip(*rows))
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_ids", "starts", "counts", "n_ids", "crc", "payload"])
+            every = range(0, max(len(ids), 1), BLOCK)
+            for lot in range(0, len(every), LANES):
+                starts = every[lot : lot + LANES]
+                blocks = [ids[s : s + BLOCK] for s in starts]
+                rows = []
+                for s, block, coded in zip(starts, blocks, encode(blocks, tokens.high_parts)):
+                    e = s + len(block)
+                    # a document stands in each block that it has ids in, one without ids in the block of its place
+                    a = int(np.searchsorted(first + number, s, "right" if s else "left"))
+                    b = int(np.searchsorted(first, e, "left" if e < len(ids) else "right"))
+                    part = np.maximum(first[a:b], s), np.minimum(first[a:b] + number[a:b], e)
+                    rows.append((doc_ids[a:b], (part[0] - first[a:b]).tolist(), (part[1] - part[0]).tolist(), e - s, tokens.high_parts, checksum(block), coded))
+                kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_ids", "starts", "counts", "n_ids", "high_parts", "crc", "payload"])
 
     return docs_of(docs).mapInArrow(run, SCHEMA)
 
@@ -379,13 +608,15 @@ def blocks_to_tokens(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             rows = batch.to_pylist()
             out = []
-            for r, ids in zip(rows, decode([r["payload"] for r in rows], [r["n_ids"] for r in rows])):
-                if zlib.crc32(ids.astype("<u2").tobytes()) != r["crc"]:
-                    raise ValueError("a block's checksum is wrong")
-                at = 0
-                for d, s, c in zip(r["doc_ids"], r["starts"], r["counts"]):
-                    out.append((d, s, ids[at : at + c].tolist()))
-                    at += c
+            for parts_ in sorted({r["high_parts"] for r in rows}):
+                mine = [r for r in rows if r["high_parts"] == parts_]
+                for r, ids in zip(mine, decode([r["payload"] for r in mine], [r["n_ids"] for r in mine], parts_)):
+                    if checksum(ids) != r["crc"]:
+                        raise ValueError("a block's checksum is wrong")
+                    at = 0
+                    for d, s, c in zip(r["doc_ids"], r["starts"], r["counts"]):
+                        out.append((d, s, ids[at : at + c].tolist()))
+                        at += c
             columns = list(zip(*out)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.int32())))], names=["doc_id", "start", "ids"])
 
