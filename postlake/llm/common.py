@@ -8,6 +8,7 @@ two gathers and a multiplication.  Null texts count as empty texts.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
+FILTER_BITS = 1 << 25  # of the bitmap that keeps texts that nothing asks for from being shuffled
+LONG_WORD = 256  # bytes from which a word has a cryptographic hash
 BASE = 0x9E3779B97F4A7C15 | 5
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -109,8 +112,12 @@ def words(texts: pa.Array) -> Words:
     first[offsets] = True
     start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | first[:-1]))
     end = np.flatnonzero(inside[1:-1] & (~inside[2:] | first[1:])) + 1
-    sums = prefix(lower_bytes(data).astype(U64) + U64(1))
-    return Words(data, offsets, np.searchsorted(start, offsets), start, end, spans(sums, start, end))
+    low = lower_bytes(data)
+    hashes = spans(prefix(low.astype(U64) + U64(1)), start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        # polynomials modulo 2**64 have collisions among very long strings of two letters
+        hashes[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return Words(data, offsets, np.searchsorted(start, offsets), start, end, hashes)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -144,12 +151,31 @@ def docs_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def fresh(docs: DataFrame, name: str) -> str:
-    """name, lengthened until no column of docs has it."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
+def named(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ... and the new name of each; so a column may have any name."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, part, text); part is a hash of the text that tells rows with the same doc_id apart."""
+    return docs_of(docs).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("part"), "text")
+
+
+def among(rows: DataFrame, ids: DataFrame, spark: SparkSession) -> DataFrame:
+    """rows without most of those whose part is not in ids, by a bitmap of hashes of bounded size."""
+    place = F.pmod(F.col("part"), F.lit(FILTER_BITS).cast("long"))
+    slots = ids.select(place.alias("p")).groupBy((F.col("p") / 8).cast("long").alias("byte")).agg(F.bit_or(F.pow(F.lit(2), F.col("p") % 8).cast("int")).cast("short").alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    bitmap[slots.column("byte").to_numpy()] = slots.column("bits").to_numpy()
+    sent = spark.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column("p").to_numpy()
+            yield batch.select(["doc_id", "part", "text"]).filter(pa.array((sent.value[p // 8] >> (p % 8).astype(np.uint8) & 1).astype(np.bool_)))
+
+    return rows.withColumn("p", place).mapInArrow(run, "doc_id bigint, part bigint, text string")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,15 +183,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new local one only where none is set, on one machine."""
+    """The folder of spark.checkpoint.dir, or that of setCheckpointDir(); where neither is set, as in tests on one machine, a new one."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if found:
+        return found
     if not context.master.startswith("local[") and context.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="postlake-"))
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="postlake-"))
     return context.getCheckpointDir()
 
 
@@ -176,6 +201,12 @@ def shared_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     """(node, root): the smallest node of each connected component of edges (a, b).
 
@@ -193,7 +224,7 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         least = large.groupBy("v").agg(F.min("m").alias("low"))
         small = large.join(least, "v").select("v", "m", "low")
         now = small.select(F.col("m").alias("v"), F.col("low").alias("m")).unionByName(least.select("v", F.col("low").alias("m"))).where("v <> m").distinct().checkpoint()
-        state = now.agg(F.count("*"), F.sum(F.hash("v", "m").cast("long"))).first()
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("m", "v"))).first()
         if state == before:
             return now.select(F.col("v").alias("node"), F.col("m").alias("root"))
         before = state

@@ -1,13 +1,13 @@
 """Near-duplicate groups with an LSH forest over MinHash signatures.
 
 1. Every document gets K MinHash values of its three-word shingles (16 low bits of each
-   minimum are kept) and a hash of its whole word sequence; copies that agree in that hash
-   collapse to the one with the smallest doc_id.
+   minimum are kept) and a hash of its whole word sequence.  Documents that agree in that
+   hash are copies; they collapse to one node of what follows.
 2. Every tree of the forest orders the signatures by another permutation of their columns.
    Documents that share the first MIN_DEPTH values of an order form a region, which is
    sorted by the values that follow.  A region of more than REGION documents is split by
    the next value, and again, down to MAX_DEPTH, so the depth adapts to how crowded a part
-   of the order is.  The first candidates are each region's members with its smallest doc_id
+   of the order is.  The first candidates are each region's members with its first one
    (hubs).  When those are verified, the trees are walked once more: all pairs of a region
    that the hubs haven't joined, and, in regions that are crowded down to MAX_DEPTH and
    between regions that share MIN_DEPTH values, the longest-common-prefix neighbours.
@@ -20,12 +20,17 @@ A pair of similarity THRESHOLD shares the first values of some tree with probabi
 The work is linear in documents times trees: no step lists all pairs of a region of more
 than REGION documents, and none drops a document from one.
 
+Rows of a region come sorted and are worked off STREAM at a time: what is kept between is
+its hubs and last REGION rows, however many documents a region has.
+
 Defined results: null and empty texts and texts without a word are in no group.  Texts of
 one or two words have their word sequence as the only shingle.  Rows with the same doc_id
-and text count once; rows that share a doc_id but not the text are one document that
-stands in the groups of either text.  Rows with a null doc_id are in no group.  Of equal
-candidates the smallest doc_id is kept.  Other columns are ignored by near_duplicates() and
-kept as they are by stage_near_duplicates().
+and text count once; rows that share a doc_id but not the text are documents of their own,
+each with its own group and links.  Rows with a null doc_id are in no group.  Of a group the
+document with the smallest doc_id (of those that share it, the one with the smallest hash of
+its text) is kept.  Very long texts are taken whole; an empty table has no groups.  Other columns
+are ignored by near_duplicates() and kept as they are by stage_near_duplicates(); where a row
+is there several times with other values in them, the values that come first as JSON stay.
 """
 
 from __future__ import annotations
@@ -34,10 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, components, docs_of, fresh, mix, prefix, shared_checkpoints, signed, spans, table, words
+from .common import U64, among, chunks, components, mix, named, prefix, ragged, rows_of, shared_checkpoints, signed, spans, table, words
 
 K = 100
 TREES = 33
@@ -45,9 +50,9 @@ MIN_DEPTH, MAX_DEPTH = 3, 8
 REGION = 32
 NEIGHBOURS = 2
 THRESHOLD = 0.45  # Jaccard similarity of the shingle sets
-FILTER_BITS = 1 << 25  # of the bitmap that keeps texts without candidates from being shuffled
 PLAY = 0.1  # two standard errors of the signatures' estimate of it
 SHINGLE = 3
+STREAM = 2_000_000  # rows of a region that a task holds, about
 
 _random = np.random.default_rng(20240229)
 MULTIPLIERS = _random.integers(1, 1 << 63, K, dtype=U64) * U64(2) + U64(1)
@@ -62,7 +67,10 @@ def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     count = np.diff(w.bounds)
     some = np.flatnonzero(count)
     sums = prefix(w.hash)
-    whole = spans(sums, w.bounds[some], w.bounds[some + 1])
+    # a sum of hashes of word and place: polynomials modulo 2**64 have collisions among very long sequences
+    place = ragged(np.zeros(len(count), np.int64), count)
+    keyed = mix(w.hash ^ mix(place.astype(U64) + U64(1)))
+    whole = mix(np.add.reduceat(keyed, w.bounds[some])) if len(some) else np.zeros(0, U64)
     width = np.minimum(count[some], SHINGLE)
     shingles = count[some] - width + 1
     first = np.cumsum(shingles) - shingles
@@ -94,7 +102,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         some, whole, sig = signatures(batch.column("text"))
         raw = pa.Array.from_buffers(pa.binary(2 * K), len(some), [None, pa.py_buffer(np.ascontiguousarray(sig).tobytes())]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).take(pa.array(some)), pa.array(whole), raw], names=["doc_id", "whole", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some)), batch.column("part").take(pa.array(some)), pa.array(whole), raw], names=["doc_id", "part", "whole", "sig"])
 
 
 def _matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
@@ -102,7 +110,7 @@ def _matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key of tree and first values, label of the values that follow, doc_id, root) of every document and tree."""
+    """(key of tree and first values, label of the values that follow, node, root) of every node and tree."""
     for batch in batches:
         sig = _matrix(batch.column("sig"), K, np.uint16)
         for t, order in enumerate(ORDERS):
@@ -112,7 +120,7 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             label = sig[:, order[MIN_DEPTH:]].astype(U64)
             packed = label[:, 0] << U64(48) | label[:, 1] << U64(32) | label[:, 2] << U64(16) | label[:, 3]
             # the sign is flipped so that signed order is the order of the values
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(packed ^ U64(1 << 63))), pa.array(label[:, 4].astype(np.int32)), batch.column("doc_id"), batch.column("root")], names=["key", "label", "last", "doc_id", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(packed ^ U64(1 << 63))), pa.array(label[:, 4].astype(np.int32)), batch.column("node"), batch.column("root")], names=["key", "label", "last", "node", "root"])
 
 
 def forest_pairs(key: np.ndarray, label: np.ndarray, last: np.ndarray, doc: np.ndarray, root: np.ndarray, hubs: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +147,7 @@ def forest_pairs(key: np.ndarray, label: np.ndarray, last: np.ndarray, doc: np.n
         size = np.diff(np.append(start, n))
         done = open_ & (size[region] <= REGION) if depth < MAX_DEPTH else open_
         if hubs:
-            hub = np.minimum.reduceat(doc, start)[region]
+            hub = doc[start][region]
             # a crowded region also keeps a hub at its least depth
             found.append((hub, doc) if depth == MIN_DEPTH else (hub[done], doc[done]))
         area[done], small[done] = depth * n + region[done], size[region[done]] <= REGION
@@ -158,10 +166,24 @@ def forest_pairs(key: np.ndarray, label: np.ndarray, last: np.ndarray, doc: np.n
     return a[keep], b[keep]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], hubs: bool) -> Iterator[pa.RecordBatch]:
-    """Candidates of a sorted partition; the rows of the last key wait for the next batch."""
+def _carried(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """What the next rows of an open region have to meet: the first row of its last part at every depth, and the last REGION rows."""
+    key, label, last = rows[0], rows[1].view(U64), rows[2]
+    n = len(key)
+    same = key == key[-1]
+    first = {int(np.argmax(same))}
+    for shift in (48, 32, 16, 0):
+        first.add(int(np.argmax(same & (label >> U64(shift) == label[-1] >> U64(shift)))))
+    first.add(int(np.argmax(same & (label == label[-1]) & (last == last[-1]))))
+    at = np.array(sorted(first | set(range(max(0, n - REGION), n))))
+    return [x[at] for x in rows]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], hubs: bool, stream: int = STREAM) -> Iterator[pa.RecordBatch]:
+    """Candidates of a sorted partition; the rows of the last key wait for the next batch, up to so many."""
     held: list[list[np.ndarray]] = []
-    names = ("key", "label", "last", "doc_id", "root")
+    names = ("key", "label", "last", "node", "root")
+    load = 0
 
     def give(rows: list[np.ndarray]) -> pa.RecordBatch:
         a, b = forest_pairs(*rows, hubs)
@@ -175,14 +197,19 @@ def _candidates(batches: Iterator[pa.RecordBatch], hubs: bool) -> Iterator[pa.Re
         new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
         if not len(new[0]):
             continue
-        if held and held[-1][0][-1] == new[0][0] == new[0][-1]:
+        load += len(new[0])
+        if held and held[-1][0][-1] == new[0][0] == new[0][-1] and load < stream:
             held.append(new)
             continue
         rows = [np.concatenate(x) for x in zip(*held, new)]
         cut = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
         if cut:
             yield give([x[:cut] for x in rows])
-        held = [[x[cut:] for x in rows]]
+            rows = [x[cut:] for x in rows]
+        if len(rows[0]) >= stream:
+            yield give(rows)
+            rows = _carried(rows)
+        held, load = [rows], len(rows[0])
     if held:
         yield give([np.concatenate(x) for x in zip(*held)])
 
@@ -202,62 +229,62 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, left = batch.column("a").to_numpy(), batch.column("ta")
         keep = np.zeros(batch.num_rows, np.bool_)
         for i, other in enumerate(shingle_sets(batch.column("tb"))):
-            # texts are compared too, as rows that share a doc_id may differ in them
-            if last is None or last[0] != at[i] or last[1] != left[i]:
-                last = at[i], left[i]
+            if last is None or last != at[i]:
+                last = at[i]
                 one = shingle_sets(left.slice(i, 1))[0]
             shared = len(np.intersect1d(one, other, assume_unique=True))
             keep[i] = shared and shared >= THRESHOLD * (len(one) + len(other) - shared)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _among(rows: DataFrame, ids: DataFrame, spark: SparkSession) -> DataFrame:
-    """rows without most of those whose doc_id is not in ids, by a bitmap of hashes of bounded size."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS).cast("long"))
-    slots = ids.select(place("id").alias("p")).groupBy((F.col("p") / 8).cast("long").alias("byte")).agg(F.bit_or(F.pow(F.lit(2), F.col("p") % 8).cast("int")).cast("short").alias("bits")).toArrow()
-    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
-    bitmap[slots.column("byte").to_numpy()] = slots.column("bits").to_numpy()
-    sent = spark.sparkContext.broadcast(bitmap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column("p").to_numpy()
-            yield batch.select(["doc_id", "text"]).filter(pa.array((sent.value[p // 8] >> (p % 8).astype(np.uint8) & 1).astype(np.bool_)))
-
-    return rows.withColumn("p", place("doc_id")).mapInArrow(run, "doc_id bigint, text string")
-
-
-def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(doc_id, group_id, kept) of every document that has a copy or near copy; group_id is the group's smallest doc_id."""
+def near_duplicate_rows(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """(doc_id, part, group_id, kept, n_links) of every distinct row that has a copy or near copy."""
     shared_checkpoints(spark)
-    signed_docs = docs_of(docs).where("doc_id is not null").mapInArrow(_sign, "doc_id bigint, whole bigint, sig binary").checkpoint()
-    unique = signed_docs.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig"))
-    exact = signed_docs.join(unique.select("whole", F.col("doc_id").alias("first")), "whole").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    # one signature a document: the smallest of those that share a doc_id
-    sigs = unique.groupBy("doc_id").agg(F.min("sig").alias("sig"))
+    signed_docs = rows_of(docs).mapInArrow(_sign, "doc_id bigint, part bigint, whole bigint, sig binary").checkpoint()
+    place = F.struct("doc_id", "part")
+    # a node for every word sequence, with the first document that has it
+    nodes = signed_docs.groupBy(F.col("whole").alias("node")).agg(F.min("sig").alias("sig"), F.min(place).alias("first")).checkpoint()
+    sigs = nodes.select("node", "sig")
 
     def pairs(rows: DataFrame, hubs: bool) -> DataFrame:
-        trees = rows.select("doc_id", "sig", "root").mapInArrow(_orders, "key bigint, label bigint, last int, doc_id bigint, root bigint")
-        found = trees.repartition("key").sortWithinPartitions("key", "label", "last", "doc_id").mapInArrow(lambda batches: _candidates(batches, hubs), "a bigint, b bigint")
+        trees = rows.select("node", "sig", "root").mapInArrow(_orders, "key bigint, label bigint, last int, node bigint, root bigint")
+        found = trees.repartition("key").sortWithinPartitions("key", "label", "last", "node").mapInArrow(lambda batches: _candidates(batches, hubs), "a bigint, b bigint")
         return found.distinct()
 
     def verified(p: DataFrame) -> DataFrame:
-        left = p.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
-        both = left.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
+        left = p.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
+        both = left.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
         alike = both.select("a", "b", "sa", "sb").mapInArrow(_alike, "a bigint, b bigint").checkpoint()
-        # only the texts of documents in such pairs are shuffled, each row of them once
-        ids = alike.select(F.col("a").alias("id")).unionByName(alike.select(F.col("b").alias("id"))).distinct()
-        texts = _among(docs_of(docs).where("doc_id is not null and text is not null"), ids, spark).join(ids, F.col("doc_id") == F.col("id"), "left_semi").repartition("doc_id").dropDuplicates(["doc_id", "text"])
-        right = alike.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint").distinct()
-
-    hubs = components(verified(pairs(unique.withColumn("root", F.lit(0).cast("long")), True)), spark)
-    joined = unique.join(hubs, F.col("doc_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc_id"))
-    rest = pairs(joined, False)
-    edges = exact.unionByName(hubs.select(F.col("root").alias("a"), F.col("node").alias("b"))).unionByName(verified(rest))
+        # only the texts of nodes in such pairs are shuffled, each once
+        some = alike.select(F.col("a").alias("node")).unionByName(alike.select(F.col("b").alias("node"))).distinct()
+        ids = nodes.join(some, "node").select("node", F.col("first.doc_id").alias("id"), F.col("first.part").alias("part"))
+        rows = among(rows_of(docs), ids, spark).alias("r")
+        texts = rows.join(ids.alias("i"), (F.col("r.doc_id") == F.col("i.id")) & (F.col("r.part") == F.col("i.part"))).select("node", "text").repartition("node").dropDuplicates(["node"])
+        right = alike.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint").distinct().checkpoint()
+
+    first = verified(pairs(nodes.select("node", "sig", F.lit(0).cast("long").alias("root")), True))
+    hubs = components(first, spark)
+    joined = nodes.select("node", "sig").join(hubs, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    edges = first.unionByName(verified(pairs(joined, False))).distinct()
     groups = components(edges, spark)
-    return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), F.lit(False).alias("kept")).unionByName(groups.select("root").distinct().select(F.col("root").alias("doc_id"), F.col("root").alias("group_id"), F.lit(True).alias("kept")))
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+    # counts and first documents are gathered by node before they are by group, so no group's rows come together
+    members = signed_docs.select("doc_id", "part", F.col("whole").alias("node")).distinct()
+    sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min(place).alias("first")).join(groups, "node", "left").join(ends, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = sizes.groupBy("root").agg(F.sum("n").alias("all"), F.min("first").alias("head")).where(F.col("all") > 1)
+    found = sizes.join(heads, "root").select("node", "head", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("int").alias("n_links"))
+    return members.join(found, "node").select("doc_id", "part", F.col("head.doc_id").alias("group_id"), (place == F.col("head")).alias("kept"), "n_links")
+
+
+def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """(doc_id, group_id, kept, n_links) of every document that has a copy or near copy.
+
+    group_id is the group's smallest doc_id.  n_links counts the document's verified links to
+    other word sequences and its copies of the same one.
+    """
+    return near_duplicate_rows(docs, spark).drop("part")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,12 +292,16 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop all documents of each group but the one with the smallest doc_id; rows with the same doc_id and text stay once."""
-    key = fresh(docs, "__id")
-    drop = near_duplicates(docs, spark).where("not kept").select(F.col("doc_id").alias(key))
-    ids = F.col("doc_id").cast("long")
-    kept = docs.join(drop, ids == F.col(key), "left_anti")
-    # only rows whose id occurs again are shuffled with their texts
-    again = docs.select(ids.alias(key)).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
-    once = kept.join(again, ids == F.col(key), "left_anti")
-    return once.unionByName(kept.join(again, ids == F.col(key), "left_semi").dropDuplicates(["doc_id", "text"]))
+    """Drop all documents of each group but the first; rows with the same doc_id and text stay once."""
+    plain, names = named(docs)
+    rows = plain.withColumns({"id__": F.col(names["doc_id"]).cast("long"), "part__": F.xxhash64(F.col(names["text"]).cast("string"))})
+    same = lambda other: (F.col("id__") == other["doc_id"]) & (F.col("part__") == other["part"])
+    drop = near_duplicate_rows(docs, spark).where("not kept").select("doc_id", "part")
+    kept = rows.join(drop, same(drop), "left_anti")
+    # only rows that occur again are shuffled with their texts
+    again = rows.where("id__ is not null").groupBy(F.col("id__").alias("doc_id"), F.col("part__").alias("part")).count().where("count > 1").select("doc_id", "part")
+    once = kept.join(again, same(again), "left_anti")
+    several = kept.join(again, same(again), "left_semi")
+    order = Window.partitionBy("id__", "part__").orderBy(F.to_json(F.struct(*plain.columns)))
+    several = several.withColumn("rank__", F.row_number().over(order)).where("rank__ = 1").drop("rank__")
+    return once.unionByName(several).select(*plain.columns).toDF(*docs.columns)
