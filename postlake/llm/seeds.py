@@ -6,6 +6,13 @@ stand.  The windows of a document that have the same anchor occurrence are neigh
 make one row with that anchor's hash and the hash of the context that they span together.
 Any two equal windows therefore meet in the group of their anchor, and rows of equal context
 agree in all their windows without a look at the words.
+
+A document is a distinct pair of doc_id and text: part, a hash of the text, tells rows that
+share a doc_id apart.  Places are ordered by doc_id, part, position.
+
+Hot groups: every task remembers contexts that it has met (Combiner).  Of a context's
+occurrences in a task at most a few are shuffled; the others are settled there as copies of
+the earlier one and go anywhere.
 """
 
 from __future__ import annotations
@@ -14,7 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, chunks, docs_of, prefix, signed, spans, words
@@ -22,8 +30,18 @@ from .common import U64, chunks, docs_of, prefix, signed, spans, words
 T = 50  # words of a window: the length from which a repeat counts
 GRAM = 25
 POSITION_BITS = U64(28)
-SEEDS = "anchor bigint, context bigint, doc_id bigint, start int, windows int"
-FIRST, COPY, EDGE = 0, 1, 2
+CACHE_BITS = 18  # contexts that a task remembers, in bits
+SEEDS = "settled boolean, anchor bigint, context bigint, doc_id bigint, part int, start int, windows int, source bigint, source_part int, source_start int"
+FIRST, COPY, EDGE, SETTLED = 0, 1, 2, 3
+
+
+def part_of(text: Column) -> Column:
+    return F.shiftright(F.xxhash64(text), 33).cast("int")
+
+
+def parted(docs: DataFrame) -> DataFrame:
+    """(doc_id, part, text) of the rows that can have repeats."""
+    return docs_of(docs).where("doc_id is not null and text is not null").select("doc_id", part_of(F.col("text")).alias("part"), "text")
 
 
 def anchors(texts: pa.Array, t: int = T, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -57,40 +75,93 @@ def anchors(texts: pa.Array, t: int = T, gram: int = GRAM) -> tuple[np.ndarray,
     return signed(grams[chosen[first]]), signed(context), doc[first], start - w.bounds[doc[first]], m
 
 
+def later(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Whether the places (doc, part, start) of one come after those of the other."""
+    (a, b, c), (x, y, z) = one, other
+    return (a > x) | ((a == x) & ((b > y) | ((b == y) & (c > z))))
+
+
+class Combiner:
+    """Settles occurrences of keys that a task has met, in bounded memory.
+
+    The first occurrence of a key and the first one after it go on, so that the task that
+    gathers the key sees that there is a copy.  What comes after a remembered place is a copy
+    of it.  A key that has lost its slot to another goes on once more; nothing is dropped.
+    """
+
+    def __init__(self) -> None:
+        size = 1 << CACHE_BITS
+        self.key, self.doc, self.part, self.start = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int32)
+        self.state = np.zeros(size, np.int8)  # 0 empty, 1 met once, 2 met again
+
+    def __call__(self, key: np.ndarray, doc: np.ndarray, part: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(order of the rows, settled, source doc, part and start of the settled), the last four in that order."""
+        order = np.lexsort((start, part, doc, key))
+        key, doc, part, start = key[order], doc[order], part[order], start[order]
+        n = len(key)
+        new = np.ones(n, np.bool_)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        other = new.copy()  # a place of its own, not a repeated row
+        other[1:] |= (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]) | (start[1:] != start[:-1])
+        place = np.cumsum(other)
+        rank = place - place[first][run]
+        head = key[first], doc[first], part[first], start[first]
+        slot = (head[0].view(U64) >> U64(64 - CACHE_BITS)).astype(np.int64)
+        met = (self.state[slot] > 0) & (self.key[slot] == head[0])
+        kept = self.doc[slot], self.part[slot], self.start[slot]
+        earlier = met & later(head[1:], kept)
+        # a row that equals the remembered place is the same row again and goes on
+        source = [np.where(earlier, a, b) for a, b in zip(kept, head[1:])]
+        goes = np.where(earlier, np.where(self.state[slot] == 2, 0, 1), 2)
+        settled = (rank >= goes[run]) & later((doc, part, start), tuple(x[run] for x in source))
+        again = (met & ((self.state[slot] == 2) | earlier | later(kept, head[1:]))) | (np.maximum.reduceat(rank, first) > 0)
+        self.key[slot], self.doc[slot], self.part[slot], self.start[slot] = head[0], *source
+        self.state[slot] = np.where(again, 2, 1)
+        return order, settled, *(x[run] for x in source)
+
+
 def _seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    combine = Combiner()
     for batch in chunks(batches):
-        anchor, context, doc, start, m = anchors(batch.column("text"))
-        ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(doc))
-        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(context), ids, pa.array(start.astype(np.int32)), pa.array(m.astype(np.int32))], names=["anchor", "context", "doc_id", "start", "windows"])
+        anchor, context, row, start, m = anchors(batch.column("text"))
+        if not len(row):
+            continue
+        doc, part = batch.column("doc_id").to_numpy()[row], batch.column("part").to_numpy()[row]
+        order, settled, *source = combine(context, doc, part, start)
+        columns = [settled, anchor[order], context[order], doc[order], part[order], start[order].astype(np.int32), m[order].astype(np.int32), source[0], source[1].astype(np.int32), source[2].astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["settled", "anchor", "context", "doc_id", "part", "start", "windows", "source", "source_part", "source_start"])
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    return docs_of(docs).where("doc_id is not null and text is not null").mapInArrow(_seed, SEEDS)
+    return parted(docs).mapInArrow(_seed, SEEDS)
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts out rows that come ordered by anchor, context, doc_id, start.
+    """Sorts out rows that come ordered by settled, anchor, context, place.
 
-    Of each context the first row is the representative and the others are copies.  A
+    Of each context the first row is the representative and the others are copies of it.  A
     representative whose anchor has other contexts too is an edge, whose windows have to be
     compared one by one (dup: it has copies); else it is a first occurrence if it has
     copies, and unique if not.  Between batches only two rows and a flag are kept, however
     many occurrences an anchor has.
     """
-    names = ["anchor", "context", "doc_id", "start", "windows"]
+    names = ["anchor", "context", "doc_id", "part", "start", "windows"]
     tail: list[np.ndarray] | None = None
     crowded = False  # the tail's anchor has had other contexts
 
-    def emit(rows: list[np.ndarray], kind: np.ndarray, dup: np.ndarray, pick: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(kind[pick].astype(np.int32)), pa.array(rows[2][pick]), pa.array(rows[3][pick].astype(np.int32)), pa.array(rows[4][pick].astype(np.int32)), pa.array(rows[0][pick]), pa.array(dup[pick])], names=["kind", "doc_id", "start", "windows", "anchor", "dup"])
+    def emit(rows: list[np.ndarray], kind: np.ndarray, dup: np.ndarray, source: list[np.ndarray], pick: np.ndarray) -> pa.RecordBatch:
+        columns = [kind.astype(np.int32), rows[2], rows[3].astype(np.int32), rows[4].astype(np.int32), rows[5].astype(np.int32), rows[0], dup, source[0], source[1].astype(np.int32), source[2].astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c[pick]) for c in columns], names=["kind", "doc_id", "part", "start", "windows", "anchor", "dup", "source", "source_part", "source_start"])
 
     def sort_out(rows: list[np.ndarray], crowded: bool, last: bool) -> tuple[pa.RecordBatch, list[np.ndarray] | None, bool]:
-        anchor, context, doc, start, _ = rows
+        anchor, context, doc, part, start, _ = rows
         n = len(anchor)
         new_anchor, new, same = np.ones(n, np.bool_), np.ones(n, np.bool_), np.zeros(n, np.bool_)
         new_anchor[1:] = anchor[1:] != anchor[:-1]
         new[1:] = new_anchor[1:] | (context[1:] != context[:-1])
-        same[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+        same[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (part[1:] == part[:-1]) & (start[1:] == start[:-1])
         if same.any():
             keep = ~same
             rows, new_anchor, new = [x[keep] for x in rows], new_anchor[keep], new[keep]
@@ -103,16 +174,24 @@ def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = new & (contexts[group] > 1)
         kind = np.where(~new, COPY, np.where(edge, EDGE, FIRST))
         pick = ~new | edge | many
+        head = np.flatnonzero(new)[run]
+        source = [rows[k][head] for k in (2, 3, 4)]
         if last:
-            return emit(rows, kind, many, pick), None, False
+            return emit(rows, kind, many, source, pick), None, False
         cut = int(np.flatnonzero(new)[-1])
         pick[cut : cut + 2] = False
-        return emit(rows, kind, many, pick), [x[cut : cut + 2] for x in rows], bool(contexts[group[cut]] > 1)
+        return emit(rows, kind, many, source, pick), [x[cut : cut + 2] for x in rows], bool(contexts[group[cut]] > 1)
 
     for batch in batches:
+        done = batch.column("settled")
+        if done.true_count:
+            some = batch.filter(done)
+            rows = [some.column(c).to_numpy() for c in names]
+            yield emit(rows, np.full(len(rows[0]), SETTLED), np.zeros(len(rows[0]), np.bool_), [some.column(c).to_numpy() for c in ("source", "source_part", "source_start")], np.ones(len(rows[0]), np.bool_))
+            batch = batch.filter(pc.invert(done))
         if not batch.num_rows:
             continue
-        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        rows = [batch.column(c).to_numpy() for c in names]
         if tail is not None:
             rows = [np.concatenate(x) for x in zip(tail, rows)]
         out, tail, crowded = sort_out(rows, crowded, False)
@@ -121,17 +200,23 @@ def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sort_out(tail, crowded, True)[0]
 
 
-SORTED = "kind int, doc_id bigint, start int, windows int, anchor bigint, dup boolean"
+SORTED = "kind int, doc_id bigint, part int, start int, windows int, anchor bigint, dup boolean, source bigint, source_part int, source_start int"
+
+
+def spread(key: str) -> Column:
+    """Where a row goes: to the others of its key, or anywhere if it is settled."""
+    return F.when(F.col("settled"), F.xxhash64("doc_id", "part", "start")).otherwise(F.col(key))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "start").mapInArrow(sorted_runs, SORTED)
+    return rows.withColumn("place", spread("anchor")).repartition("place").sortWithinPartitions("settled", "anchor", "context", "doc_id", "part", "start").drop("place").mapInArrow(sorted_runs, SORTED)
 
 
 def edge_texts(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, text, edges) of the documents that have edges, with all of a document's edges in one row."""
-    per_doc = edges.groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set(F.struct("start", "windows", "anchor", "dup"))).alias("edges"))
-    return docs_of(docs).where("text is not null").join(per_doc, F.col("doc_id") == F.col("id")).select("doc_id", "text", "edges")
+    """(doc_id, part, text, edges) of the documents that have edges, with all of a document's edges in one row."""
+    per_doc = edges.groupBy(F.col("doc_id").alias("id"), F.col("part").alias("id_part")).agg(F.array_sort(F.collect_set(F.struct("start", "windows", "anchor", "dup"))).alias("edges"))
+    rows = parted(docs)
+    return rows.join(per_doc, (rows["doc_id"] == per_doc["id"]) & (rows["part"] == per_doc["id_part"])).select("doc_id", "part", "text", "edges")
 
 
 def edge_arrays(batch: pa.RecordBatch, t: int = T):
@@ -146,32 +231,39 @@ def edge_arrays(batch: pa.RecordBatch, t: int = T):
     return w, row[inside], start[inside].astype(np.int64), m[inside].astype(np.int64), anchor[inside], dup[inside]
 
 
-def merged(spans_: DataFrame, t: int = T) -> DataFrame:
-    """(doc_id, is_copy, start_word, end_word, n_words): windows that overlap or touch become one maximal span."""
+#: What is known of a match: a copy and its earlier occurrence, or a first occurrence, of words start:end.
+MATCHES = ["doc_id", "part", "is_copy", "source", "source_part", "source_start", "start", "end"]
+REPEATS = "doc_id bigint, part int, is_copy boolean, start_word int, end_word int, n_words int, source_doc_id bigint, source_start int"
+
+
+def merged(matches: DataFrame) -> DataFrame:
+    """REPEATS: matches with the same earlier occurrence that overlap or touch, at the same distance, become one maximal repeat."""
+    names = ["doc_id", "part", "is_copy", "source", "source_part", "shift", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
         def join(rows: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray] | None]:
-            doc, copy, start, end = rows
-            new_doc = np.ones(len(doc), np.bool_)
-            new_doc[1:] = (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])
-            # a running maximum of ends within each document, by lifting each group above the one before
-            lift = (np.cumsum(new_doc) - 1) << 32
+            start, end = rows[6], rows[7]
+            other = np.ones(len(start), np.bool_)
+            other[1:] = np.any([x[1:] != x[:-1] for x in rows[:6]], axis=0)
+            # a running maximum of ends within each group, by lifting each group above the one before
+            lift = (np.cumsum(other) - 1) << 32
             reach = np.maximum.accumulate(end + lift) - lift
-            new = new_doc.copy()
+            new = other.copy()
             new[1:] |= start[1:] > reach[:-1]
             first = np.flatnonzero(new)
-            stop = np.maximum.reduceat(end, first)
-            out = [doc[first], copy[first], start[first], stop]
+            out = [*(x[first] for x in rows[:7]), np.maximum.reduceat(end, first)]
             done = len(first) if last else len(first) - 1
-            batch = pa.RecordBatch.from_arrays([pa.array(out[0][:done]), pa.array(out[1][:done]), pa.array(out[2][:done].astype(np.int32)), pa.array(out[3][:done].astype(np.int32)), pa.array((out[3] - out[2])[:done].astype(np.int32))], names=["doc_id", "is_copy", "start_word", "end_word", "n_words"])
-            return batch, None if last else [x[done:] for x in out]
+            doc, part, copy, source, _, shift, begin, stop = (x[:done] for x in out)
+            columns = [pa.array(doc), pa.array(part), pa.array(copy), *(pa.array(x.astype(np.int32)) for x in (begin, stop, stop - begin)), pa.array(source, mask=~copy), pa.array((begin - shift).astype(np.int32), mask=~copy)]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "is_copy", "start_word", "end_word", "n_words", "source_doc_id", "source_start"]), None if last else [x[done:] for x in out]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), *(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))]
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            rows = [*rows[:5], *(x.astype(np.int64) for x in rows[5:])]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
             out, held = join(rows, False)
@@ -179,10 +271,13 @@ def merged(spans_: DataFrame, t: int = T) -> DataFrame:
         if held is not None:
             yield join(held, True)[0]
 
-    ordered = spans_.repartition("doc_id").sortWithinPartitions("doc_id", "is_copy", "start", "end")
-    return ordered.select("doc_id", "is_copy", "start", "end").mapInArrow(run, "doc_id bigint, is_copy boolean, start_word int, end_word int, n_words int")
+    here = F.when(F.col("is_copy"), F.col("start") - F.col("source_start")).otherwise(0).alias("shift")
+    only = lambda c: F.when(F.col("is_copy"), F.col(c)).otherwise(0).alias(c)
+    rows = matches.select("doc_id", "part", "is_copy", only("source"), only("source_part"), here, "start", "end")
+    return rows.repartition("doc_id", "part").sortWithinPartitions(*names).mapInArrow(run, REPEATS)
 
 
 def settled(sorted_rows: DataFrame, t: int = T) -> DataFrame:
-    """(doc_id, is_copy, start, end) of the rows of grouped() that need no further comparison."""
-    return sorted_rows.where(F.col("kind") != EDGE).select("doc_id", (F.col("kind") == COPY).alias("is_copy"), "start", (F.col("start") + F.col("windows") - 1 + t).alias("end"))
+    """MATCHES of the rows of grouped() that need no further comparison."""
+    end = (F.col("start") + F.col("windows") - 1 + t).alias("end")
+    return sorted_rows.where(F.col("kind") != EDGE).select("doc_id", "part", F.col("kind").isin(COPY, SETTLED).alias("is_copy"), "source", "source_part", "source_start", "start", end)

@@ -1,10 +1,9 @@
 """Repeated text by suffix arrays and longest previous factors, keeping first occurrences.
 
 Winnowed anchors (see seeds) cut the documents into overlapping pieces such that any two
-equal windows of T = 50 words lie in pieces of the same anchor.  Pieces that are equal as a
-whole collapse to the first of them; anchors with a single piece left need no sorting.  All
-others are dealt by anchor, so each portion holds whole anchors, and every portion builds the suffix
-array of its pieces, laid one after the other in the order of doc_id and place:
+equal windows of T = 50 words lie in pieces of the same anchor.  An anchor of one piece has no
+repeat.  The pieces of all others are dealt by anchor, so each portion holds whole anchors, and every portion builds the suffix
+array of its pieces, laid one after the other in the order of their places:
 
 * prefix doubling ranks all suffixes, and the ranks of every doubling are kept;
 * the previous and the next smaller position in suffix order, found by pointer jumping,
@@ -12,12 +11,19 @@ array of its pieces, laid one after the other in the order of doc_id and place:
 * their longest common prefixes, read off the kept ranks, give the longest previous factor.
 
 A place whose previous factor has T words or more begins a later copy; one that a copy
-points to and that is none itself is a first occurrence.
+points to and that is none itself is a first occurrence.  deduplicated() removes the later
+copies and keeps the first.
+
+Factors run within pieces, which are all of the text around an anchor that can hold a window
+with it; merged() joins what neighbouring pieces have of one repeat.  Copies that a task has
+settled before the shuffle (seeds.Combiner) are in no array.  An anchor of more than
+CROWD pieces, which no task should hold whole, has its windows compared by their hashes
+instead, as in substrings; its results are the same.
 
 Defined results are those of substrings: null texts and ids, empty texts and texts of under
-50 words have no spans; rows with the same doc_id and text count once, and rows that share a
-doc_id but not the text are one document at the same positions; repeats within a document
-count; other columns are ignored.
+50 words have no repeats; rows with the same doc_id and text count once, and rows that share a
+doc_id but not the text are documents of their own; repeats within a document count; very
+long texts are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, ragged, shared_checkpoints, signed, table
-from .seeds import EDGE, T, edge_arrays, edge_texts, grouped, merged, seeds, settled
+from .seeds import EDGE, MATCHES, SETTLED, T, edge_arrays, edge_texts, grouped, merged, seeds, settled
+from .substrings import edge_matches, without_copies
 
 PORTION_WORDS = 400_000  # words of a suffix array, about; an anchor is never split
+CROWD = 20_000  # pieces of an anchor in a suffix array, at most
 
 
 def doubled_ranks(text: np.ndarray, least: int) -> list[np.ndarray]:
@@ -92,7 +100,7 @@ def previous_factors(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarr
 
 
 def copies(pieces: list[np.ndarray], t: int = T) -> tuple[np.ndarray, np.ndarray]:
-    """(is copy, is the source of a copy) of every place in the pieces laid end to end, a divider after each."""
+    """(source or -1, is the source of a copy) of every place in the pieces laid end to end, a divider after each."""
     total = sum(len(p) + 1 for p in pieces)
     text = np.empty(total, np.int64)
     divider = np.zeros(total, np.bool_)
@@ -105,10 +113,10 @@ def copies(pieces: list[np.ndarray], t: int = T) -> tuple[np.ndarray, np.ndarray
     text[~divider] = words + len(pieces)
     text[divider] = np.arange(len(pieces))  # all different, so no match runs across one
     length, source = previous_factors(text, 2 * t)
-    copy = length >= t
+    source = np.where(length >= t, source, -1)
     used = np.zeros(total, np.bool_)
-    used[source[copy]] = True
-    return copy, used
+    used[source[source >= 0]] = True
+    return source, used
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,30 +125,36 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = m - 1 + T
         flat = signed(w.hash)[ragged(start + w.bounds[row], size)]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
-        ids = batch.column("doc_id").cast(pa.int64()).take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([pa.array(anchor), ids, pa.array(start.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(dup), lists], names=["anchor", "doc_id", "start", "windows", "dup", "words"])
+        take = pa.array(row)
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column("doc_id").take(take), batch.column("part").take(take), pa.array(start.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(dup), lists], names=["anchor", "doc_id", "part", "start", "windows", "dup", "words"])
 
 
 def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Copies and first occurrences of pieces that come with equal anchors together."""
-    names = ["doc_id", "is_copy", "start"]
+    names = ["doc_id", "part", "is_copy", "source", "source_part", "source_start", "start"]
 
-    def give(part: pa.Table) -> pa.RecordBatch:
-        part = part.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("dup", "descending")])
-        doc, start, m, dup = (part.column(c).to_numpy() for c in ("doc_id", "start", "windows", "dup"))
-        column = part.column("words").combine_chunks()
+    def give(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "part", "start")] + [("dup", "descending")])
+        doc, part, start, m, dup = (rows.column(c).to_numpy() for c in ("doc_id", "part", "start", "windows", "dup"))
+        column = rows.column("words").combine_chunks()
         bounds, flat = column.offsets.to_numpy(), column.values.to_numpy()
         new = np.ones(len(doc), np.bool_)
-        new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])  # a repeated row gives the same piece again
+        new[1:] = (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]) | (start[1:] != start[:-1])  # a repeated row gives the same piece again
         pick = np.flatnonzero(new)
         pieces = [flat[bounds[i] : bounds[i + 1]] for i in pick]
-        copy, used = copies(pieces)
+        source, used = copies(pieces)
         size = np.array([len(p) + 1 for p in pieces])
-        at = ragged(np.cumsum(size) - size, m[pick].astype(np.int64))
+        begin = np.cumsum(size) - size
+        at = ragged(begin, m[pick].astype(np.int64))
         row = np.repeat(pick, m[pick])
         place = start[row] + ragged(np.zeros(len(pick), np.int64), m[pick].astype(np.int64))
-        keep = copy[at] | used[at] | dup[row]
-        return pa.RecordBatch.from_arrays([pa.array(doc[row][keep]), pa.array(copy[at][keep]), pa.array(place[keep].astype(np.int32))], names=names)
+        copy = source[at] >= 0
+        keep = copy | used[at] | dup[row]
+        found = np.maximum(source[at], 0)
+        piece = np.searchsorted(begin, found, "right") - 1
+        of = pick[piece]
+        columns = [doc[row], part[row], copy, doc[of], part[of], (start[of] + found - begin[piece]).astype(np.int32), place.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
 
     held: list[pa.RecordBatch] = []
     load = 0
@@ -161,14 +175,26 @@ def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield give(pa.Table.from_batches(held).combine_chunks())
 
 
-def repeats_by_suffixes(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(doc_id, is_copy, start_word, end_word, n_words) of all maximal repeats of 50 words and more."""
+def repeats_by_suffixes(docs: DataFrame, spark: SparkSession, crowd: int = CROWD) -> DataFrame:
+    """seeds.REPEATS of all maximal repeats of 50 words and more."""
     shared_checkpoints(spark)
     rows = grouped(seeds(docs)).checkpoint()
-    pieces = edge_texts(docs, rows.where(F.col("kind") == EDGE)).mapInArrow(_pieces, "anchor bigint, doc_id bigint, start int, windows int, dup boolean, words array<bigint>")
-    fine = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(_factor, "doc_id bigint, is_copy boolean, start int")
-    return merged(settled(rows).unionByName(fine.withColumn("end", F.col("start") + T)))
+    # copies that were settled before the shuffle are known; their first occurrence has another copy here
+    gathered = rows.where(F.col("kind") != SETTLED)
+    crowds = gathered.groupBy(F.col("anchor").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("of")
+    crowded = gathered.join(crowds, F.col("anchor") == F.col("of"), "left_semi")
+    pieces = edge_texts(docs, gathered.join(crowds, F.col("anchor") == F.col("of"), "left_anti")).mapInArrow(_pieces, "anchor bigint, doc_id bigint, part int, start int, windows int, dup boolean, words array<bigint>")
+    fine = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "part", "start").mapInArrow(_factor, "doc_id bigint, part int, is_copy boolean, source bigint, source_part int, source_start int, start int")
+    fine = fine.withColumn("end", F.col("start") + T)
+    rest = edge_matches(edge_texts(docs, crowded.where(F.col("kind") == EDGE)))
+    known = settled(rows.where(F.col("kind") == SETTLED)).unionByName(settled(crowded))
+    return merged(known.unionByName(fine.select(MATCHES)).unionByName(rest.select(MATCHES)))
+
+
+def deduplicated(docs: DataFrame, spark: SparkSession) -> DataFrame:
+    """docs without the later copies that repeats_by_suffixes() finds, as substrings.without_copies()."""
+    return without_copies(docs, spark, repeats_by_suffixes)
 
 
 def op6_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats_by_suffixes(table(spark, sf_dir, "documents"), spark)
+    return repeats_by_suffixes(table(spark, sf_dir, "documents"), spark).drop("part")
