@@ -18,10 +18,13 @@ MIN_SIMILARITY must be in the words of the document that the item would cover th
 words more on either side.
 
 The items are indexed in portions of PORTION windows, and each portion is broadcast and
-takes one pass over the documents, so that the size of what is sent is bounded whatever the
-size of the benchmark.
+takes one pass over the documents; of several portions one is held at a time, so that the
+size of what is sent is bounded whatever the size of the benchmark.  A worker keeps its index from task to task.
 
 Defined results: null and empty texts, null ids and items without a word match nothing.
+Very long texts are scanned whole, SLICE words at a time with an overlap of the largest
+window, so that no place is missed and memory is bounded.  Rows that share a doc_id but not the text
+are looked at each on their own; an empty table or benchmark gives no rows.
 Items of one or two words have their word sequence as the only shingle.  Of several places
 of an item in a document the one of highest similarity counts, of equals the first.
 Repeated rows count once.  Other columns are ignored by contaminated() and kept as they are
@@ -30,6 +33,7 @@ by stage_decontaminate(), where rows with a null doc_id stay.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,17 +42,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, chunks, docs_of, fresh, prefix, ragged, spans, table, words
+from .common import U64, Words, chunks, docs_of, named, prefix, ragged, shared_checkpoints, spans, table, words
 
-SIZES = (12, 16, 24, 32, 44, 60, 88, 128, 256, 512)
+SIZES = (12, 16, 24, 32, 44, 60, 88, *(128 << k for k in range(10)))
 STRIDE = 4
 PART = 24
 SHORT, SHORT_PART, SHORTEST_PART = 20, 8, 4
 RADIUS, BLOCKS = 11, 4
 MIN_SIMILARITY = 0.5
 SHINGLE, SLACK = 3, 4
-PORTION = 200_000
-SCHEMA = "doc_id bigint, item_id bigint, similarity double, start_word int, end_word int"
+PORTION = 50_000
+SLICE = 200_000  # a multiple of STRIDE
+SCHEMA = "doc_id bigint, part bigint, item_id bigint, similarity double, start_word int, end_word int"
 #: +1 or -1 for each bit of a byte.
 SIGNS = np.where(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1), 1, -1).astype(np.int8)
 
@@ -146,18 +151,24 @@ class Items:
         return [index(*x) for x in self.windows]
 
 
+def windows_of(n: int) -> list[tuple[int, int]]:
+    """(size, stride) of the windows that an item of n words is found by."""
+    fit = [s for s in SIZES if s + STRIDE - 1 <= n]
+    out = [(s, STRIDE) for s in sorted({*fit[-2:], *(s for s in fit if s == PART)})]
+    if n and not fit:
+        out.append((n, 1))
+    if SHINGLE < n < SHORT:
+        out.append((SHORT_PART if n >= 2 * SHORT_PART else min(n - 1, SHORTEST_PART), 1))
+    return out
+
+
 def item_table(ids: list[int], texts: list[str]) -> Items:
     w = words(pa.array(texts, pa.string()))
     length = np.diff(w.bounds)
     by: dict[tuple[int, int], list[int]] = {}
     for i, n in enumerate(length):
-        fit = [s for s in SIZES if s + STRIDE - 1 <= n]
-        for s in {*fit[-2:], *(s for s in fit if s == PART)}:
-            by.setdefault((s, STRIDE), []).append(i)
-        if n and not fit:
-            by.setdefault((int(n), 1), []).append(i)
-        if SHINGLE < n < SHORT:
-            by.setdefault((SHORT_PART if n >= 2 * SHORT_PART else int(min(n - 1, SHORTEST_PART)), 1), []).append(i)
+        for key in windows_of(int(n)):
+            by.setdefault(key, []).append(i)
     sums, first = runs(w, 1)
     found = []
     for (size, stride), members in sorted(by.items()):
@@ -189,14 +200,26 @@ def lookup(ix: Index, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found_d), np.concatenate(found_i)
 
 
+def slices(w: Words, overlap: int) -> Iterator[tuple[int, Words]]:
+    """(number of words before it, words) of the parts of a single long text, or all of a batch."""
+    n = len(w.hash)
+    if len(w.bounds) != 2 or n <= SLICE:
+        yield 0, w
+        return
+    for a in range(0, n, SLICE):
+        b = min(n, a + SLICE + overlap)
+        yield a, Words(w.data, w.offsets, np.array([0, b - a]), w.start[a:b], w.end[a:b], w.hash[a:b])
+
+
 def scan(items: Items, indexes: list[Index], w: Words) -> list[tuple[int, int, float, int, int]]:
     """(row, item, similarity, start, end) of the verified places, the best of each row and item."""
     places: list[np.ndarray] = []
-    built = {stride: runs(w, stride) for stride in {ix.stride for ix in indexes}}
-    for ix in indexes:
-        mark, row, start = fingerprints(w, ix.size, ix.stride, *built[ix.stride])
-        d, i = lookup(ix, mark)
-        places.append(np.stack([row[d], ix.item[i], start[d] - ix.offset[i]], axis=1))
+    for begin, part in slices(w, max((ix.size for ix in indexes), default=0)):
+        built = {stride: runs(part, stride) for stride in {ix.stride for ix in indexes}}
+        for ix in indexes:
+            mark, row, start = fingerprints(part, ix.size, ix.stride, *built[ix.stride])
+            d, i = lookup(ix, mark)
+            places.append(np.stack([row[d], ix.item[i], begin + start[d] - ix.offset[i]], axis=1))
     found = np.unique(np.concatenate(places), axis=0) if places else np.zeros((0, 3), np.int64)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     sums = prefix(w.hash)
@@ -222,7 +245,8 @@ def portions(benchmark: DataFrame) -> Iterator[Items]:
     for r in rows.toLocalIterator():
         ids.append(r["item_id"])
         texts.append(r["text"])
-        load += 16 + len(r["text"]) // 16
+        n = len(words(pa.array([r["text"]])).hash)
+        load += sum(n - size + 1 for size, _ in windows_of(n))
         if load > PORTION:
             yield item_table(ids, texts)
             ids, texts, load = [], [], 0
@@ -230,24 +254,58 @@ def portions(benchmark: DataFrame) -> Iterator[Items]:
         yield item_table(ids, texts)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
-    """(doc_id, item_id, similarity, start_word, end_word): each document's best place of each item that it holds."""
-    out = spark.createDataFrame([], SCHEMA)
-    for items in portions(benchmark):
-        sent = spark.sparkContext.broadcast(items)
+_of_worker: dict[str, list[Index]] = {}
+
+
+def indexes_of(key: str, items: Items) -> list[Index]:
+    """The indexes of a portion, which a worker keeps until another portion comes."""
+    if key not in _of_worker:
+        _of_worker.clear()
+        _of_worker[key] = items.indexes()
+    return _of_worker[key]
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
+    """(doc_id, part, item_id, similarity, start_word, end_word): each distinct row's best place of each item that it holds."""
+    rows = docs_of(docs).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("part"), "text")
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def found_in(items: Items) -> DataFrame:
+        sent, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = sent.value
-            indexes = items.indexes()
+            indexes = indexes_of(key, items)
             for batch in chunks(batches):
                 found = scan(items, indexes, words(batch.column("text")))
-                ids = batch.column("doc_id").to_pylist()
-                columns = [[ids[x[0]] for x in found], [items.ids[x[1]] for x in found], *([x[k] for x in found] for k in (2, 3, 4))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "similarity", "start_word", "end_word"])
+                at = pa.array([x[0] for x in found], pa.int64())
+                columns = [[items.ids[x[1]] for x in found], *([x[k] for x in found] for k in (2, 3, 4))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("part").take(at), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.int32(), pa.int32())))], names=["doc_id", "part", "item_id", "similarity", "start_word", "end_word"])
+
+        return rows.mapInArrow(run, SCHEMA)
 
-        out = out.unionByName(docs_of(docs).where("doc_id is not null and text is not null").mapInArrow(run, SCHEMA))
+    out = None
+    for items in portions(benchmark):
+        if out is not None and out.count_of == 1:
+            shared_checkpoints(spark)
+            out = Found(out.rows.checkpoint(), 2)
+        found = found_in(items)
+        out = Found(found, 1) if out is None else Found(out.rows.unionByName(found.checkpoint()), 2)
+    all_ = out.rows if out is not None else spark.createDataFrame([], SCHEMA)
     best = F.max(F.struct("similarity", (-F.col("start_word")).alias("s"), F.col("end_word").alias("e")))
-    return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", (-F.col("b.s")).alias("start_word"), F.col("b.e").alias("end_word"))
+    return all_.groupBy("doc_id", "part", "item_id").agg(best.alias("b")).select("doc_id", "part", "item_id", "b.similarity", (-F.col("b.s")).alias("start_word"), F.col("b.e").alias("end_word"))
+
+
+@dataclass
+class Found:
+    """Rows of the portions so far; those of several are written before the next is sent."""
+
+    rows: DataFrame
+    count_of: int
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, spark: SparkSession) -> DataFrame:
+    """(doc_id, item_id, similarity, start_word, end_word): each document's best place of each item that it holds."""
+    return contaminated_rows(docs, benchmark, spark).drop("part")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +313,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold an item."""
-    key = fresh(docs, "__id")
-    bad = contaminated(docs, table(spark, sf_dir, "benchmark"), spark).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col(key), "left_anti")
+    """Drop the rows whose text holds an item; rows with a null doc_id stay."""
+    plain, names = named(docs)
+    bad = contaminated_rows(docs, table(spark, sf_dir, "benchmark"), spark).select("doc_id", "part").distinct()
+    same = (F.col(names["doc_id"]).cast("long") == bad["doc_id"]) & (F.xxhash64(F.col(names["text"]).cast("string")) == bad["part"])
+    return plain.join(bad, same, "left_anti").toDF(*docs.columns)
