@@ -1,8 +1,9 @@
 """Best-fit packing of documents into bins of CAPACITY words, improved by local search.
 
-A document's length is its number of words between white space, at least one.  Longer
-documents are cut into pieces of CAPACITY and a rest.  Pieces are dealt by a hash of
-doc_id to shards of about SHARD_BINS bins' worth of words, which are packed side by side:
+A document's length is its number of words between white space (of any kind that Unicode
+has), at least one.  Longer documents are cut into pieces of CAPACITY and a rest.  Documents
+are dealt by a hash of id and length to shards of about SHARD_BINS bins' worth of words, which
+are packed side by side; no step crosses a shard, which costs about one bin in SHARD_BINS:
 best fit, longest piece first, then a search that exchanges or moves pieces between bins
 that aren't full.  A step takes the fullest such bin that can gain, and of these the step
 that fills it most:
@@ -15,11 +16,14 @@ Every step makes a fuller bin fuller at the cost of an emptier one, so the sum o
 fills grows with each and the search ends; emptied bins go.  At its end no bin can be
 improved by a step with any emptier bin.
 
+Rows of equal id and length are interchangeable here.  They are counted before they are dealt, and
+dealt LOT at a time, so that no id, null included, fills a shard.
+
 Defined results: null, empty and blank texts have length 1, so every row is placed exactly
-once.  Rows with equal doc_id are placed each on its own, told apart by copy 0, 1, ... in
-the order of their lengths; null ids are dealt to a shard like any other value.  Ties are
-broken by doc_id, copy and piece, so the result doesn't depend on the rows' order.  Other
-columns are ignored.
+once.  Rows with equal doc_id are placed each on their own, told apart by copy 0, 1, ... in
+the order of their lengths.  Ties are broken by doc_id, copy and piece, so the result doesn't
+depend on the rows' order.  A very long text is a piece for every CAPACITY words.  An empty table
+has no bins.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +32,15 @@ from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from ..functions.text import WS_CHARS
+from .common import shared_checkpoints, table
 
 CAPACITY = 2048
 SHARD_BINS = 512
+LOT = 256  # rows of equal id and length that are dealt together, at most
 SCHEMA = "shard int, bin int, fill int, position int, doc_id bigint, copy int, piece int, start int, length int"
 
 
@@ -149,18 +155,26 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 def packing(docs: DataFrame, spark: SparkSession, capacity: int = CAPACITY, shard_bins: int = SHARD_BINS) -> DataFrame:
     """One row for every piece of every row of docs: its shard, bin, and place in the bin."""
-    text = F.trim(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(text, r"\s+")).alias("words"))
-    total = long.agg(F.sum("words")).first()[0] or 0
+    shared_checkpoints(spark)
+    number = F.greatest(F.lit(1), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(f"[^{WS_CHARS}]+")), F.lit(0)))
+    long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("words")).groupBy("doc_id", "words").agg(F.count("*").alias("n")).checkpoint()
+    total = long.agg(F.sum(F.col("words") * F.col("n"))).first()[0] or 0
     shards = max(1, -(-int(total) // (capacity * shard_bins)))
-    dealt = long.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(7)), F.lit(shards)).cast("int"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("words").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lots = long.withColumn("before", before).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT))))
+    first = F.col("before") + F.col("lot") * LOT
+    lots = lots.select("doc_id", "words", first.cast("int").alias("first"), F.least(F.lit(LOT), F.col("n") - F.col("lot") * LOT).cast("int").alias("n"), "lot")
+    dealt = lots.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "words", "lot", F.lit(7)), F.lit(shards)).cast("int")).drop("lot")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "words"], kind="stable", na_position="first")
-        copy = frame.groupby("doc_id", dropna=False).cumcount().to_numpy()
-        words = frame["words"].to_numpy(np.int64)
+        frame = frame.sort_values(["doc_id", "first"], kind="stable", na_position="first")
+        lot = np.repeat(np.arange(len(frame)), frame["n"])
+        first = np.cumsum(frame["n"].to_numpy(np.int64)) - frame["n"].to_numpy(np.int64)
+        copy = frame["first"].to_numpy(np.int64)[lot] + np.arange(len(lot)) - first[lot]
+        words = frame["words"].to_numpy(np.int64)[lot]
+        own = frame["doc_id"].astype("Int64").to_numpy()[lot]
         pieces = -(-words // capacity)
-        row = np.repeat(np.arange(len(frame)), pieces)
+        row = np.repeat(np.arange(len(lot)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         length = np.minimum(capacity, words[row] - piece * capacity)
         order = np.lexsort((piece, row, -length))
@@ -170,7 +184,7 @@ def packing(docs: DataFrame, spark: SparkSession, capacity: int = CAPACITY, shar
         number = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
         place = np.concatenate([np.arange(len(b)) for b in bins]) if bins else number
         fill = np.bincount(number, weights=length[at])[number].astype(int)
-        ids = frame["doc_id"].astype("Int64").to_numpy()[row[at]]
+        ids = own[row[at]]
         shard = int(frame["shard"].iloc[0])
         return pd.DataFrame({"shard": shard, "bin": number, "fill": fill, "position": place, "doc_id": pd.array(ids, "Int64"), "copy": copy[row[at]], "piece": piece[at], "start": piece[at] * capacity, "length": length[at]})
 
@@ -182,4 +196,5 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces of docs, which come as they are: no row is dropped here."""
     return packing(docs, spark)
