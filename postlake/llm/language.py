@@ -24,10 +24,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs_of, shared_checkpoints, table
+from .common import docs_of, named, shared_checkpoints, table
 
 SAMPLE_DOCS = 256  # labelled documents of a language that its dictionary is made of, at most
 DICT_BYTES = 64 << 10  # size of a dictionary, at most
+LEAST_BYTES = 4 << 10  # size up to which dictionaries are filled even if another language has less
 PIECE = 64  # characters of a text that are taken at one place
 BLOCK = 2048
 LEVEL = 3
@@ -44,6 +45,9 @@ def fit(labelled: DataFrame, lang_col: str = "lang", sample_docs: int = SAMPLE_D
     give, and few documents fill it as well as many.  A document longer than its share gives
     pieces from every part of its text: the text is cut into as many equal parts as there are
     pieces, and the place in each part is a hash of the id and the part's number.
+
+    All dictionaries have the size that the language with the least text can fill (but
+    LEAST_BYTES if that is less), as a larger one would win by its size.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     ids = rows.select("lang", "doc_id").where("lang is not null and doc_id is not null").distinct()
@@ -57,6 +61,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", sample_docs: int = SAMPLE_D
         sizes.setdefault(r["lang"], []).append(r["n"] + 1)
     if not sizes:
         return {}
+    dict_bytes = min(dict_bytes, max(LEAST_BYTES, min(map(sum, sizes.values()))))
     shares = labelled.sparkSession.createDataFrame([(k, level(v, dict_bytes)) for k, v in sizes.items()], "lang string, share bigint")
     # n characters, of which the share holds most; the line feed after each piece counts
     n, most = F.length("text").cast("long"), F.floor(F.col("share") * F.length("text") / F.octet_length("text"))
@@ -126,14 +131,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the rows whose language is accepted, with all their columns."""
+    """Keep the rows whose language is accepted, with all their columns; null, empty and blank texts are not."""
     dictionaries = fit(docs)
-    at = docs.columns.index("text")
+    plain, names = named(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = coder(dictionaries)
         for batch in batches:
-            best, margin = encode(batch.column(at).to_pylist())
+            best, margin = encode(batch.column(names["text"]).to_pylist())
             yield batch.filter(pa.array((best >= 0) & (margin >= MIN_MARGIN)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)

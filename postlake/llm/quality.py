@@ -8,12 +8,14 @@ lengths.
 
 The weights are fitted by gradient ascent on the conditional likelihood of the labelled
 documents' lines, each of which takes its document's label, over a sample bounded by
-SAMPLE_DOCS documents of at most SAMPLE_LINES lines.  All lines of all documents are scored.
+SAMPLE_DOCS documents.  All their lines are used; for fitting, a chain of more than
+CHAIN lines counts as several.  All lines of all documents are scored in whole chains.
 
 Defined results: null, empty and blank texts have quality null, 0 lines and keep false.
 Blank lines are no lines.  Without labels of both kinds every document with lines has
 quality 1.  Conflicting labels of a document count as bad; null labels are ignored.
-Repeated rows give repeated rows, a null doc_id is carried through, other columns are ignored.
+Repeated rows give repeated rows, a null doc_id is carried through, other columns are ignored;
+an empty table has no rows.  Very long texts are scored whole, with memory in proportion to their lines.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import U64, chunks, docs_of, mix, prefix, spans, table, words
 
 SAMPLE_DOCS = 4000  # labelled documents to fit to, at most
-SAMPLE_LINES = 200  # lines of a document to fit to, at most; longer ones aren't used for fitting
+CHAIN = 128  # lines of a chain in fitting
 MIN_QUALITY = 0.4
 STEPS, RATE, SHRINK = 300, 0.05, 1e-3
 SCHEMA = "doc_id bigint, quality double, n_lines int, bad_lines int, keep boolean"
@@ -132,10 +134,13 @@ def marginals(model: Model, x: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(x: np.ndarray, doc: np.ndarray, label: np.ndarray) -> Model:
-    """Gradient ascent (Adam) on the mean conditional log likelihood of the lines' labels, which are 0 or 1."""
-    features = with_neighbours(x, doc)
-    batches = list(chains(doc))
+def train(x: np.ndarray, chain: np.ndarray, label: np.ndarray, doc: np.ndarray | None = None) -> Model:
+    """Gradient ascent (Adam) on the mean conditional log likelihood of the lines' labels, which are 0 or 1.
+
+    A line's neighbours are those of its document, whichever chain they are in.
+    """
+    features = with_neighbours(x, chain if doc is None else doc)
+    batches = list(chains(chain))
     theta = np.zeros(features.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     # documents of either label weigh the same in all
@@ -165,7 +170,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in chunks(batches):
         x, doc, _ = line_features(batch.column("text"))
         number = np.bincount(doc, minlength=batch.num_rows)
-        use = np.flatnonzero((number > 0) & (number <= SAMPLE_LINES))
+        use = np.flatnonzero(number > 0)
         rows = [x[np.searchsorted(doc, i) : np.searchsorted(doc, i, "right")].ravel() for i in use]
         pick = pa.array(use)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pick), batch.column("good").take(pick), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "good", "x"])
@@ -182,7 +187,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
         return None
     x = [np.array(r["x"]).reshape(-1, len(NAMES)) for r in rows]
     number = [len(a) for a in x]
-    return train(np.concatenate(x), np.repeat(np.arange(len(rows)), number), np.repeat([r["good"] for r in rows], number))
+    doc = np.repeat(np.arange(len(rows)), number)
+    part = np.concatenate([np.arange(n) // CHAIN for n in number])
+    chain = np.cumsum(np.append(0, (np.diff(doc) != 0) | (np.diff(part) != 0)))
+    return train(np.concatenate(x), chain, np.repeat([r["good"] for r in rows], number), doc)
 
 
 def score(docs: DataFrame, model: Model | None, min_quality: float = MIN_QUALITY) -> DataFrame:

@@ -11,22 +11,23 @@ LEXICON alone, because accents tell words of some languages apart.  The score is
 
 The lexicon is LEXICON and what fit() learns from labelled documents: words that are many
 times as frequent in toxic as in other ones, weighted by the logarithm of the ratio.  The
-labelled sample is bounded by SAMPLE_DOCS, the learned terms by LEARNED_TERMS.
+labelled sample is bounded by SAMPLE_DOCS, and the learned terms by what is in it.
 
 Conflicting labels of a document count as toxic; null labels and labels of unknown documents
 are ignored; without labels LEXICON stands alone.
 
 Defined results: null and empty texts and texts without a term score 0 and are not listed.
-Long texts are matched whole.  Repeated rows give repeated rows, a null doc_id is carried
-through, and other columns are ignored.
+Very long texts are matched whole, in time linear in their length.  Repeated rows give repeated rows, a null doc_id is carried
+through, and other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -37,7 +38,6 @@ from .common import docs_of, shared_checkpoints, table
 
 MIN_SCORE = 3.0  # weight per hundred words
 SAMPLE_DOCS = 20_000  # labelled documents to learn from, at most
-LEARNED_TERMS = 5_000  # learned terms, at most
 MIN_TOXIC_DOCS = 3  # labelled toxic documents that a learned term is in, at least
 MIN_LOG_RATIO = 3.0
 BUILT_IN = 3.0  # factor from the grades of LEXICON to log ratios
@@ -47,15 +47,22 @@ LEXICON = {
     "loser": 1.5, "losers": 1.5, "trash": 1.0, "garbage": 0.5, "worthless": 1.5, "pathetic": 1.5, "disgusting": 1.5, "clown": 1.0, "clowns": 1.0, "imbecile": 2.0, "imbeciles": 2.0,
     "dumbass": 2.5, "jackass": 2.0, "bastard": 2.5, "bastards": 2.5, "asshole": 3.0, "assholes": 3.0, "bitch": 3.0, "bitches": 3.0, "bullshit": 2.0, "shithead": 3.0, "fucker": 3.0, "fucking": 2.0,
     "vermin": 2.0, "subhuman": 3.0, "degenerate": 2.0, "degenerates": 2.0, "retard": 3.0, "retarded": 3.0, "filth": 1.5, "filthy": 1.0, "cretin": 2.0, "halfwit": 2.0, "nitwit": 1.5, "dimwit": 1.5,
+    "dork": 1.0, "numbskull": 2.0, "bonehead": 1.5, "blockhead": 1.5, "airhead": 1.5, "dunce": 1.5, "simpleton": 1.5, "nincompoop": 1.5,
+    "lowlife": 2.0, "lowlifes": 2.0, "deadbeat": 1.5, "crybaby": 1.0, "weakling": 1.5, "sicko": 2.0, "pervert": 2.0, "perverts": 2.0, "psycho": 1.5, 
+    "fuck": 2.0, "fucked": 2.0, "fuckers": 3.0, "motherfucker": 3.5, "motherfuckers": 3.5, "shit": 1.5, "shitty": 1.5, "bullcrap": 1.5, "crap": 1.0, "dipshit": 3.0, "douchebag": 2.5, "douche": 2.0, "prick": 2.0, "dickhead": 3.0, "wanker": 3.0, "twat": 3.0, "tosser": 2.0, "arsehole": 3.0, "slut": 3.0, "sluts": 3.0, "whore": 3.0, "whores": 3.0, "skank": 3.0, "damn you": 1.5, "screw you": 2.5, "piss off": 2.0, "sod off": 2.0, "bugger off": 1.5,
+    "hate you": 2.0, "despise you": 2.0, "you disgust me": 3.0, "nobody likes you": 2.5, "waste of space": 2.5, "waste of oxygen": 3.0, "good for nothing": 1.5, "piece of trash": 3.0, "piece of garbage": 3.0, "piece of shit": 3.5, "you people make me sick": 3.0, "burn in hell": 3.0, "rot in hell": 3.5, "hope you die": 5.0, "go die": 4.0, "die in a fire": 4.0, "shut your mouth": 2.0, "inferior race": 4.0, "brain dead": 2.0, "braindead": 2.0, "mouth breather": 2.5, "knuckle dragger": 2.5,
     "kill yourself": 5.0, "drop dead": 3.0, "shut up": 1.0, "i hate you": 3.0, "go to hell": 3.0,
     # German
     "idioten": 2.0, "dummkopf": 2.0, "trottel": 2.0, "arschloch": 3.0, "abschaum": 2.5, "versager": 1.5, "wertlos": 1.0, "erbärmlich": 1.5, "widerlich": 1.5, "schwachkopf": 2.0, "drecksack": 2.5, "missgeburt": 3.0, "verpiss dich": 3.0,
+    "vollidiot": 2.5, "vollidioten": 2.5, "blödmann": 2.0, "hohlkopf": 2.0, "dumpfbacke": 2.0, "mistkerl": 2.0, "dreckskerl": 2.5, "schweinehund": 2.0, "hurensohn": 3.5, "wichser": 3.0, "schlampe": 3.0, "scheiße": 1.5, "scheiss": 1.5, "beschissen": 1.5, "halt die klappe": 2.5, "halt die fresse": 3.0, "fick dich": 3.0, "ich hasse dich": 3.0, "fahr zur hölle": 3.0, "ungeziefer": 2.5, "untermensch": 4.0, "untermenschen": 4.0, "geisteskrank": 2.0, "verachtenswert": 1.5, "ekelhaft": 1.5, "jämmerlich": 1.5, "nichtsnutz": 1.5,
     # French
     "idiote": 2.0, "imbécile": 2.0, "imbéciles": 2.0, "crétin": 2.0, "connard": 3.0, "connasse": 3.0, "salaud": 2.5, "ordure": 2.0, "minable": 1.5, "pathétique": 1.5, "dégoûtant": 1.5, "ferme ta gueule": 3.0,
+    "idiots finis": 2.0, "abruti": 2.0, "abrutis": 2.0, "débile": 2.0, "débiles": 2.0, "bouffon": 1.5, "bouffons": 1.5, "salope": 3.0, "salopard": 2.5, "enculé": 3.5, "enfoiré": 3.0, "pute": 3.0, "putain": 1.5, "merde": 1.5, "bâtard": 2.5, "vaurien": 1.5, "raclure": 2.5, "déchet": 1.5, "vermine": 2.5, "sous-homme": 4.0, "ta gueule": 2.5, "va te faire foutre": 3.5, "nique ta mère": 3.5, "je te hais": 3.0, "je te déteste": 2.0, "va en enfer": 3.0, "bon à rien": 1.5, "répugnant": 1.5, "méprisable": 1.5,
     # Spanish
     "idiota": 2.0, "idiotas": 2.0, "imbécil": 2.0, "imbéciles de mierda": 3.0, "estúpido": 1.5, "estúpida": 1.5, "escoria": 2.0, "patético": 1.5, "asqueroso": 1.5, "cabrón": 2.5, "gilipollas": 2.5, "mierda": 2.0, "perdedor": 1.5,
+    "tarado": 2.0, "tarados": 2.0, "retrasado": 2.5, "pendejo": 2.5, "pendejos": 2.5, "cabrones": 2.5, "puta": 3.0, "puto": 3.0, "hijo de puta": 3.5, "zorra": 2.5, "maldito": 1.0, "malnacido": 2.5, "desgraciado": 1.5, "basura humana": 3.0, "alimaña": 2.5, "sabandija": 2.0, "cállate": 1.0, "cierra la boca": 2.0, "vete al infierno": 3.0, "vete a la mierda": 3.0, "te odio": 3.0, "muérete": 4.0, "das asco": 2.5, "repugnante": 1.5, "despreciable": 1.5, "cretino": 2.0, "cretinos": 2.0,
 }
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "trash collection", "take out the trash", "class clown", "clown fish", "circus clown", "sore loser", "the idiot by dostoevsky", "american idiot", "garbage collection", "garbage collector", "garbage truck", "pathetic fallacy", "degenerate case", "degenerate matter", "fire retarded", "flame retarded", "shut up shop")
+EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "trash collection", "take out the trash", "class clown", "clown fish", "circus clown", "sore loser", "the idiot by dostoevsky", "american idiot", "garbage collection", "garbage collector", "garbage truck", "pathetic fallacy", "degenerate case", "degenerate matter", "fire retarded", "flame retarded", "shut up shop", "fire retardant", "psycho analysis", "prick test", "kill process", "damn you autocorrect", "trash folder", "trash bags", "trash pickup", "garbage can", "garbage bag", "garbage disposal", "clown car", "clown shoes", "a clown fish", "the loser pays", "loser pays", "filthy rich")
 SCHEMA = "doc_id bigint, score double, hits int, terms array<string>"
 
 _ALIKE = {
@@ -154,7 +161,10 @@ def matches(text: str, both: list[ahocorasick.Automaton]) -> list[tuple[int, int
     if not skeleton.isascii():
         _places(skeleton.translate(ACCENTS), both[1], found, free)
     if free:
-        found = [m for m in found if not any(a <= m[0] and m[1] <= b for a, b, *_ in free)]
+        # a term lies in a phrase if the phrases that begin no later reach as far as its end
+        free.sort(key=lambda m: m[:2])
+        begins, reach = [m[0] for m in free], list(accumulate((m[1] for m in free), max))
+        found = [m for m in found if not (at := bisect_right(begins, m[0])) or reach[at - 1] < m[1]]
     # the longest first; one that overlaps a term taken before it, in sorted order, touches its neighbour
     out: list[tuple[int, int, str, float]] = []
     for m in sorted(set(found), key=lambda m: (m[0] - m[1], m[0], m[2])):
@@ -184,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> d
     if bad and good:
         counts = texts.select("toxic", F.explode("words").alias("word")).where("length(word) > 2").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= MIN_TOXIC_DOCS)
         ratio = F.log(((F.col("t") + 0.5) / (bad + 1)) / ((F.col("n") - F.col("t") + 0.5) / (good + 1)))
-        for r in counts.select("word", ratio.alias("w")).where(F.col("w") >= MIN_LOG_RATIO).orderBy(F.desc("w"), "word").limit(LEARNED_TERMS).collect():
+        for r in counts.select("word", ratio.alias("w")).where(F.col("w") >= MIN_LOG_RATIO).collect():
             out[r["word"]] = max(out.get(r["word"], 0.0), r["w"])
     return out
 
