@@ -6,19 +6,19 @@ H[j] - H[i] * B**(j - i), so two spans of any documents are compared in constant
 because equality of prefixes is monotone, their longest common extension is found by binary
 search.  prefix_array(), span() and extension() do this for code points.
 
-fingerprints() works over whole tables: the fingerprint of a document is H at its end, and
-the prefix array is kept at the ends of its lines, which makes every span of whole lines
-comparable across documents without their texts.  Each document is compared with the first
-one that has the same fingerprint and with the first one that opens with the same line:
-binary search gives how many lines the two have in common from the start and from the end.
-
-Defined results: null and empty texts have fingerprint 1 + 2**31 (that of no code points),
-0 characters and 0 lines, and are compared with none by lines; so are texts whose first line
-is empty.  Lines end at line feeds; a text that ends in one has an empty last line.  The
-first document is the one of smallest doc_id (of rows that share it, the one of smallest
-fingerprint); twin_id and near_id are null where it is the document itself.  Repeated rows
-give repeated rows, a null doc_id is carried through but is never first, and other columns
-are ignored.
+fingerprints() works over whole tables.  The fingerprint of a document is H at its end.  The
+hashes of its openings of RUNG, 2 RUNG, 4 RUNG, ... code points lead to the document it is
+compared with: the first one that shares the longest opening which an earlier document shares
+with it.  Of the two texts the prefix arrays are made again, and binary search over span
+hashes gives how many code points they have in common from the start and from the end.
+
+Defined results: null and empty texts have fingerprint 1 + 2**31 (that of no code points)
+and 0 characters, and have no twin.  A text of under RUNG code points is compared with none.  The
+first document is the one of smallest doc_id, of rows that share it the one with the smallest
+hash of its text; twin_id is null for it, and near_id is null without an earlier document
+that shares an opening.  Rows that share a doc_id but not the text are documents of their own.  Repeated rows
+give repeated rows, a null doc_id is carried through but is never first nor compared, and other columns
+are ignored.  Very long texts are hashed whole, with memory in proportion to their length; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, docs_of, shared_checkpoints, table
+from .common import U64, among, chunks, docs_of, rows_of, shared_checkpoints, table
 
 PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (1_103_515_245, 1_664_525_007)
 INVERSES = tuple(pow(b, -1, p) for b, p in zip(BASES, PRIMES))
-LINES = "doc_id bigint, n_chars int, n_lines int, fingerprint bigint, opening bigint, ends array<bigint>, places array<int>"
+RUNG = 32
+PRINTS = "doc_id bigint, part bigint, n_chars int, fingerprint bigint, openings array<bigint>"
 _tables: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -99,85 +100,82 @@ def extension(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
     return low
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of all texts, first place and length of each)."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+    length = np.array([len(t) for t in texts], np.int64)
+    return points, np.cumsum(length) - length, length
+
+
+def _print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
-        length = np.array([len(t) for t in texts], np.int64)
-        first = np.cumsum(length) - length
-        breaks = np.flatnonzero(points == 10)
-        some = np.flatnonzero(length)
-        at = np.concatenate([breaks, (first + length)[some]])
-        of = np.concatenate([np.searchsorted(first + length, breaks, "right"), some])
-        order = np.lexsort((at, of))
-        at, of = at[order], of[order]
-        ends = _prefixes(points, first, at, of).view(np.int64)
-        number = np.bincount(of, minlength=len(texts))
+        points, first, length = _points(texts)
+        number = np.where(length >= RUNG, np.floor(np.log2(np.maximum(length, RUNG) // RUNG)).astype(int) + 1, 0)
+        of = np.repeat(np.arange(len(texts)), number)
         offsets = np.concatenate([[0], np.cumsum(number)])
-        empty = np.int64(1 << 31 | 1)
-        whole = np.where(number > 0, ends[np.maximum(offsets[1:] - 1, 0)] if len(ends) else empty, empty)
-        opening = np.where(number > 0, ends[np.minimum(offsets[:-1], max(len(ends) - 1, 0))] if len(ends) else empty, empty)
-        list_of = lambda x, t: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x, t))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(length.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(whole), pa.array(opening, mask=opening == empty), list_of(ends, pa.int64()), list_of((at - first[of]).astype(np.int32), pa.int32())],
-            names=["doc_id", "n_chars", "n_lines", "fingerprint", "opening", "ends", "places"],
-        )
-
-
-def common_lines(ends: list[np.ndarray], places: list[np.ndarray]) -> tuple[int, int]:
-    """Lines that two documents have in common from the start and from the end, by binary search."""
-    (a, b), (p, q) = (e.view(U64) for e in ends), places
-    most = min(len(a), len(b))
-
-    def search(same) -> int:
-        low, high = 0, most
-        while low < high:
+        rung = np.arange(len(of)) - offsets[:-1][of]
+        some = np.flatnonzero(length)
+        hashes = _prefixes(points, first, np.concatenate([first[of] + (RUNG << rung), (first + length)[some]]), np.concatenate([of, some])).view(np.int64)
+        whole = np.full(len(texts), 1 << 31 | 1, np.int64)
+        whole[some] = hashes[len(of) :]
+        openings = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes[: len(of)]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), pa.array(length.astype(np.int32)), pa.array(whole), openings], names=["doc_id", "part", "n_chars", "fingerprint", "openings"])
+
+
+def extensions(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points that each pair of texts has in common from the start and from the end, by binary search over span hashes."""
+    sides = []
+    for texts in (left, right):
+        points, first, length = _points(texts)
+        at = np.arange(len(points) + len(texts))
+        of = np.repeat(np.arange(len(texts)), length + 1)
+        # H of every text in a row of length + 1 places
+        row = first + np.arange(len(texts))
+        place = at - row[of]
+        sides.append((_prefixes(points, first, first[of] + place, of) if len(points) else np.full(len(at), 1 << 31 | 1, U64), row, length))
+    (h, p, n), (g, q, m) = sides
+    found = []
+    for from_end in (False, True):
+        low, high = np.zeros(len(n), np.int64), np.minimum(n, m)
+        while (low < high).any():
             middle = (low + high + 1) // 2
-            low, high = (middle, high) if same(middle) else (low, middle - 1)
-        return low
-
-    def tail(h: np.ndarray, place: np.ndarray, k: int) -> tuple[int, int]:
-        """(length, hash) of the last k lines."""
-        end = int(place[-1])
-        if k == len(h):
-            start, before = 0, U64(1 << 31 | 1)
-        else:
-            start = int(place[-k - 1]) + 1
-            before = U64(0)
-            for shift, base, prime in zip((31, 0), BASES, PRIMES):
-                x = int(h[-k - 1]) >> shift & ((1 << 31) - 1)
-                before = before << U64(31) | U64((x * base + 10) % prime)
-        return end - start, int(_span(before, h[-1], np.int64(end - start)))
+            i, j = (n - middle, m - middle) if from_end else (np.zeros_like(middle),) * 2
+            same = _span(h[p + i], h[p + i + middle], middle) == _span(g[q + j], g[q + j + middle], middle)
+            low, high = np.where(same, middle, low), np.where(same, high, np.maximum(low, middle - 1))
+        found.append(low)
+    return found[0], found[1]
+
 
-    return search(lambda k: a[k - 1] == b[k - 1]), search(lambda k: tail(a, p, k) == tail(b, q, k))
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches):
+        head, tail = extensions(batch.column("text").to_pylist(), batch.column("other").to_pylist())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "part", "near_id")), pa.array(head.astype(np.int32)), pa.array(tail.astype(np.int32))], names=["doc_id", "part", "near_id", "head_chars", "tail_chars"])
 
 
 def fingerprints(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(doc_id, n_chars, n_lines, fingerprint, twin_id, near_id, head_lines, tail_lines) of every row of docs.
+    """(doc_id, n_chars, fingerprint, twin_id, near_id, head_chars, tail_chars) of every row of docs.
 
-    The texts are read once; the hashes at line ends, a small part of their size, are
-    checkpointed.  What is first is an aggregate that is joined back, so that an opening
-    line of very many documents is spread by adaptive skew handling.
+    What is first is an aggregate that is joined back, so that an opening of very many
+    documents is spread by adaptive skew handling.  Only the texts of documents that are
+    compared are shuffled.
     """
     shared_checkpoints(spark)
-    rows = docs_of(docs).mapInArrow(_lines, LINES).checkpoint()
-    twins = rows.where("doc_id is not null and n_chars > 0").groupBy(F.col("fingerprint").alias("f"), F.col("n_chars").alias("n")).agg(F.min("doc_id").alias("twin"))
-    first = rows.where("doc_id is not null and opening is not null").groupBy(F.col("opening").alias("o")).agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "fingerprint", "ends", "places")).alias("other"))
-    both = rows.join(twins, (F.col("fingerprint") == F.col("f")) & (F.col("n_chars") == F.col("n")), "left").join(first.where("many > 1"), F.col("opening") == F.col("o"), "left")
-    other = F.when(F.col("other.doc_id").eqNullSafe(F.col("doc_id")), None).otherwise(F.col("other"))
-    both = both.select("doc_id", "n_chars", "n_lines", "fingerprint", F.when(~F.col("twin").eqNullSafe(F.col("doc_id")), F.col("twin")).alias("twin_id"), "ends", "places", other.alias("other"))
-    both = both.select("doc_id", "n_chars", "n_lines", "fingerprint", "twin_id", F.col("other.doc_id").alias("near_id"), "ends", "places", F.col("other.ends").alias("ends2"), F.col("other.places").alias("places2"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = batch.column("near_id")
-            head, tail = [None] * batch.num_rows, [None] * batch.num_rows
-            for i in np.flatnonzero(near.is_valid().to_numpy(zero_copy_only=False)):
-                ends, places = ([batch.column(c)[i].values.to_numpy() for c in pair] for pair in (("ends", "ends2"), ("places", "places2")))
-                head[i], tail[i] = common_lines(ends, places)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(head, pa.int32()), pa.array(tail, pa.int32())], names=[*batch.schema.names[:6], "head_lines", "tail_lines"])
-
-    return both.mapInArrow(run, "doc_id bigint, n_chars int, n_lines int, fingerprint bigint, twin_id bigint, near_id bigint, head_lines int, tail_lines int")
+    rows = docs_of(docs).withColumn("part", F.xxhash64("text")).mapInArrow(_print, PRINTS).checkpoint()
+    place = F.struct("doc_id", "part")
+    known = rows.where("doc_id is not null").groupBy("doc_id", "part").agg(F.min("n_chars").alias("n_chars"), F.min("fingerprint").alias("fingerprint"), F.min("openings").alias("openings"))
+    # documents of one text agree in part, so they are gathered by it
+    twins = known.where("n_chars > 0").groupBy(F.col("fingerprint").alias("f"), F.col("n_chars").alias("n")).agg(F.min("doc_id").alias("twin"))
+    rungs = known.select("doc_id", "part", F.posexplode("openings").alias("rung", "opening"))
+    first = rungs.groupBy(F.col("rung").alias("r"), F.col("opening").alias("o")).agg(F.min(place).alias("first"), F.count("*").alias("many")).where("many > 1")
+    near = rungs.join(first, (F.col("rung") == F.col("r")) & (F.col("opening") == F.col("o"))).where(F.col("first") < place)
+    near = near.groupBy("doc_id", "part").agg(F.max_by("first", "rung").alias("near")).select("doc_id", "part", F.col("near.doc_id").alias("near_id"), F.col("near.part").alias("near_part")).checkpoint()
+    ends = near.select("doc_id", "part").unionByName(near.select(F.col("near_id").alias("doc_id"), F.col("near_part").alias("part"))).distinct()
+    texts = among(rows_of(docs), ends, spark).join(ends, ["doc_id", "part"]).repartition("doc_id", "part").dropDuplicates(["doc_id", "part"])
+    pairs = near.join(texts, ["doc_id", "part"]).join(texts.select(F.col("doc_id").alias("near_id"), F.col("part").alias("near_part"), F.col("text").alias("other")), ["near_id", "near_part"])
+    found = pairs.select("doc_id", "part", "near_id", "text", "other").mapInArrow(_extend, "doc_id bigint, part bigint, near_id bigint, head_chars int, tail_chars int")
+    both = rows.join(twins, (F.col("fingerprint") == F.col("f")) & (F.col("n_chars") == F.col("n")), "left").join(found, ["doc_id", "part"], "left")
+    return both.select("doc_id", "n_chars", "fingerprint", F.when(F.col("twin") < F.col("doc_id"), F.col("twin")).alias("twin_id"), "near_id", "head_chars", "tail_chars")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,22 +183,22 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HASH = "list_reduce(list_transform(string_split({text}, ''), lambda c: unicode(c)::BIGINT), lambda h, c: (h * {b} + c) % {p}, 1::BIGINT)"
+_COMMON = "CASE WHEN near_id IS NOT NULL THEN coalesce(list_min(list_filter(range(1, most + 1), lambda i: a[{i}] <> b[{i}])) - 1, most)::INTEGER END"
 OP8_SQL = f"""
-WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents
-), f AS (
-  SELECT doc_id, t, l, length(t)::INTEGER AS n_chars, len(l)::INTEGER AS n_lines,
-    CASE WHEN t = '' THEN 2147483649 ELSE {_HASH.format(text="t", b=BASES[0], p=PRIMES[0])} * 2147483648 + {_HASH.format(text="t", b=BASES[1], p=PRIMES[1])} END AS fingerprint
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (
+  SELECT doc_id, t, length(t)::INTEGER AS n_chars,
+    CASE WHEN t = '' THEN 2147483649 ELSE {_HASH.format(text="t", b=BASES[0], p=PRIMES[0])} * 2147483648 + {_HASH.format(text="t", b=BASES[1], p=PRIMES[1])} END AS fingerprint,
+    min(doc_id) OVER (PARTITION BY t) AS twin
   FROM d
-), w AS (
-  SELECT *, min(doc_id) OVER (PARTITION BY t) AS twin,
-    first_value(doc_id) OVER o AS near, first_value(l) OVER o AS m
-  FROM f WINDOW o AS (PARTITION BY l[1] ORDER BY doc_id, fingerprint ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
-), x AS (
-  SELECT *, CASE WHEN t <> '' AND l[1] <> '' AND near <> doc_id THEN near END AS near_id, least(len(l), len(m)) AS most FROM w
+), r AS (SELECT doc_id, k, left(t, {RUNG} * (1 << k)) AS o FROM d, range(0, 26) AS x(k) WHERE length(t) >= {RUNG} * (1 << k)),
+w AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY k, o) AS first FROM r),
+near AS (SELECT doc_id, max_by(first, k) AS near_id FROM w WHERE first < doc_id GROUP BY doc_id),
+x AS (
+  SELECT f.*, near_id, string_split(f.t, '') AS a, string_split(o.t, '') AS b, least(length(f.t), length(o.t)) AS most
+  FROM f LEFT JOIN near USING (doc_id) LEFT JOIN d AS o ON o.doc_id = near_id
 )
-SELECT doc_id, n_chars, n_lines, fingerprint, CASE WHEN t <> '' AND twin <> doc_id THEN twin END AS twin_id, near_id,
-  CASE WHEN near_id IS NOT NULL THEN coalesce(list_min(list_filter(range(1, most + 1), lambda i: l[i] <> m[i])) - 1, most)::INTEGER END AS head_lines,
-  CASE WHEN near_id IS NOT NULL THEN coalesce(list_min(list_filter(range(1, most + 1), lambda i: l[-i] <> m[-i])) - 1, most)::INTEGER END AS tail_lines
+SELECT doc_id, n_chars, fingerprint, CASE WHEN t <> '' AND twin <> doc_id THEN twin END AS twin_id, near_id,
+  {_COMMON.format(i="i")} AS head_chars, {_COMMON.format(i="-i")} AS tail_chars
 FROM x
 """
