@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ascii_lower, trim_ws
+from .text import WS, ascii_lower, bind, trim_ws
 
 NAMED = {"nbsp": " ", "lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
 
@@ -29,7 +29,32 @@ def decode_entities(c: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
-    """Text outside tags, scripts and styles, a line feed for each paragraph, line break and list item."""
+    """Text outside tags, scripts and styles, a line feed for each paragraph, line break and list item.
+
+    A page is cut before its script and style tags, of which it has few, and each part takes two
+    passes.  Where a tag has another "<" in it, such a cut could fall inside one, so such a
+    page is taken tag by tag.
+    """
+    text = F.when(c.rlike("<[^<>]*<"), _by_tags(c)).otherwise(_by_cuts(c))
+    return decode_entities(trim_ws(text))
+
+
+def _by_cuts(c: Column) -> Column:
+    marker = f"<{WS}*/?(?i:script|style)[^>]*>"
+    parts = F.split(c, f"(?={marker})")
+    head = lambda t: ascii_lower(F.regexp_extract(t, f"^<{WS}*(/?(?i:script|style))[^>]*>", 1))
+
+    def shown(t: Column, i: Column, marks: Column) -> Column:
+        last = lambda name: F.try_element_at(F.filter(F.slice(marks, 1, i + 1), lambda m: m.endswith(name)), F.lit(-1))
+        hidden = F.coalesce(last("script") == "script", F.lit(False)) | F.coalesce(last("style") == "style", F.lit(False))
+        # in a script only the tags are left, whose breaks still count
+        tags = F.when(hidden & (F.size(marks) > 1), F.regexp_replace(t, "(?<=>)[^<]+", "")).otherwise(t)
+        return F.regexp_replace(F.regexp_replace(tags, f"<{WS}*(?i:br|/p|/li|p|li)[^>]*>", "\n"), r"(?s)<[^>]*(?:>|\z)", "")
+
+    return bind(parts, lambda p: bind(F.transform(p, head), lambda marks: F.array_join(F.transform(p, lambda t, i: shown(t, i, marks)), "")))
+
+
+def _by_tags(c: Column) -> Column:
     parts = F.regexp_extract_all(c, F.lit(r"(?s)(<[^>]*(?:>|$)|[^<]+)"), 1)
     tag = lambda t: ascii_lower(trim_ws(F.regexp_replace(t, "^<|>$", "")))
     closed = lambda t: t.startswith("<") & t.endswith(">")
@@ -44,13 +69,10 @@ def html_to_text(c: Column) -> Column:
 
     breaks = lambda t: closed(t) & tag(t).rlike("^(?:br|/p|/li|p|li)")
     show = lambda t, i, scripts, styles: F.when(t.startswith("<"), F.when(breaks(t), F.lit("\n")).otherwise("")).when(inside(scripts, i) | inside(styles, i), "").otherwise(t)
-    # an array of one struct binds what is made once a page, else it would be made again for each part
-    bound = F.array(F.struct(parts.alias("parts"), turns("script").alias("scripts"), turns("style").alias("styles")))
-    text = F.get(F.transform(bound, lambda p: F.array_join(F.transform(p["parts"], lambda t, i: show(t, i, p["scripts"], p["styles"])), "")), F.lit(0))
-    return decode_entities(trim_ws(text))
+    bound = F.struct(parts.alias("parts"), turns("script").alias("scripts"), turns("style").alias("styles"))
+    return bind(bound, lambda p: F.array_join(F.transform(p["parts"], lambda t, i: show(t, i, p["scripts"], p["styles"])), ""))
 
 
 def looks_like_html(c: Column) -> Column:
-    """Whether a text has tags that mail bodies are made of."""
-    low = ascii_lower(c)
-    return low.rlike("<html|<body|<div|<table|<br|</p>|<span|<a href")
+    """Whether a text has the tags of a page, or any end tag."""
+    return bind(ascii_lower(c), lambda low: low.rlike("<(?:html|body|table|div)") | (low.contains("</") & low.contains(">")))

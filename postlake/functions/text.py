@@ -18,6 +18,11 @@ INVISIBLE = "\u034f\u00ad\ufeff\u200b\u200c\u200d\u2060\u180e\u200e\u200f\u202a\
 SPACES = "\u00a0\u2007\u202f\u2009\u200a"
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with value made once: inlined, it would be made again at every place where f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower case of ASCII letters only."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
@@ -63,11 +68,12 @@ def keep_first(items: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Line ends, invisible characters, runs of blanks and of more than two line feeds put in order."""
-    out = F.regexp_replace(c, r"\r\n", "\n")
+    out = F.replace(c, F.lit("\r\n"), F.lit("\n"))
     out = F.translate(out, "\r\u2028\u2029" + SPACES + INVISIBLE, "\n\n\n" + " " * len(SPACES))
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    out = F.regexp_replace(out, f"[{WS_CHARS}&&[^\n]]+", " ")
-    return trim_ws(F.regexp_replace(out, r"(?m) +$", ""))
+    # runs that are no single blank
+    out = F.regexp_replace(out, f" *[{WS_CHARS}&&[^\n ]][{WS_CHARS}&&[^\n]]*|  +", " ")
+    return trim_ws(F.replace(out, F.lit(" \n"), F.lit("\n")))
 
 
 def normalize_line_ends(c: Column) -> Column:
@@ -108,6 +114,13 @@ def html_escape(c: Column) -> Column:
     return c
 
 
+def script_json(c: Column) -> Column:
+    """JSON that may stand in a script element: no end tag, comment or line separator in it."""
+    for raw, code in (("&", "0026"), ("<", "003c"), (">", "003e"), ("\u2028", "2028"), ("\u2029", "2029")):
+        c = F.replace(c, F.lit(raw), F.lit("\\u" + code))
+    return c
+
+
 def safe_filename(c: Column) -> Column:
     """At most 120 characters that every file system takes."""
     out = strip_chars(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^A-Za-z0-9._-]", "_"), "._")

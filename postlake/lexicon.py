@@ -23,13 +23,28 @@ LIFECYCLE_KINDS = ("subscription_canceled", "subscription_renewed", "subscriptio
 ACTION_KINDS = ("view_invoice", "pay_now", "manage_subscription", "update_payment_method", "billing_portal", "unknown")
 
 
+class Regex(str):
+    """A pattern that is an expression, to be found anywhere in lower-case text."""
+
+
 def _quoted(p: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", p)
 
 
 def bounded(patterns: list[str] | tuple[str, ...]) -> str:
-    """An expression that finds any of the patterns between non-word characters."""
-    return f"(?:^|[^{WORD}])(?:{'|'.join(_quoted(p) for p in patterns)})(?:$|[^{WORD}])"
+    """An expression that finds any of the literals between non-word characters, or any of the expressions."""
+    literals = [_quoted(p) for p in patterns if not isinstance(p, Regex)]
+    found = [f"(?:^|[^{WORD}])(?:{'|'.join(literals)})(?:$|[^{WORD}])"] if literals else []
+    return "|".join(found + [f"(?:{p})" for p in patterns if isinstance(p, Regex)]) or "(?!)"
+
+
+def anywhere(text: Column, patterns: list[str]) -> Column:
+    """Whether any of the literals or expressions is in a text."""
+    out = contains_any(text, [p for p in patterns if not isinstance(p, Regex)])
+    for p in patterns:
+        if isinstance(p, Regex):
+            out = out | text.rlike(p)
+    return out
 
 
 @dataclass
@@ -51,23 +66,34 @@ class Lexicon:
         """Bounded match of lifecycle and gate patterns, substring match of the others."""
         if family in ("lifecycle_keyword", "confirmation_gate"):
             return text.rlike(bounded(self.patterns[family]))
-        return contains_any(text, self.patterns[family])
+        return anywhere(text, self.patterns[family])
 
-    def _in_order(self, text: Column, value) -> Column:
-        out = F.lit(None).cast("string")
-        for r in sorted(self.lifecycle, key=lambda r: (-r.priority, r.id), reverse=True):
+    def finds(self, family: str, text: str) -> bool:
+        """matches() of a family that is found anywhere, for a string on a worker."""
+        return any(re.search(p, text) if isinstance(p, Regex) else p in text for p in self.patterns[family])
+
+    def _ordered(self) -> list[Rule]:
+        return sorted(self.lifecycle, key=lambda r: (-r.priority, r.id))
+
+    def lifecycle_rule(self, text: Column) -> Column:
+        """The place, from 1, of the first rule that holds, by falling priority, then id (L05); null for none."""
+        out = F.lit(None).cast("int")
+        for i, r in reversed(list(enumerate(self._ordered(), 1))):
             hit = F.lit(True)
             for g in r.groups:
                 hit = hit & text.rlike(bounded(g))
-            out = F.when(hit, F.lit(value(r))).otherwise(out)
+            out = F.when(hit, F.lit(i)).otherwise(out)
         return out
 
+    def lifecycle_values(self, rule: Column, value) -> Column:
+        """value(rule) for the place of a rule."""
+        return F.try_element_at(F.array(*(F.lit(value(r)).cast("string") for r in self._ordered())), rule) if self.lifecycle else F.lit(None).cast("string")
+
     def classify_lifecycle(self, text: Column) -> Column:
-        """Kind of the first rule that holds, by falling priority, then id."""
-        return self._in_order(text, lambda r: r.kind)
+        return self.lifecycle_values(self.lifecycle_rule(text), lambda r: r.kind)
 
     def lifecycle_signal(self, text: Column) -> Column:
-        return self._in_order(text, lambda r: r.signal)
+        return self.lifecycle_values(self.lifecycle_rule(text), lambda r: r.signal)
 
     def classify_billing(self, line: Column) -> Column:
         """Action of the first rule in file order that matches a line."""
@@ -99,16 +125,13 @@ def from_config(config: dict) -> Lexicon:
     base, out = default_lexicon(), Lexicon()
 
     def patterns(items: list, where: str) -> list[str]:
-        found = [str(x["pattern"] if isinstance(x, dict) else x).strip() for x in items or []]
-        if any(not p for p in found):
-            raise ValueError(f"empty pattern in {where}")
-        return [re.sub("[A-Z]+", lambda m: m.group().lower(), p) for p in found]
+        return [pattern_of(x.get("pattern"), x.get("match_mode"), where) if isinstance(x, dict) else pattern_of(x, None, where) for x in items or []]
 
     for family in base.patterns:
         own = patterns(config.get(family) or config.get(f"{family}_patterns"), family)
-        if not own and not family.startswith("event_"):
+        if not own and family == "lifecycle_keyword":
             raise ValueError(f"{family} must not be empty")
-        out.patterns[family] = own or base.patterns[family]
+        out.patterns[family] = own if own or not family.startswith("event_") else base.patterns[family]
     ids: set[str] = set()
     for section in ("lifecycle_rules", "billing_action_rules"):
         if not config.get(section):
@@ -132,6 +155,35 @@ def from_config(config: dict) -> Lexicon:
     return out
 
 
+def pattern_of(pattern, mode: str | None, where: str) -> str:
+    """A literal in lower case, or an expression, which must be a valid one."""
+    p = str(pattern or "").strip()
+    if not p:
+        raise ValueError(f"empty pattern in {where}")
+    if mode in (None, "literal"):
+        return re.sub("[A-Z]+", lambda m: m.group().lower(), p)
+    if mode != "regex":
+        raise ValueError(f"unknown match_mode in {where}: {mode}")
+    try:
+        re.compile(p)
+    except re.error as e:
+        raise ValueError(f"invalid expression in {where}: {e}") from e
+    return Regex(p)
+
+
+def load(path: str) -> Lexicon:
+    """A lexicon of a YAML or JSON file."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        return from_config(json.loads(text))
+    try:
+        import yaml
+    except ModuleNotFoundError as e:
+        raise RuntimeError("YAML files need PyYAML; a JSON file does not") from e
+    return from_config(yaml.safe_load(text))
+
+
 def parse_overrides(text: str) -> list[tuple[str, str]]:
     """(target, pattern) of JSON lines that add patterns; blank lines and # comments are skipped."""
     out = []
@@ -141,11 +193,9 @@ def parse_overrides(text: str) -> list[tuple[str, str]]:
         op = json.loads(line)
         if extra := set(op) - {"op", "target", "pattern", "match_mode"}:
             raise ValueError(f"line {number}: unknown field {sorted(extra)[0]}")
-        if op.get("op") != "add":
+        if op.get("op") != "add_pattern":
             raise ValueError(f"line {number}: unknown op {op.get('op')}")
-        if not str(op.get("pattern", "")).strip():
-            raise ValueError(f"line {number}: empty pattern")
-        out.append((re.sub("_patterns$", "", op["target"]), op["pattern"].strip().lower()))
+        out.append((re.sub("_patterns$", "", str(op.get("target"))), pattern_of(op.get("pattern"), op.get("match_mode"), f"line {number}")))
     return out
 
 
@@ -155,6 +205,6 @@ def apply_overrides(lexicon: Lexicon, ops: list[tuple[str, str]]) -> Lexicon:
     for target, pattern in ops:
         if target not in patterns:
             raise ValueError(f"unknown target: {target}")
-        if pattern not in patterns[target]:
+        if not any(p == pattern and isinstance(p, Regex) == isinstance(pattern, Regex) for p in patterns[target]):
             patterns[target].append(pattern)
     return Lexicon(patterns, lexicon.lifecycle, lexicon.billing)

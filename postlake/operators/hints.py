@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, blank_to_null, contains_any, count_of, lines, strip_chars, tokens, trim_ws
+from ..functions.text import ascii_lower, bind, blank_to_null, contains_any, count_of, lines, strip_chars, tokens, trim_ws
 from ..lexicon import Lexicon
 from ..wordlists import MAIL_KINDS, NEWSLETTER_SENDERS
 
@@ -20,31 +20,47 @@ def header(headers: Column, name: str) -> Column:
     return F.element_at(headers, F.lit(name))
 
 
-def mail_kind_scores(subject: Column, body: Column, headers: Column, lifecycle_high: Column | None = None) -> Column:
-    """array of struct(score, rank, kind) of the kinds with any signal, the best first."""
+def mail_kind_signals(subject: Column, body: Column, headers: Column) -> Column:
+    """struct of the counts and flags that mail_kind_scores() weighs; each is looked for once."""
     text = F.concat(F.lower(F.coalesce(subject, F.lit(""))), F.lit("\n"), F.lower(F.coalesce(body, F.lit(""))))
-    flag = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
     low = lambda name: F.lower(header(headers, name))
-    score = {k: count_of(text, MAIL_KINDS[k].split("|")) * w for k, w in WEIGHTS.items()}
-    score["notification"] = score["notification"] + flag(text.contains("notification"), 1)  # this word counts twice
     sender = F.coalesce(low("from"), F.lit(""))
-    bulk = contains_any(sender, NEWSLETTER_SENDERS.split("|"))
-    automatic = contains_any(sender, ("no-reply", "noreply", "newsletter", "updates@"))
-    score["newsletter"] = score["newsletter"] + flag(header(headers, "list-unsubscribe").isNotNull(), 3) + flag(header(headers, "list-id").isNotNull(), 3) + flag(low("precedence").rlike("bulk|list"), 2) + flag(bulk, 2) + flag(bulk & automatic, 1)
-    score["newsletter"] = score["newsletter"] + flag((score["newsletter"] >= 3) & (score["promotion"] >= 3), 1)
-    score["notification"] = score["notification"] + flag(low("auto-submitted").contains("auto-generated"), 2) + flag(automatic & ~bulk, 1)
+    flags = {
+        "bulk": contains_any(sender, NEWSLETTER_SENDERS.split("|")), "automatic": contains_any(sender, ("no-reply", "noreply", "newsletter", "updates@")), "unsubscribe": header(headers, "list-unsubscribe").isNotNull(),
+        "list": header(headers, "list-id").isNotNull(), "precedence": low("precedence").rlike("bulk|list"), "generated": low("auto-submitted").contains("auto-generated"),
+    }
+    return bind(text, lambda t: F.struct(*(count_of(t, MAIL_KINDS[k].split("|")).alias(k) for k in WEIGHTS), t.contains("notification").alias("word"), *(F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items())))
+
+
+def scores_of(signals: Column, lifecycle_high: Column | None = None) -> Column:
+    """array of struct(score, rank, kind) of the kinds with any signal, the best first."""
+    flag = lambda c, n: F.when(c, n).otherwise(0)
+    s = signals
+    score = {k: s[k] * w for k, w in WEIGHTS.items()}
+    news = score["newsletter"] + flag(s["unsubscribe"], 3) + flag(s["list"], 3) + flag(s["precedence"], 2) + flag(s["bulk"], 2) + flag(s["bulk"] & s["automatic"], 1)
+    score["newsletter"] = news + flag((news >= 3) & (score["promotion"] >= 3), 1)
+    # the word notification counts twice
+    score["notification"] = score["notification"] + flag(s["word"], 1) + flag(s["generated"], 2) + flag(s["automatic"] & ~s["bulk"], 1)
     if lifecycle_high is not None:
-        score["transactional"] = score["transactional"] + flag(lifecycle_high, 3)
+        score["transactional"] = score["transactional"] + flag(F.coalesce(lifecycle_high, F.lit(False)), 3)
     rows = F.array(*(F.struct((-score[k]).alias("minus"), F.lit(KINDS.index(k)).alias("rank"), F.lit(k).alias("kind")) for k in WEIGHTS))
     return F.array_sort(F.filter(rows, lambda r: r["minus"] < 0))
 
 
+def mail_kind_scores(subject: Column, body: Column, headers: Column, lifecycle_high: Column | None = None) -> Column:
+    return bind(mail_kind_signals(subject, body, headers), lambda s: scores_of(s, lifecycle_high))
+
+
 def mail_kind(scores: Column) -> Column:
     """struct(kind, confidence, score, second) from mail_kind_scores(); second is null unless it comes close."""
-    top, second = F.get(scores, F.lit(0)), F.get(scores, F.lit(1))
-    s, s2 = -top["minus"], F.coalesce(-second["minus"], F.lit(0))
-    confidence = F.when((s >= 5) & (s - s2 >= 2), "high").when(s >= 3, "medium").otherwise("low")
-    return F.struct(F.coalesce(top["kind"], F.lit("unknown")).alias("kind"), confidence.alias("confidence"), F.coalesce(s, F.lit(0)).alias("score"), F.when((s - s2 <= 1) & (s2 >= 3), second["kind"]).alias("second"))
+
+    def of(scores: Column) -> Column:
+        top, second = F.get(scores, F.lit(0)), F.get(scores, F.lit(1))
+        s, s2 = -top["minus"], F.coalesce(-second["minus"], F.lit(0))
+        confidence = F.when((s >= 5) & (s - s2 >= 2), "high").when(s >= 3, "medium").otherwise("low")
+        return F.struct(F.coalesce(top["kind"], F.lit("unknown")).alias("kind"), confidence.alias("confidence"), F.coalesce(s, F.lit(0)).alias("score"), F.when((s - s2 <= 1) & (s2 >= 3), second["kind"]).alias("second"))
+
+    return bind(scores, of)
 
 
 def lifecycle_gate(kind: Column) -> Column:
@@ -62,41 +78,51 @@ def _trimmed_lines(body: Column) -> Column:
 
 
 def lifecycle(subject: Column, body: Column, headers: Column, gate: Column, lexicon: Lexicon, first_from: Column | None = None) -> Column:
-    """The lifecycle hint as a struct, null where the gate or the rules give none; of several lines for a field the last counts."""
+    """The lifecycle hint as a struct, null where the gate or the rules give none; of several lines for a field the last counts.
+
+    The cheap gate comes first; rules and lines are looked at only where it is open.
+    """
     text = F.concat(ascii_lower(F.coalesce(subject, F.lit(""))), F.lit("\n"), ascii_lower(F.coalesce(body, F.lit(""))))
-    strong = strong_structure(text)
-    keyword = strong & lexicon.matches("lifecycle_keyword", text)
     known = lexicon.matches("known_billing_senders", ascii_lower(F.coalesce(header(headers, "from"), F.lit(""))))
-    open_ = (gate == "allow") | keyword | ((gate == "strong_only") & (known | lexicon.matches("confirmation_gate", text)))
-    kind = lexicon.classify_lifecycle(text)
-    all_ = _trimmed_lines(body)
-    low = ascii_lower
-    name = lambda x: low(x).startswith("customer name:")
-    email = lambda x: low(x).startswith("customer email:")
-    plan = lambda x: low(x).rlike("^(?:offer|plan):")
-    date = lambda x: low(x).rlike("^(?:effective |renewal )?date:")
-    money = lambda x: low(x).rlike(r"\$| usd| eur| gbp") & ~(name(x) | email(x) | plan(x) | date(x))
-    last = lambda test: F.try_element_at(F.filter(all_, test), F.lit(-1))
-    value = lambda test: trim_ws(F.regexp_replace(last(test), "(?s)^[^:]*:", ""))
-    amount = last(money)
-    currency = F.when(low(amount).rlike(r"\$| usd"), "USD").when(low(amount).contains(" eur"), "EUR").when(low(amount).contains(" gbp"), "GBP")
     sender = header(headers, "from")
     provider = F.when(sender.contains("@"), strip_chars(trim_ws(F.get(F.split(sender, "@"), F.lit(1))), ">"))
-    confidence = F.when(strong, "high").when(kind.isin("subscription_canceled", "subscription_renewed"), "medium").otherwise("low")
-    hint = F.struct(kind.alias("kind"), confidence.alias("confidence"), F.coalesce(provider, first_from if first_from is not None else F.lit(None).cast("string")).alias("provider"), value(plan).alias("plan_name"), value(name).alias("customer_name"), value(email).alias("customer_email"), amount.alias("amount_raw"), currency.alias("currency"), value(date).alias("effective_date_raw"), lexicon.lifecycle_signal(text).alias("signal"))
-    return F.when(open_ & kind.isNotNull() & (kind != "unknown"), hint)
+    provider = F.coalesce(provider, first_from if first_from is not None else F.lit(None).cast("string"))
+
+    def hint(found: Column, strong: Column) -> Column:
+        """found: struct(rule, lines); the lines as struct(line, low)."""
+        rule = found["rule"]
+        kind = lexicon.lifecycle_values(rule, lambda r: r.kind)
+        last = lambda test: F.try_element_at(F.filter(found["lines"], test), F.lit(-1))["line"]
+        name = lambda x: x["low"].startswith("customer name:")
+        email = lambda x: x["low"].startswith("customer email:")
+        plan = lambda x: x["low"].rlike("^(?:offer|plan):")
+        date = lambda x: x["low"].rlike("^(?:effective |renewal )?date:")
+        money = lambda x: x["low"].rlike(r"\$| usd| eur| gbp") & ~(name(x) | email(x) | plan(x) | date(x))
+        value = lambda test: trim_ws(F.regexp_replace(last(test), "(?s)^[^:]*:", ""))
+        currency = lambda a: F.when(ascii_lower(a).rlike(r"\$| usd"), "USD").when(ascii_lower(a).contains(" eur"), "EUR").when(ascii_lower(a).contains(" gbp"), "GBP")
+        confidence = F.when(strong, "high").when(kind.isin("subscription_canceled", "subscription_renewed"), "medium").otherwise("low")
+        fields = lambda a: F.struct(kind.alias("kind"), confidence.alias("confidence"), provider.alias("provider"), value(plan).alias("plan_name"), value(name).alias("customer_name"), value(email).alias("customer_email"), a.alias("amount_raw"), currency(a).alias("currency"), value(date).alias("effective_date_raw"), lexicon.lifecycle_values(rule, lambda r: r.signal).alias("signal"))
+        return F.when(kind.isNotNull() & (kind != "unknown"), bind(last(money), fields))
+
+    def of(t: Column, strong: Column) -> Column:
+        open_ = (gate == "allow") | (strong & lexicon.matches("lifecycle_keyword", t)) | ((gate == "strong_only") & (known | lexicon.matches("confirmation_gate", t)))
+        found = bind(lexicon.lifecycle_rule(t), lambda rule: F.struct(rule.alias("rule"), F.when(rule.isNotNull(), F.transform(_trimmed_lines(body), lambda x: F.struct(x.alias("line"), ascii_lower(x).alias("low")))).alias("lines")))
+        return F.when(open_, bind(found, lambda f: hint(f, strong)))
+
+    return bind(text, lambda t: bind(count_of(t, STRUCTURE) >= 2, lambda strong: of(t, strong)))
 
 
 def _line_urls(line: Column) -> Column:
     return F.filter(F.transform(tokens(line), lambda t: strip_chars(t, r"<>()\[\]\"',")), lambda t: t.startswith("http://") | t.startswith("https://"))
 
 
-def billing_actions(body: Column, lexicon: Lexicon) -> Column:
-    """array of struct(kind, url, label, source, confidence), first occurrences."""
+def billing_actions(body: Column, lexicon: Lexicon, lifecycle_kind: Column | None = None) -> Column:
+    """array of struct(kind, url, label, source, confidence, related_lifecycle_kind), first occurrences."""
+    related = F.lit(None).cast("string") if lifecycle_kind is None else lifecycle_kind
 
     def of(line: Column) -> Column:
         kind, urls = lexicon.classify_billing(ascii_lower(line)), _line_urls(line)
-        row = lambda url, source, how: F.struct(kind.alias("kind"), url.alias("url"), line.alias("label"), F.lit(source).alias("source"), F.lit(how).alias("confidence"))
+        row = lambda url, source, how: F.struct(kind.alias("kind"), url.alias("url"), line.alias("label"), F.lit(source).alias("source"), F.lit(how).alias("confidence"), related.alias("related_lifecycle_kind"))
         none = F.array(row(F.lit(None).cast("string"), "body_text", "low"))
         found = F.when(F.size(urls) > 0, F.transform(urls, lambda u: row(u, "body_link", "medium"))).otherwise(none)
         return F.filter(found, lambda r: r["kind"].isNotNull())

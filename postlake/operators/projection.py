@@ -33,7 +33,7 @@ def day(c: Column) -> Column:
 
 
 def apply_query(rows: DataFrame, q: ProjectionQuery) -> DataFrame:
-    """Filter, then sort by the string, then limit; message_key makes the order total."""
+    """Filter, then sort by the string, then limit; of equals the first in the mailbox's order, which ordinal is, comes first."""
     if q.subject_contains:
         rows = rows.where(ascii_lower(F.col("subject")).contains(ascii_lower(F.lit(q.subject_contains))))
     d = day(F.col("date"))
@@ -45,7 +45,7 @@ def apply_query(rows: DataFrame, q: ProjectionQuery) -> DataFrame:
         if value:
             rows = rows.where(F.array_contains(column, value))
     by, down = SORTS.get(q.sort, ("date", True))
-    rows = rows.orderBy(F.desc(by) if down else F.asc(by), "message_key")
+    rows = rows.orderBy(F.desc(by) if down else F.asc(by), "ordinal")
     return rows if q.limit is None else rows.limit(q.limit)
 
 
@@ -94,11 +94,37 @@ def graph_nodes(rows: DataFrame, group: str = "thread", layer: str = "all") -> D
 
 
 def stats(rows: DataFrame, group: str = "thread", layer: str = "all") -> DataFrame:
-    """One row of counts."""
-    base = rows.agg(F.count("*").alias("n_rows"), F.count_distinct("thread_id").alias("n_threads"))
-    nodes = graph_nodes(rows, group, layer).agg(F.count("*").alias("n_nodes"))
-    links = graph_links(rows, group, layer).agg(F.count("*").alias("n_links"))
-    return base.crossJoin(nodes).crossJoin(links)  # of one row each
+    """One row of counts (R07): one scan gives every row's keys, and distinct keys of either kind are counted."""
+    each = _parts(rows, group, layer)
+    none = F.lit("").alias("y"), F.lit("").alias("z")
+    own = F.array(*(F.struct(F.lit(w).alias("what"), F.col("thread_id").alias("x"), *none) for w in "tr"))
+    ids = each.select(F.explode(F.concat(own, "nodes", "links")).alias("e")).select("e.*")
+    # rows are counted as they are, the others once each
+    once = ids.groupBy("what", "x", "y", "z").agg(F.count("*").alias("c"))
+    count = lambda w, c: F.coalesce(F.sum(F.when(F.col("what") == w, c)), F.lit(0)).cast("long")
+    return once.agg(count("r", F.col("c")).alias("n_rows"), count("t", F.lit(1)).alias("n_threads"), count("n", F.lit(1)).alias("n_nodes"), count("l", F.lit(1)).alias("n_links"))
+
+
+def _parts(rows: DataFrame, group: str, layer: str) -> DataFrame:
+    """(thread_id, key, message_key, nodes, links): the keys of a row's nodes and links."""
+    key = display_subject(F.col("subject")) if group == "subject" else F.col("thread_id")
+    item = lambda what, x, y, z: F.struct(F.lit(what).alias("what"), x.alias("x"), y.alias("y"), z.alias("z"))
+    m, none = F.concat(F.lit("M:"), "message_key"), F.lit("")
+    people = F.array_distinct(F.filter(F.transform(F.concat("from", "to", "cc"), address_email), lambda a: a != ""))
+    urls = F.coalesce(mentioned_urls(F.col("reply_text")), F.array().cast("array<string>"))
+    days = F.when(F.col("date") != "", F.array(F.substring("date", 1, 10))).otherwise(F.array().cast("array<string>"))
+    kinds = [("P:", people, "participant", layer != "core"), ("U:", urls, "mentions", layer == "all"), ("D:", days, "dated", layer == "all")]
+
+    def node(p: str):
+        return lambda x: item("n", F.concat(F.lit(p), x), none, none)
+
+    def link(p: str, k: str):
+        return lambda x: item("l", m, F.concat(F.lit(p), x), F.lit(k))
+
+    shown = [x for x in kinds if x[3]]
+    nodes = F.concat(F.array(item("n", F.concat(F.lit("T:"), key), none, none), item("n", m, none, none)), *(F.transform(xs, node(p)) for p, xs, _, _ in shown))
+    links = F.concat(F.array(item("l", F.concat(F.lit("T:"), key), m, F.lit("contains"))), *(F.transform(xs, link(p, k)) for p, xs, k, _ in shown))
+    return rows.select("thread_id", key.alias("key"), "message_key", nodes.alias("nodes"), links.alias("links"))
 
 
 @dataclass
@@ -116,7 +142,7 @@ def project(rows: DataFrame, q: ProjectionQuery, group: str = "thread", layer: s
     by, down = SORTS.get(q.sort, ("date", True))
     # without a limit the order of rows is only a display matter, so a global window would be waste
     if q.limit is not None:
-        found = found.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc(by) if down else F.asc(by), "message_key")).cast("long"))
+        found = found.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc(by) if down else F.asc(by), "ordinal")).cast("long"))
     return Dataset(found, graph_nodes(found, group, layer), graph_links(found, group, layer), facets(found), stats(found, group, layer))
 
 

@@ -1,4 +1,4 @@
-"""Bodies cut into salutation, reply, signature, disclaimer, quoted and forwarded blocks.
+"""Bodies cut into salutation, reply, signature, disclaimer, quoted and forwarded blocks.
 
 The rules look back and forth over lines with stops that depend on what was found, so they run
 in one Arrow function a batch; everything before and after it is Columns.
@@ -21,9 +21,18 @@ _ON = ("on ", "le ", "el ", "am ", "il ", "op ", "w dniu ", "den ", "v ")
 _SUBJECTS = ("subject:", "betreff:", "objet:", "oggetto:", "onderwerp:", "temat:")
 _MONTH = re.compile("jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec")
 _NAME = re.compile(r"[A-Z][A-Za-z'-]*")
-_EMAIL = re.compile(r"\S@\S*\.\S")
-_THANKS = ("thanks", "thank you", "many thanks", "merci", "grazie", "muchas gracias", "obrigado", "obrigada", "with thanks")
-_SOFT = re.compile("avenue|street|road|blvd|boulevard|unit |p.o.box|po box|inc|llc|gmbh|ltd|company|manager|director|engineer|technician|support|cid:|logo")
+_EDGES = ",;:.()<>[]\"'"
+#: Sign-offs that count only as a whole line, and that alone are too short to be one.
+_THANKS = {"a+", "cdlt", "cheers", "many thanks", "merci", "merci beaucoup", "thank you", "thanks"}
+_PLACE = re.compile(r"usa|ksa|canada|germany|france|city|po box|p\.o\.box|unit |boulevard|blvd|road|street|avenue")
+_ORG = re.compile("support|technician|engineer|director|manager|company|ltd|sas|gmbh|llc|inc")
+_IMAGE = re.compile(r"logo|\[image|cid:")
+_TITLE = re.compile("lead|head of|vp|cfo|cto|ceo|coo|consultant|technician|engineer|director|manager")
+_CAPITALS = re.compile("[A-Z&/-]{2,}")
+_LINKED = re.compile(r"https?://|www\.")
+_FOOTER = ("all rights reserved", "copyright", "do not reply", "manage your notification settings", "notification settings", "please do not reply", "unsubscribe")
+_FOOTER_LINE = (*_FOOTER, "harap jangan membalas", "manage preferences", "powered by", "view in browser")
+SALUTATION_BYTES, SIGNATURE_CHARS = 50, 300
 
 
 def _lower(s: str) -> str:
@@ -58,17 +67,27 @@ def is_starred_name(line: str) -> bool:
     return len(t) > 2 and t[0] == t[-1] == "*" and all(c.isalpha() or c.isspace() or c == "'" for c in t[1:-1])
 
 
+def size(s: str) -> int:
+    """Lengths are in bytes of UTF-8 wherever a rule has a limit."""
+    return len(s.encode())
+
+
 def is_datetime(line: str) -> bool:
     t = line.strip()
-    if len(t.encode()) > 50:
+    if size(t) > 50:
         return False
-    words = t.split()
-    bare = [w.strip(",:.;") for w in words]
-    year = any(re.fullmatch("[0-9]{4}", w) for w in bare)
-    day = any(re.fullmatch("[0-9]+", w) and len(w) != 4 for w in bare)
-    month = any(_MONTH.search(w.lower()) for w in bare)
-    clock = any(re.fullmatch("[0-9]+:[0-9]+", w) for w in words)
-    return day and month and year and (clock or len(t.encode()) < 30)
+    day = month = year = False
+    for w in t.split():
+        bare = w.strip(",:.;")
+        if re.fullmatch("[0-9]{4}", bare):
+            year = True
+        elif re.fullmatch(r"\+?[0-9]{1,10}", bare):
+            day = True
+        elif _MONTH.search(w.strip(",:.").lower()):
+            month = True
+    dated = (day and month and year) or (size(t) == 10 and t[4:5] == t[7:8] == "-")
+    clock = any(re.fullmatch("[0-9]+:[0-9]+", w) for w in t.split())
+    return dated and (clock or size(t) < 30)
 
 
 def is_header_key(line: str) -> bool:
@@ -111,45 +130,175 @@ def is_salutation(line: str) -> bool:
 
 
 def _name_like(line: str) -> bool:
-    words = [w.strip(",.;:()<>[]\"'") for w in line.split()]
-    return 0 < len(words) <= 4 and len(line.strip()) <= 60 and all(_NAME.fullmatch(w) for w in words) and (len(words) > 1 or len(words[0]) > 1)
+    words = [w.strip(_EDGES) for w in line.split()]
+    return 0 < len(words) <= 4 and size(line.strip()) <= 60 and all(_NAME.fullmatch(w) for w in words) and (len(words) > 1 or len(words[0]) > 1)
+
+
+def _title_like(line: str) -> bool:
+    t = line.strip()
+    words = t.split()
+    return 0 < len(words) <= 6 and size(t) <= 48 and (any(_CAPITALS.fullmatch(w.strip(_EDGES)) for w in words) or bool(_TITLE.search(_lower(t))))
+
+
+def _email_like(line: str) -> bool:
+    return any("." in t.split("@", 1)[1] for t in (w.strip(_EDGES) for w in line.split()) if "@" in t)
+
+
+def _phone_like(line: str) -> bool:
+    return len(re.findall("[0-9]", line)) >= 8 and any(c in line for c in "+- ")
 
 
 def _strong(line: str) -> bool:
-    digits = sum(c.isdigit() for c in line)
-    return bool(_EMAIL.search(line)) or (digits >= 8 and bool(re.search(r"[+ -]", line))) or bool(re.search("https?://|www\\.", line.lower()))
+    return _email_like(line) or _phone_like(line) or bool(_LINKED.search(_lower(line)))
 
 
-def _cue(line: str) -> bool:
-    c = core(line)
-    return any(c == p or (c.startswith(p) and not c[len(p)].isalnum() and len(c) <= len(p) + 24) for p in _M["signature_cues"])
+def _soft(line: str) -> bool:
+    low = _lower(line)
+    return any(p.search(low) for p in (_PLACE, _ORG, _IMAGE))
+
 
+def contact_score(line: str) -> int:
+    """Two for an address, number, link or image mark, one for words of places and of organisations or titles."""
+    low = _lower(line)
+    return 2 * (_email_like(line) + _phone_like(line) + bool(_LINKED.search(low)) + bool(_IMAGE.search(low))) + bool(_PLACE.search(low)) + bool(_ORG.search(low))
 
-def signature_start(lines: list[str], end: int) -> tuple[int | None, int | None]:
-    """(signature, disclaimer) line among the last 60 lines with text before end, scanned upwards."""
-    some = [i for i in range(end) if lines[i].strip()][-60:]
+
+def _bare(c: str) -> str:
+    return c.rstrip(",.;:!").strip()
+
+
+def _cue(c: str) -> bool:
+    """Whether a core line is a sign-off."""
+    c = _bare(c)
+    for p in _M["signature_cues"]:
+        if p in _THANKS or p == "your best":
+            if c == p or (p == "your best" and c.startswith((p + ",", p + "."))):
+                return True
+        elif c.startswith(p):
+            return True
+    return False
+
+
+def _inline(line: str) -> int | None:
+    """Where a sign-off begins inside a line."""
+    low = _lower(line)
+    return next((low.index(m) + 1 for m in (" your best,", " your best.", " your best!", " your best") if m in low), None)
+
+
+def _sentence(line: str, least: int, words: int) -> bool:
+    t = line.strip()
+    return size(t) >= least and len(t.split()) >= words and t[-1] in ".!?:"
+
+
+def _stops(line: str) -> bool:
+    t = line.strip()
+    return t.startswith(">") or is_starred_name(t) or is_datetime(t) or is_quote(t)
+
+
+def signature_start(lines: list[str], end: int) -> tuple[tuple[int, int] | None, int | None]:
+    """((line, character in it) of the signature, line of the disclaimer) in the text before line end.
+
+    Three passes, each over the last 60 lines with text from the bottom up: scored cues, a
+    terminal sign-off of at most four lines, a block of contact lines.  Then sentences before
+    a sign-off are given back to the reply, and names and contacts right above are taken in.
+    """
+    some = [i for i in range(end) if lines[i].strip()]
+    text = [lines[i].strip() for i in some]
+    cores = [core(t) for t in text]
+    n, floor = len(some), max(0, len(some) - 60)
+    gap = lambda k: some[k] - some[k - 1] - 1 if k else 0
     found = fallback = disclaimer = None
-    for i in reversed(some):
-        line, c = lines[i], core(lines[i])
-        if line.strip().startswith(">") or is_starred_name(line) or is_datetime(line) or is_quote(line) or any(f in c for f in _M["footer_cues"]):
+    for k in range(n - 1, floor - 1, -1):
+        t, c = text[k], cores[k]
+        if _stops(t) or any(f in c for f in _M["footer_cues"]):
             break
         if any(d in c for d in _M["disclaimer_cues"]):
-            disclaimer = i
-        dash, mobile, cue = line.strip() in ("--", "---", "—"), c.startswith(_M["mobile_signature_cues"]), _cue(line)
-        below = [x for x in lines[i + 1 : min(end, i + 8)] if x.strip()]
-        contact, named = any(map(_strong, below)), any(map(_name_like, below[:2]))
-        blank = i > 0 and not lines[i - 1].strip()
-        gap = i > 1 and blank and not lines[i - 2].strip()
-        score = 3 * dash + 3 * mobile + 3 * cue + 2 * gap + sum(2 if _strong(x) else bool(_SOFT.search(_lower(x))) for x in below) + named
-        prose = len(line.split()) > 8 and not _strong(line)
-        score -= 3 * prose + 2 * (not contact and not named and not cue) + 2 * (len(below) < 3 and not (cue or dash or mobile))
-        short = c.rstrip(",.!") in _THANKS
-        if dash or mobile or (cue and (named or contact or (not short and blank and len(below) <= 4))):
-            found = i
+            disclaimer = some[k]
+        cue = _cue(c)
+        signs = cue or _inline(t) is not None
+        marks = (t == "--") + c.startswith(_M["mobile_signature_cues"]) + signs
+        below = text[k + 1 : k + 8]
+        contact = any(map(_strong, below))
+        named = sum(map(_name_like, below[:2]))
+        score = 3 * marks + 2 * (gap(k) >= 2) + sum(2 if _strong(x) else _soft(x) for x in below) + named
+        strong = bool(marks) or contact
+        prose = _sentence(t, 48, 8) and "A" <= t[0] <= "Z"
+        score -= 3 * (not contact and prose) + 2 * (not strong and not named) + 2 * (n - k < 3 and not cue)
+        if signs and (named or contact or (_bare(c) not in _THANKS and gap(k) >= 1 and n - k <= 4 and not prose)):
+            found = k
+            break
+        if fallback is None and score >= 4 and strong:
+            fallback = k
+    found = fallback if found is None else found
+    if found is None:
+        for k in range(n - 1, floor - 1, -1):
+            if _stops(text[k]):
+                break
+            if not _cue(cores[k]) or gap(k) < 1 or n - k > 4:
+                continue
+            rest = text[k + 1 :]
+            if all(_name_like(x) or _title_like(x) or _soft(x) or _strong(x) for x in rest) and not _sentence(text[k], 64, 10) and (rest or _bare(cores[k]) not in _THANKS):
+                found = k
+                break
+    if found is None:
+        block = []
+        for k in range(n - 1, floor - 1, -1):
+            if _stops(text[k]):
+                break
+            if contact_score(text[k]) or _name_like(text[k]) or _title_like(text[k]) or _cue(cores[k]):
+                block.append(k)
+            elif block:
+                break
+        scores = [contact_score(text[k]) for k in block]
+        if len(block) >= 3 and sum(scores) >= 3 and sum(_sentence(text[k], 64, 10) for k in block) <= 1 and (gap(block[-1]) >= 1 or any(_strong(text[k]) for k in block)):
+            found = block[-1]
+    if found is None:
+        return None, disclaimer
+    plain = lambda k: not (_name_like(text[k]) or _title_like(text[k]) or _soft(text[k]) or _strong(text[k]))
+    while found + 1 < n and cores[found] and not _cue(cores[found]) and plain(found) and len(text[found].split()) >= 4 and text[found][-1] in ".!?":
+        after = next((k for k in range(found + 1, min(found + 4, n)) if _cue(cores[k]) or not plain(k)), None)
+        if after is None or not _cue(cores[after]) or gap(after) < 1:
             break
-        if fallback is None and score >= 4 and (contact or cue):
-            fallback = i
-    return (found if found is not None else fallback), disclaimer
+        found = after
+    while found > 0 and not _sentence(text[found - 1], 64, 10):
+        c, t = cores[found - 1], text[found - 1]
+        if not (c == "--" or "[image]" in c or _cue(c) or not plain(found - 1) or c.startswith("always here to help")):
+            break
+        found -= 1
+    line = some[found]
+    return (line, _inline(lines[line]) or 0), disclaimer
+
+
+def footer_cut(text: str) -> int | None:
+    """Where a footer begins in the last two thirds: at its first mark, if two marks or one and a link follow."""
+    low = _lower(text)
+    third = size(text) // 3
+    cuts = [at for m in _FOOTER if (at := low.find(m)) >= 0 and size(text[:at]) > third]
+    if not cuts:
+        return None
+    at = min(cuts)
+    marks = sum(m in low[at:] for m in _FOOTER)
+    linked = "http://" in low[at:] or "https://" in low[at:]
+    return at if (marks >= 2 or (marks and linked)) and size(text[:at].strip()) >= 24 and size(text[at:].strip()) >= 24 else None
+
+
+def split_footer(reply: str) -> tuple[str, str] | None:
+    """(reply, signature) where a reply ends in a footer: by footer_cut(), else by the marks of its last 40 lines."""
+    lines = reply.split("\n")
+    if lines and not lines[-1]:
+        lines.pop()
+    if len(lines) < 4:
+        return None
+    at = footer_cut(reply)
+    if at is not None:
+        return reply[:at].strip(), reply[at:].strip()
+    low = [_lower(x) for x in lines]
+    marks = [sum(m in x for m in _FOOTER_LINE) + ("http://" in x or "https://" in x) for x in low]
+    for i in range(max(0, len(lines) - 40), len(lines)):
+        head, tail = "\n".join(lines[:i]).strip(), "\n".join(lines[i:]).strip()
+        if 2 <= sum(bool(x.strip()) for x in lines[i:]) <= 24 and sum(marks[i:]) >= 2 and size(head) >= 24 and size(tail) >= 24:
+            return head, tail
+    return None
 
 
 def segment(text: str | None) -> list[dict]:
@@ -164,22 +313,26 @@ def segment(text: str | None) -> list[dict]:
     end = quote[0] if quote else len(lines)
     head = [i for i in range(end) if lines[i].strip()][:6]
     hello = next((i for i in head if is_salutation(lines[i])), None)
-    sign, disclaimer = signature_start(lines, end)
-    if sign is not None and disclaimer is not None and disclaimer < sign:
+    sign, line = signature_start(lines, end)
+    limit = min(at[end], len(text))
+    signature = None if sign is None else at[sign[0]] + sign[1]
+    disclaimer = None if line is None else at[line]
+    if signature is not None and disclaimer is not None and disclaimer < signature:
         disclaimer = None
-    start = 0 if hello is None else hello + 1
-    marks = [("salutation", hello, start)] if hello is not None else []
-    stop = next((x for x in (sign, disclaimer) if x is not None), end)
-    marks.append(("reply", start, max(start, stop)))
-    if sign is not None:
-        marks.append(("signature", sign, disclaimer if disclaimer is not None else end))
+    if signature is None:
+        signature = footer_cut(text[: limit if disclaimer is None else disclaimer])
+    start = 0 if hello is None else at[hello] + len(lines[hello])
+    stop = next((x for x in (signature, disclaimer) if x is not None), limit)
+    marks = [("salutation", at[hello], start)] if hello is not None else []
+    marks.append(("reply", start, stop))
+    if signature is not None:
+        marks.append(("signature", signature, limit if disclaimer is None else disclaimer))
     if disclaimer is not None:
-        marks.append(("disclaimer", disclaimer, end))
+        marks.append(("disclaimer", disclaimer, limit))
     if quote:
-        marks.append((quote[1], quote[0], len(lines)))
+        marks.append((quote[1], at[quote[0]], len(text)))
     out = []
-    for kind, a, b in marks:
-        s, e = at[a], min(at[b], len(text))
+    for kind, s, e in marks:
         body = text[s:e]
         if body.strip():
             s += len(body) - len(body.lstrip())
@@ -187,6 +340,31 @@ def segment(text: str | None) -> list[dict]:
     return out
 
 
+def capped_salutation(s: str | None) -> str | None:
+    """At most 50 characters of a longer one, up to the first mark of punctuation after the fourth."""
+    if s is None or size(s) <= SALUTATION_BYTES:
+        return s
+    return s[: next((i + 1 for i, c in enumerate(s[:50]) if i > 3 and c in ",.!?;:"), 50)]
+
+
+def capped_signature(s: str | None) -> str | None:
+    """At most 300 characters of a longer one, in whole lines if it has several."""
+    if s is None or size(s) <= SIGNATURE_CHARS:
+        return s
+    cut = s[:SIGNATURE_CHARS]
+    return cut[: cut.rindex("\n")] if "\n" in cut else cut
+
+
+def body_parts(text: str | None) -> dict:
+    """The blocks of a body by kind, with the reply's footer as signature where there is none."""
+    blocks = segment(text)
+    of = lambda kind: [b["text"] for b in blocks if b["kind"] == kind]
+    reply, signature = "\n\n".join(of("reply")), next(iter(of("signature")), None)
+    if signature is None and (split := split_footer(reply)):
+        reply, signature = split
+    return {"salutation": next(iter(of("salutation")), None), "reply": reply, "signature": signature, "disclaimers": of("disclaimer"), "quoted": of("quoted"), "forwarded": of("forwarded"), "blocks": blocks}
+
+
 def with_blocks(messages: DataFrame, key: str, body: str) -> DataFrame:
     """(key, blocks) of every message."""
 
@@ -199,6 +377,37 @@ def with_blocks(messages: DataFrame, key: str, body: str) -> DataFrame:
     return rows.mapInArrow(run, f"{key} {rows.dtypes[0][1]}, blocks {BLOCKS}")
 
 
+PARTS = f"salutation string, reply string, signature string, disclaimers array<string>, quoted array<string>, forwarded array<string>, blocks {BLOCKS}"
+
+
+def with_parts(messages: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, salutation, reply, signature, disclaimers, quoted, forwarded, blocks) of every message."""
+    texts = pa.list_(pa.string())
+    block = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
+    kinds = {"salutation": pa.string(), "reply": pa.string(), "signature": pa.string(), "disclaimers": texts, "quoted": texts, "forwarded": texts, "blocks": pa.list_(block)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [body_parts(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], t) for k, t in kinds.items())], names=[key, *kinds])
+
+    rows = messages.select(F.col(key), F.col(body).cast("string"))
+    return rows.mapInArrow(run, f"{key} {rows.dtypes[0][1]}, {PARTS}")
+
+
+def salutation_cap(c: Column) -> Column:
+    """capped_salutation() as a Column."""
+    head = F.substring(c, 1, 50)
+    cut = F.regexp_extract(head, r"(?s)^(.{4}[^,.!?;:]*[,.!?;:])", 1)
+    return F.when(F.octet_length(c) <= SALUTATION_BYTES, c).when(cut != "", cut).otherwise(head)
+
+
+def signature_cap(c: Column) -> Column:
+    """capped_signature() as a Column."""
+    head = F.substring(c, 1, SIGNATURE_CHARS)
+    return F.when(F.octet_length(c) <= SIGNATURE_CHARS, c).when(head.contains("\n"), F.regexp_replace(head, r"(?s)\n[^\n]*\z", "")).otherwise(head)
+
+
 def reply_text(blocks: Column) -> Column:
     """The reply blocks with blank lines between."""
     return F.array_join(F.transform(F.filter(blocks, lambda b: b["kind"] == "reply"), lambda b: b["text"]), "\n\n")

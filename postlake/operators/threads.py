@@ -50,6 +50,20 @@ def threads(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("thread_id").agg(F.array_sort(F.collect_list(m)).alias("messages"), F.max("ts").alias("latest"), F.count("*").alias("n"))
 
 
+def account_threads(keyed: DataFrame) -> DataFrame:
+    """One row for every thread of an account, over all mailboxes that share it."""
+    m = F.struct("ts", F.coalesce("uid", F.lit(0).cast("long")).alias("uid"), "message_key")
+    return keyed.groupBy("account_id", "thread_id").agg(F.array_sort(F.collect_set("mailbox")).alias("mailboxes"), F.array_sort(F.collect_list(m)).alias("messages"), F.max("ts").alias("latest"), F.count("*").alias("n"))
+
+
+def with_gmail(messages: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Messages with the thread id and labels of a second fetch by uid; own labels stay where it has none."""
+    found = fetched.select(F.col("uid").alias("uid__"), F.col("thrid").alias("thrid__"), F.col("labels").alias("labels__"))
+    both = messages.join(found, F.col("uid") == F.col("uid__"), "left")
+    labels = F.when(F.size(F.coalesce("labels__", F.array().cast("array<string>"))) > 0, F.col("labels__")).otherwise(F.col("labels"))
+    return both.withColumns({"thrid": F.coalesce("thrid__", "thrid"), "labels": labels}).drop("uid__", "thrid__", "labels__")
+
+
 def newest_threads(keyed: DataFrame, n: int) -> DataFrame:
     """The messages of the n threads with the latest message, of equals those of the greater id."""
     top = keyed.groupBy("thread_id").agg(F.max("ts").alias("latest")).orderBy(F.desc("latest"), F.desc("thread_id")).limit(n)

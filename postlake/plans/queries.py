@@ -130,13 +130,22 @@ s5 AS (SELECT *, CASE WHEN score >= 5 AND score - score2 >= 2 THEN 'high' WHEN s
 )
 
 
+def bound(df: DataFrame, **made) -> DataFrame:
+    """df with columns that are made once: a generator keeps them from being put in the place of every use."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
+
+
 def kinds(df: DataFrame) -> DataFrame:
-    return df.withColumn("scores", hints.mail_kind_scores(F.col("subject"), F.col("body"), F.col("headers"))).withColumn("mk", hints.mail_kind(F.col("scores")))
+    """Provisional kinds, by which the lifecycle gate goes."""
+    df = bound(df, signals=hints.mail_kind_signals(F.col("subject"), F.col("body"), F.col("headers")))
+    return bound(df, mk=hints.mail_kind(hints.scores_of(F.col("signals"))))
 
 
-@query(HINTS_SQL + " SELECT uid, mail_kind AS kind, how AS confidence, score::INTEGER AS score, second FROM s5")
-def h05_mail_kind(spark, sf_dir):
-    return kinds(keyed(spark, sf_dir)).select("uid", "mk.kind", "mk.confidence", "mk.score", "mk.second")
+def lifecycles(df: DataFrame) -> DataFrame:
+    """kinds() with the lifecycle hint, and the final kinds, which a lifecycle hint of high confidence has a say in."""
+    gate = hints.lifecycle_gate(F.col("mk.kind"))
+    df = bound(kinds(df), lc=hints.lifecycle(F.col("subject"), F.col("body"), F.col("headers"), gate, LEXICON))
+    return bound(df, final=hints.mail_kind(hints.scores_of(F.col("signals"), F.col("lc.confidence") == "high")))
 
 
 @query(HINTS_SQL + " SELECT uid, gate, strong FROM s5")
@@ -144,6 +153,7 @@ def h07_lifecycle_gate(spark, sf_dir):
     return kinds(keyed(spark, sf_dir)).select("uid", hints.lifecycle_gate(F.col("mk.kind")).alias("gate"), hints.strong_structure(F.concat_ws("\n", "subject", "body")).alias("strong"))
 
 
+FINAL = "trans + 3 * (open AND lk IS NOT NULL AND strong)::INT"
 RX = lambda t, ps: f"regexp_matches({t}, {_q(bounded(ps))})"
 RULES = "CASE " + " ".join("WHEN " + " AND ".join(RX("a", g) for g in r.groups) + f" THEN {_q(r.kind)}" for r in LEXICON.lifecycle) + " END"
 SIGNALS = "CASE " + " ".join("WHEN " + " AND ".join(RX("a", g) for g in r.groups) + f" THEN {_q(r.signal)}" for r in LEXICON.lifecycle) + " END"
@@ -155,18 +165,26 @@ LIFE_SQL = (
     HINTS_SQL
     + f""", life AS (SELECT *, {RULES} AS lk, {SIGNALS} AS signal, {VALUE(PLAN)} AS plan_name, {VALUE(NAME)} AS customer_name, {VALUE(EMAIL)} AS customer_email, {VALUE(DATE)} AS effective_date_raw, {MONEY} AS amount_raw,
   gate = 'allow' OR (strong AND {RX("a", LEXICON.patterns["lifecycle_keyword"])}) OR (gate = 'strong_only' AND ({COUNT(LOW("h_from"), LEXICON.patterns["known_billing_senders"])} > 0 OR {RX("a", LEXICON.patterns["confirmation_gate"])})) AS open FROM s5),
-hits AS (SELECT * FROM life WHERE open AND lk IS NOT NULL)"""
+hits AS (SELECT * FROM life WHERE open AND lk IS NOT NULL),
+f1 AS (SELECT *, list_sort(list_filter([{{'minus': -({FINAL}), 'rank': 0, 'kind': 'transactional'}}, {{'minus': -news, 'rank': 1, 'kind': 'newsletter'}}, {{'minus': -notif, 'rank': 2, 'kind': 'notification'}}, {{'minus': -promo, 'rank': 3, 'kind': 'promotion'}}, {{'minus': -pers, 'rank': 4, 'kind': 'personal'}}], lambda r: r.minus < 0)) AS fsc FROM life),
+f2 AS (SELECT *, coalesce(fsc[1].kind, 'unknown') AS final_kind, coalesce(-fsc[1].minus, 0) AS fscore, coalesce(-fsc[2].minus, 0) AS fscore2 FROM f1),
+final AS (SELECT *, CASE WHEN fscore >= 5 AND fscore - fscore2 >= 2 THEN 'high' WHEN fscore >= 3 THEN 'medium' ELSE 'low' END AS fhow, CASE WHEN fscore - fscore2 <= 1 AND fscore2 >= 3 THEN fsc[2].kind END AS fsecond FROM f2)"""
 )
 
 
+@query(LIFE_SQL + " SELECT uid, final_kind AS kind, fhow AS confidence, fscore::INTEGER AS score, fsecond AS second, mail_kind AS provisional FROM final")
+def h05_mail_kind(spark, sf_dir):
+    return lifecycles(keyed(spark, sf_dir)).select("uid", "final.*", F.col("mk.kind").alias("provisional"))
+
+
 @query(
     LIFE_SQL + f""" SELECT uid, lk AS kind, CASE WHEN strong THEN 'high' WHEN lk IN ('subscription_canceled', 'subscription_renewed') THEN 'medium' ELSE 'low' END AS confidence, regexp_replace({TRIM("string_split(h_from, '@')[2]")}, '>+$', '') AS provider,
   plan_name, customer_name, customer_email, amount_raw, CASE WHEN regexp_matches({LOW("amount_raw")}, '\\$| usd') THEN 'USD' WHEN contains({LOW("amount_raw")}, ' eur') THEN 'EUR' WHEN contains({LOW("amount_raw")}, ' gbp') THEN 'GBP' END AS currency, effective_date_raw, signal FROM hits"""
 )
 def h09_lifecycle(spark, sf_dir):
-    df = kinds(keyed(spark, sf_dir)).withColumn("gate", hints.lifecycle_gate(F.col("mk.kind")))
-    df = df.withColumn("lc", hints.lifecycle(F.col("subject"), F.col("body"), F.col("headers"), F.col("gate"), LEXICON))
-    return df.where("lc is not null").select("uid", "lc.*")
+    gate = hints.lifecycle_gate(F.col("mk.kind"))
+    lc = hints.lifecycle(F.col("subject"), F.col("body"), F.col("headers"), gate, LEXICON)
+    return kinds(keyed(spark, sf_dir)).select("uid", F.inline(F.filter(F.array(lc), lambda x: x.isNotNull())))
 
 
 BILLS = "CASE " + " ".join(f"WHEN {RX(LOW('line'), ps)} THEN {_q(k)}" for _, k, ps in LEXICON.billing) + " END"
@@ -181,7 +199,7 @@ SELECT uid, kind, url, line AS label, CASE WHEN url IS NULL THEN 'body_text' ELS
 QUALIFY row_number() OVER (PARTITION BY uid, kind, url IS NULL, coalesce(url, {LOW("line")}) ORDER BY pos) = 1"""
 )
 def h10_billing_actions(spark, sf_dir):
-    return mail(spark, sf_dir).select("uid", F.explode(hints.billing_actions(F.col("body"), LEXICON)).alias("b")).select("uid", "b.*")
+    return mail(spark, sf_dir).select("uid", F.explode(hints.billing_actions(F.col("body"), LEXICON)).alias("b")).select("uid", "b.*").drop("related_lifecycle_kind")
 
 
 @query(
@@ -234,18 +252,16 @@ def l05_rule_match(spark, sf_dir):
 ROWS_SQL = (
     LIFE_SQL
     + f""", rows AS (SELECT thread_id, message_key, uid AS ordinal, subject, coalesce(date, '') AS date, senders AS "from", "to", cc, body AS reply_text,
-  list_filter([mail_kind, second], lambda x: x IS NOT NULL) AS mail_kinds, CASE WHEN {_res} IS NOT NULL THEN ['reservation'] ELSE [] END AS event_kinds,
-  CASE WHEN open AND lk IS NOT NULL THEN [replace(lk, '_', '')] ELSE [] END AS lifecycle_kinds, body FROM life)"""
+  list_filter([final_kind, fsecond], lambda x: x IS NOT NULL) AS mail_kinds, CASE WHEN {_res} IS NOT NULL THEN ['reservation'] ELSE [] END AS event_kinds,
+  CASE WHEN open AND lk IS NOT NULL THEN [replace(lk, '_', '')] ELSE [] END AS lifecycle_kinds, body FROM final)"""
 )
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Projection rows of the mailbox."""
-    df = kinds(keyed(spark, sf_dir)).withColumn("gate", hints.lifecycle_gate(F.col("mk.kind")))
-    lc = hints.lifecycle(F.col("subject"), F.col("body"), F.col("headers"), F.col("gate"), LEXICON)["kind"]
+    """Projection rows of the mailbox (R01), with whole bodies as replies; bodies.rows() has them with their replies and events."""
     some = lambda *c: F.filter(F.array(*c), lambda x: x.isNotNull())
     booked = F.when(LEXICON.reservation_type(T.ascii_lower(F.concat_ws("\n", "subject", "body"))).isNotNull(), F.lit("reservation"))
-    return df.select("thread_id", "message_key", F.col("uid").alias("ordinal"), "subject", F.coalesce("date", F.lit("")).alias("date"), F.col("senders").alias("from"), "to", "cc", F.col("body").alias("reply_text"), some("mk.kind", "mk.second").alias("mail_kinds"), some(booked).alias("event_kinds"), some(F.replace(lc, F.lit("_"), F.lit(""))).alias("lifecycle_kinds"))
+    return lifecycles(keyed(spark, sf_dir)).select("thread_id", "message_key", F.col("uid").alias("ordinal"), "subject", F.coalesce("date", F.lit("")).alias("date"), F.col("senders").alias("from"), "to", "cc", F.col("body").alias("reply_text"), some("final.kind", "final.second").alias("mail_kinds"), some(booked).alias("event_kinds"), some(F.replace(F.col("lc.kind"), F.lit("_"), F.lit(""))).alias("lifecycle_kinds"))
 
 
 FLAT = ["from", "to", "cc", "mail_kinds", "event_kinds", "lifecycle_kinds"]
@@ -262,7 +278,7 @@ def r01_projection_rows(spark, sf_dir):
 
 
 Q = projection.ProjectionQuery("i", "2024-01-02", "2024-02-20", mail_kind="transactional", sort="subject_asc", limit=40)
-Q_SQL = ROWS_SQL + ", q AS (SELECT *, CASE WHEN length(date) >= 10 THEN left(date, 10) ELSE '' END AS d FROM rows), picked AS (SELECT * FROM q WHERE contains(lower(subject), 'i') AND (d = '' OR d >= '2024-01-02') AND (d = '' OR d <= '2024-02-20') AND list_contains(mail_kinds, 'transactional') ORDER BY subject, message_key LIMIT 40)"
+Q_SQL = ROWS_SQL + ", q AS (SELECT *, CASE WHEN length(date) >= 10 THEN left(date, 10) ELSE '' END AS d FROM rows), picked AS (SELECT * FROM q WHERE contains(lower(subject), 'i') AND (d = '' OR d >= '2024-01-02') AND (d = '' OR d <= '2024-02-20') AND list_contains(mail_kinds, 'transactional') ORDER BY subject, ordinal LIMIT 40)"
 
 
 @query(Q_SQL + f" SELECT {FLAT_SQL} FROM picked")

@@ -8,6 +8,7 @@ message is split or read twice.  Messages are streamed; only one is in memory at
 from __future__ import annotations
 
 import glob
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "path string, offset bigint, from_line string, separator_date string, raw binary"
+SCHEMA = "path string, offset bigint, from_line string, separator_date string, raw binary, size bigint"
 SPLIT_BYTES = 64 << 20
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
@@ -42,12 +43,12 @@ def separator_date(line: str) -> str | None:
     return None
 
 
-def is_separator(line: bytes, strict: bool = True) -> bool:
+def is_separator(line: bytes, strict: bool = False) -> bool:
     """Whether a line begins a message; strict asks for a date."""
     return line.startswith(b"From ") and (not strict or separator_date(line.decode("utf-8", "replace")) is not None)
 
 
-def messages(path: str, start: int = 0, end: int | None = None, strict: bool = True, most: int | None = None) -> Iterator[tuple[str, int, str, str | None, bytes]]:
+def messages(path: str, start: int = 0, end: int | None = None, strict: bool = False, most: int | None = None) -> Iterator[tuple[str, int, str, str | None, bytes]]:
     """Messages whose separator begins at start or after it, before end; '>From ' in bodies loses its mark."""
     with open(path, "rb") as f:
         if start:
@@ -75,6 +76,18 @@ def messages(path: str, start: int = 0, end: int | None = None, strict: bool = T
             yield path, head[0], head[1], separator_date(head[1]), b"".join(lines)
 
 
+def local(path: str) -> str:
+    """A path without the scheme of the local file system; mbox ranges are read by the executors from a file system that is mounted on all."""
+    return re.sub("^file:(?://)?(?=/)", "", path)
+
+
+def header_bytes(raw: bytes) -> bytes:
+    """What comes before the first empty line (S07): bodies don't leave the reader."""
+    at = raw.find(b"\r\n\r\n")
+    at = raw.find(b"\n\n") if at < 0 else at
+    return raw if at < 0 else raw[:at]
+
+
 class Range(InputPartition):
     def __init__(self, path: str, start: int, end: int) -> None:
         self.path, self.start, self.end = path, start, end
@@ -82,8 +95,11 @@ class Range(InputPartition):
 
 class MboxReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.paths = sorted(glob.glob(options["path"])) or [options["path"]]
-        self.strict = str(options.get("strict", "true")).lower() == "true"
+        given = options["path"]
+        named = json.loads(given) if given.startswith("[") else [given]
+        self.paths = sorted(p for g in named for p in glob.glob(local(g)) or [local(g)])
+        self.headers = str(options.get("headersOnly", "false")).lower() == "true"
+        self.strict = str(options.get("strict", "false")).lower() == "true"
         self.most = int(options["maxMessages"]) if options.get("maxMessages") else None
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
 
@@ -98,11 +114,12 @@ class MboxReader(DataSourceReader):
 
     def read(self, partition: Range) -> Iterator[tuple]:
         if partition.path:
-            yield from messages(partition.path, partition.start, partition.end, self.strict, self.most)
+            for path, at, head, date, raw in messages(partition.path, partition.start, partition.end, self.strict, self.most):
+                yield (path, at, head, date, header_bytes(raw) if self.headers else raw, len(raw))
 
 
 class MboxDataSource(DataSource):
-    """Options: strict (true), maxMessages per file, splitBytes."""
+    """Options: strict (false), headersOnly (false), maxMessages per file, splitBytes; the path may be a list in JSON."""
 
     @classmethod
     def name(cls) -> str:
@@ -115,13 +132,12 @@ class MboxDataSource(DataSource):
         return MboxReader(self.options)  # names in any case
 
 
-def read_folder(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """All .eml and .mbox files of a folder as rows of SCHEMA."""
+def read_folder(spark: SparkSession, folder: str, recursive: bool = True, strict: bool = False) -> DataFrame:
+    """All .eml and .mbox files of a folder, in upper or lower case, as rows of SCHEMA (S08).  The mbox files are one scan."""
     spark.dataSource.register(MboxDataSource)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{eml,EML,Eml}").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.[eE][mM][lL]").load(folder)
     none = F.lit(None).cast("string")
-    out = files.select("path", F.lit(0).cast("long").alias("offset"), none.alias("from_line"), none.alias("separator_date"), F.col("content").alias("raw"))
-    found = sorted(p for p in glob.glob(f"{folder}/**/*" if recursive else f"{folder}/*", recursive=recursive) if p.lower().endswith(".mbox"))
-    for p in found:
-        out = out.unionByName(spark.read.format("mbox").load(p))
-    return out
+    out = files.select("path", F.lit(0).cast("long").alias("offset"), none.alias("from_line"), none.alias("separator_date"), F.col("content").alias("raw"), F.col("length").alias("size"))
+    root = local(folder)
+    found = sorted(p for p in glob.glob(f"{root}/**/*" if recursive else f"{root}/*", recursive=recursive) if p.lower().endswith(".mbox"))
+    return out.unionByName(spark.read.format("mbox").option("strict", str(strict).lower()).load(json.dumps(found))) if found else out

@@ -106,7 +106,7 @@ def parse(raw: DataFrame, fail_fast: bool = False) -> DataFrame:
 def headers_only(raw: DataFrame) -> DataFrame:
     """Headers, size and separator date without a look at bodies, all in the JVM."""
     text = F.decode("raw", "ISO-8859-1")
-    return raw.select("path", "offset", raw_headers(header_slice(text)).alias("headers"), F.octet_length("raw").alias("rfc822_size"), F.col("separator_date").alias("internal_date"))
+    return raw.select("path", "offset", raw_headers(header_slice(text)).alias("headers"), F.col("size").alias("rfc822_size") if "size" in raw.columns else F.octet_length("raw").cast("long").alias("rfc822_size"), F.col("separator_date").alias("internal_date"))
 
 
 def attachments(raw: DataFrame) -> DataFrame:

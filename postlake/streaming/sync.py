@@ -23,6 +23,22 @@ def latest(changes: DataFrame, keys: tuple[str, ...] = ("account_id", "mailbox",
     return changes.groupBy(*keys).agg(best).select(*keys, "b.*").select(*changes.columns)
 
 
+def forced(state: DataFrame, full: DataFrame) -> DataFrame:
+    """state with a full read of some mailboxes in place of all that is known of them."""
+    boxes = full.select("account_id", "mailbox").distinct()
+    return state.join(boxes, ["account_id", "mailbox"], "left_anti").select(*full.columns).unionByName(full)
+
+
+def unseen(messages: DataFrame, flags: str = "flags") -> DataFrame:
+    """A snapshot of the messages without the seen flag; no checkpoint moves."""
+    return messages.where(~F.coalesce(F.array_contains(F.col(flags), "\\Seen"), F.lit(False)))
+
+
+def each_message(stream: DataFrame, handle: Callable, checkpoint: str) -> StreamingQuery:
+    """Call handle(row) on the executors for every message of a stream; nothing is kept."""
+    return stream.writeStream.foreach(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def visible(state: DataFrame) -> DataFrame:
     """Messages that are there: not vanished, and of their mailbox's newest uidvalidity."""
     newest = state.groupBy("account_id", "mailbox").agg(F.max("uidvalidity").alias("__v"))

@@ -67,10 +67,10 @@ def test_raw_headers_last_wins_and_orphan_continuations_go(spark):
 
 def test_lexicon_boundaries_overrides_and_errors(spark):
     assert one(spark, "galapagos", LEXICON.classify_billing) is None and one(spark, "(pago)", LEXICON.classify_billing) == "pay_now"
-    ops = lx.parse_overrides('# note\n\n{"op": "add", "target": "lifecycle_keyword_patterns", "pattern": " Trial Over "}\n')
+    ops = lx.parse_overrides('# note\n\n{"op": "add_pattern", "target": "lifecycle_keyword_patterns", "pattern": " Trial Over "}\n')
     more = lx.apply_overrides(LEXICON, ops + ops)
     assert more.patterns["lifecycle_keyword"].count("trial over") == 1
-    for bad in ('{"op": "drop", "target": "x", "pattern": "y"}', '{"op": "add", "target": "x", "pattern": " "}', '{"op": "add", "target": "x", "pattern": "y", "z": 1}'):
+    for bad in ('{"op": "drop", "target": "x", "pattern": "y"}', '{"op": "add_pattern", "target": "x", "pattern": " "}', '{"op": "add_pattern", "target": "x", "pattern": "y", "z": 1}'):
         with pytest.raises(ValueError):
             lx.parse_overrides(bad)
     with pytest.raises(ValueError, match="unknown target"):
@@ -165,13 +165,16 @@ def test_mbox_ranges_and_mime(spark, tmp_path):
     path = tmp_path / "x.mbox"
     path.write_bytes(b"junk\n" + b"".join(line + MAIL + b"\n>From here\n>>From there\nFrom now on, text\n" for _ in range(20)))
     spark.dataSource.register(mbox.MboxDataSource)
-    whole = [(r["offset"], bytes(r["raw"])) for r in spark.read.format("mbox").load(str(path)).collect()]
+    strict = lambda: spark.read.format("mbox").option("strict", "true")
+    whole = [(r["offset"], bytes(r["raw"])) for r in strict().load(str(path)).collect()]
     assert len(whole) == 20 and b"\nFrom here\n>>From there\nFrom now on" in whole[0][1]
     for size in (97, 700, 5000):
-        parts = spark.read.format("mbox").option("splitBytes", size).load(str(path)).collect()
+        parts = strict().option("splitBytes", size).load(str(path)).collect()
         assert sorted((r["offset"], bytes(r["raw"])) for r in parts) == whole
-    assert spark.read.format("mbox").option("maxMessages", 3).load(str(path)).count() == 3
-    assert spark.read.format("mbox").option("strict", "false").load(str(path)).count() == 40
+    assert strict().option("maxMessages", 3).load(str(path)).count() == 3
+    assert spark.read.format("mbox").load(str(path)).count() == 40  # any line that begins so, unless strict
+    head = strict().option("headersOnly", "true").load(str(path)).first()
+    assert b"Message-ID" in bytes(head["raw"]) and b"hello" not in bytes(head["raw"]) and head["size"] == len(whole[0][1])
     (tmp_path / "y.EML").write_bytes(MAIL)
     raw = mbox.read_folder(spark, str(tmp_path))
     row = mime.parse(raw.where("path like '%EML'")).first()
