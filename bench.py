@@ -13,7 +13,7 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
-RUNS = int(os.environ.get("BENCH_RUNS", "2"))
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINE = ["r09_threads", "r02_filter_sort_limit", "r08_graph_nodes", "r08_graph_links", "r14_reply_tree", "t01_normalize_text", "t02_html_to_text", "h05_mail_kind", "h09_lifecycle", "h10_billing_actions", "g11_reply_text"]
 
 
@@ -23,7 +23,7 @@ def main() -> None:
     from postlake import registry
 
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "6g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "6g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.dataFrameQueryContext.enabled", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     queries, took = registry.queries(), {}
     for name in HEADLINE:
