@@ -35,7 +35,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS_CHARS
 from .common import shared_checkpoints, table
 
 CAPACITY = 2048
@@ -156,7 +155,10 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 def packing(docs: DataFrame, spark: SparkSession, capacity: int = CAPACITY, shard_bins: int = SHARD_BINS) -> DataFrame:
     """One row for every piece of every row of docs: its shard, bin, and place in the bin."""
     shared_checkpoints(spark)
-    number = F.greatest(F.lit(1), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(f"[^{WS_CHARS}]+")), F.lit(0)))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # what stands before a first and after a last blank are no words
+    ends = text.rlike(r"(?U)^\s").cast("int") + F.right(text, F.lit(1)).rlike(r"(?U)^\s").cast("int")
+    number = F.greatest(F.lit(1), F.size(F.split(text, r"(?U)\s+")) - ends)
     long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("words")).groupBy("doc_id", "words").agg(F.count("*").alias("n")).checkpoint()
     total = long.agg(F.sum(F.col("words") * F.col("n"))).first()[0] or 0
     shards = max(1, -(-int(total) // (capacity * shard_bins)))
