@@ -73,31 +73,59 @@ def packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).view(U64).ravel()
 
 
-def fingerprints(w: Words, size: int, stride: int, blocks: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Sums:
+    """Sums of k successive rows of a matrix of signs, at every row, in the smallest integers that hold them.
+
+    Sums of 1, 2, 4, ... rows are kept, and those of k rows are made of them.
+    """
+
+    def __init__(self, rows: np.ndarray, most: int) -> None:
+        self.levels, self.most = [rows], most  # most: the greatest value in a row
+
+    def _kind(self, k: int) -> type:
+        return np.int8 if self.most * k < 1 << 7 else np.int16 if self.most * k < 1 << 15 else np.int32
+
+    def _level(self, j: int) -> np.ndarray:
+        while len(self.levels) <= j:
+            have, width = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.add(have[:-width], have[width:], dtype=self._kind(2 * width)) if len(have) > width else have[:0])
+        return self.levels[j]
+
+    def of(self, k: int) -> np.ndarray:
+        n, out, at = len(self.levels[0]) - k + 1, None, 0
+        if n <= 0:
+            return self.levels[0][:0]
+        for j in range(k.bit_length()):
+            if k >> j & 1:
+                part = self._level(j)[at : at + n]
+                out = part.astype(self._kind(k), copy=False) if out is None else np.add(out, part, dtype=self._kind(k))
+                at += 1 << j
+        return out
+
+
+def fingerprints(w: Words, size: int, stride: int, runs_: Sums, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(fingerprint, text, start) of the windows of size words at multiples of stride.
 
-    blocks: the summed features before each run of stride words; first: each text's first run.
+    runs_: the summed features of each run of stride words; first: each text's first run.
     """
     count = np.diff(w.bounds)
     number = np.maximum((count - size) // stride + 1, 0)
     row = np.repeat(np.arange(len(count)), number)
     step = ragged(np.zeros(len(count), np.int64), number)
-    at = first[row] + step
-    return packed(blocks[at + size // stride] - blocks[at]), row, step * stride
+    return packed(runs_.of(size // stride)[first[row] + step]), row, step * stride
 
 
-def runs(w: Words, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of features over runs of stride words; every text starts a run of its own."""
+def runs(w: Words, stride: int) -> tuple[Sums, np.ndarray]:
+    """Sums of features over runs of stride words; every text starts a run of its own.  A text's last run, if it isn't full, is in no window."""
     count = np.diff(w.bounds)
     number = -(-count // stride)
     first = np.concatenate([[0], np.cumsum(number)])
-    vectors = features(w)
-    if stride > 1:
-        begin = np.repeat(w.bounds[:-1], number) + stride * ragged(np.zeros(len(count), np.int64), number)
-        vectors = np.add.reduceat(vectors, begin, axis=0, dtype=np.int32) if len(begin) else np.zeros((0, 64), np.int32)
-    sums = np.zeros((len(vectors) + 1, 64), np.int32)
-    np.cumsum(vectors, axis=0, out=sums[1:])
-    return sums, first
+    words_ = Sums(features(w), 3)
+    if stride == 1:
+        return words_, first
+    begin = np.repeat(w.bounds[:-1], number) + stride * ragged(np.zeros(len(count), np.int64), number)
+    full = words_.of(stride)
+    return Sums(full[np.minimum(begin, len(full) - 1)] if len(full) else full, 3 * stride), first
 
 
 def shingles(w: Words, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
