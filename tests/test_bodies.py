@@ -281,3 +281,38 @@ def test_folder_of_mixed_case(spark, tmp_path):
 
 def test_normalized_text_keeps_single_blanks(spark):
     assert one(spark, text.normalize_text, "a \t b  c d \n\n\n\n e \r\nf g​") == "a b c d\n\n e\nf\ng"
+
+
+class Client:
+    """Answers like a server with three messages."""
+
+    capabilities = ("IMAP4REV1", "CONDSTORE", "X-GM-EXT-1")
+
+    def __init__(self):
+        self.asked = []
+
+    def select(self, mailbox, readonly):
+        self.asked.append((mailbox, readonly))
+
+    def uid(self, command, *rest):
+        self.asked.append((command, *rest))
+        if command == "SEARCH":
+            return "OK", [b"3 7 12"]
+        return "OK", [(b'1 (UID 7 RFC822.SIZE 11 INTERNALDATE "01-Jan-2024 10:00:00 +0000" FLAGS (\\Seen \\Flagged) MODSEQ (99) X-GM-THRID 1234 X-GM-LABELS (Inbox "My Label") RFC822 {11}', b"Subject: a\n"), b")", (b"2 (UID 12 RFC822 {0}", b""), b" FLAGS ())"]
+
+
+def test_imap_requests_and_answers():
+    from postlake.sources import imap
+
+    client = Client()
+    assert imap.select(client, "Sent", after=5) == [7, 12] and client.asked == [("Sent".join('""'), True), ("SEARCH", None, "UID 6:*")]
+    first, second = imap.fetch(client, [7, 12])
+    assert first == (7, 99, "01-Jan-2024 10:00:00 +0000", ["\\Seen", "\\Flagged"], 11, "1234", ["Inbox", "My Label"], b"Subject: a\n")
+    assert second[0] == 12 and second[3] == [] and second[7] == b""
+    assert client.asked[-1] == ("FETCH", "7,12", "(UID RFC822 INTERNALDATE FLAGS RFC822.SIZE MODSEQ X-GM-THRID X-GM-LABELS)")
+    assert imap.fetch_items(False, False, True) == "(UID RFC822.HEADER INTERNALDATE FLAGS RFC822.SIZE)" and imap.changed_since(5, True, False).endswith("MODSEQ) (CHANGEDSINCE 5 VANISHED)")
+    assert [len(c) for c in imap.chunked(list(range(450)))] == [200, 200, 50]
+    one_, two = imap.accounts('[[accounts]]\nhost = "h"\nusername = "u"\npassword = "p"\nmailbox = "Sent"\naccount_id = "w"\n[account]\nhost = "i"\nusername = "u"\npassword = "p"\ntls = false')
+    assert (one_.port, one_.mailbox, one_.account_id, two.mailbox) == (993, "Sent", "w", "INBOX") and one_.options()["port"] == "993"
+    with pytest.raises(ValueError):
+        two.options()
