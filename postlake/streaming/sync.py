@@ -6,9 +6,10 @@ A change has uid, uidvalidity, modseq and vanished.  Of a uid the change with th
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -51,20 +52,68 @@ def checkpoints(state: DataFrame) -> DataFrame:
     return state.join(top, ["account_id", "mailbox", "uidvalidity"]).groupBy("account_id", "mailbox", "uidvalidity").agg(F.max("uid").alias("last_uid"), F.max("modseq").alias("highest_modseq"))
 
 
-def merge_into(folder: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes version n + 1 of the table from version n and the batch.
+BOXES = 1024  # parts that the table is merged by
 
-    A version is named by its batch id and read from the one before, so a batch that is run again
+
+def box() -> Column:
+    return F.pmod(F.xxhash64("account_id", "mailbox"), F.lit(BOXES)).cast("int")
+
+
+def state(spark: SparkSession, folder: str, before: int | None = None, fresh: bool = False) -> DataFrame | None:
+    """The table as of its newest version (or that before a version), None if there is none.
+
+    A version has only the boxes that its batch touched; of each box the newest version holds.
+    With fresh, a table that can't be opened counts as none, with a warning (X08).
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(path)] if system.exists(path) else []
+    found = sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+    found = [v for v in found if before is None or v < before]
+    if not found:
+        return None
+    try:
+        every = spark.read.option("basePath", folder).parquet(*(f"{folder}/version={v}" for v in found))
+    except Exception as e:
+        if not fresh:
+            raise
+        warnings.warn(f"the table in {folder} can't be read, starting anew: {e}", stacklevel=2)
+        return None
+    # of partition columns alone, so no data is read for it; of BOXES rows at most
+    newest = every.groupBy("box").agg(F.max("version").alias("version"))
+    return every.join(F.broadcast(newest), ["box", "version"], "left_semi").drop("box", "version")
+
+
+def merge_into(folder: str, fresh: bool = False) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that merges a batch into the boxes that it touches, as version n of these.
+
+    A version is named by its batch and made of those before, so a batch that is run again
     after a failure writes the same version again.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        old = batch if number == 0 else batch.sparkSession.read.parquet(f"{folder}/v{number - 1}").unionByName(batch)
-        latest(old).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        spark, mine = batch.sparkSession, batch.withColumn("box", box())
+        old = state(spark, folder, number, fresh)
+        if old is not None:
+            touched = mine.select(F.col("box").alias("t")).distinct()  # of BOXES rows at most
+            kept = old.withColumn("box", box()).join(F.broadcast(touched), F.col("box") == F.col("t"), "left_semi")
+            mine = kept.unionByName(mine)
+        latest(mine.drop("box")).withColumn("box", box()).write.mode("overwrite").partitionBy("box").parquet(f"{folder}/version={number}")
 
     return run
 
 
+def vacuum(spark: SparkSession, folder: str) -> None:
+    """Delete what newer versions have replaced; not while a batch runs."""
+    every = spark.read.option("basePath", folder).parquet(folder).select("box", "version").distinct()
+    newest = every.groupBy("box").agg(F.max("version").alias("top"))
+    old = every.join(newest, "box").where("version < top").collect()  # of boxes and versions, not of rows
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for r in old:
+        path = make(f"{folder}/version={r['version']}/box={r['box']}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sync(spark: SparkSession, source: str, schema: str, folder: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
     """Merge change files of a folder into the versioned table, until all are done."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)

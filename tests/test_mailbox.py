@@ -194,10 +194,34 @@ def test_sync_is_idempotent(spark, tmp_path):
         spark.createDataFrame([r], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
     query = sync.sync(spark, str(tmp_path / "in" / "*"), schema, str(tmp_path / "t"), str(tmp_path / "c"), 2)
     query.awaitTermination(120)
-    last = max(int(p.name[1:]) for p in (tmp_path / "t").iterdir() if p.name.startswith("v"))
-    state = spark.read.parquet(str(tmp_path / "t" / f"v{last}"))
+    state = sync.state(spark, str(tmp_path / "t"))
     assert {(r["uid"], r["body"]) for r in sync.visible(state).collect()} == {(1, "x2"), (3, "z")} == {(r["uid"], r["body"]) for r in sync.visible(sync.latest(spark.createDataFrame(rows, schema))).collect()}
     assert sync.checkpoints(state).first()["highest_modseq"] == 5
+    # a batch of another mailbox leaves the versions of this one alone, and running it again changes nothing
+    merge = sync.merge_into(str(tmp_path / "t"))
+    for _ in range(2):
+        merge(spark.createDataFrame([("b", "out", 9, 1, 1, False, "w")], schema), 90)
+    assert {(r["account_id"], r["uid"]) for r in sync.visible(sync.state(spark, str(tmp_path / "t"))).collect()} == {("a", 1), ("a", 3), ("b", 9)}
+    assert len([p for p in (tmp_path / "t" / "version=90").iterdir() if p.name.startswith("box=")]) == 1
+    sync.vacuum(spark, str(tmp_path / "t"))
+    assert sync.visible(sync.state(spark, str(tmp_path / "t"))).count() == 3
+    (tmp_path / "bad" / "version=0").mkdir(parents=True)
+    (tmp_path / "bad" / "version=0" / "_SUCCESS").write_text("")
+    (tmp_path / "bad" / "version=0" / "x.parquet").write_text("no table")
+    with pytest.warns(UserWarning, match="anew"):
+        assert sync.state(spark, str(tmp_path / "bad"), fresh=True) is None
+
+
+def test_windowed_counts_of_a_stream_with_a_watermark(spark, tmp_path):
+    schema = "ts timestamp, event_type string"
+    for i, rows in enumerate((["2024-01-01 10:05", "2024-01-01 10:50"], ["2024-01-01 15:00"], ["2024-01-01 10:10", "2024-01-01 19:00"], ["2024-01-01 23:59"])):
+        spark.createDataFrame([(r, "x") for r in rows], "t string, event_type string").select(F.to_timestamp("t").alias("ts"), "event_type").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        out = sync.windowed_counts(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out"))
+        out.trigger(availableNow=True).start().awaitTermination(120)
+    got = {r["window_start"].hour: r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # the row of 10:10 comes after the watermark has passed its window
+    assert got[10] == 2 and got[15] == 1
 
 
 def test_hints_without_headers(spark):
