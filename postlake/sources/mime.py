@@ -20,7 +20,7 @@ from ..functions.text import header_slice, raw_headers
 
 _A = "array<struct<address:string,name:string>>"
 _ATT = "array<struct<filename:string,mime_type:string,size:bigint,sha256:string,content_id:string,content_disposition:string>>"
-SCHEMA = f"path string, offset bigint, message_id string, in_reply_to string, `references` array<string>, subject string, date string, internal_date string, `from` {_A}, `to` {_A}, cc {_A}, bcc {_A}, reply_to {_A}, body_text string, body_html string, attachments {_ATT}, forwarded array<struct<message_id:string,subject:string,`from`:{_A},date:string>>, error string"
+SCHEMA = f"path string, offset bigint, message_id string, in_reply_to string, `references` array<string>, subject string, date string, internal_date string, `from` {_A}, `to` {_A}, cc {_A}, bcc {_A}, reply_to {_A}, body_text string, body_html string, attachments {_ATT}, forwarded array<struct<message_id:string,subject:string,`from`:{_A},date:string>>, date_raw string, headers map<string,string>, error string"
 
 
 def message_id(s: str) -> str:
@@ -90,7 +90,8 @@ def parse(raw: DataFrame, fail_fast: bool = False) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                base = {"path": row["path"], "offset": row["offset"]}
+                named = dict(row["headers"] or [])
+                base = {"path": row["path"], "offset": row["offset"], "headers": list(named.items()), "date_raw": named.get("date")}
                 try:
                     fields, _ = decode(row["raw"] or b"")
                     out.append(base | fields | {"internal_date": fields["date"] or row["separator_date"]})
@@ -100,7 +101,8 @@ def parse(raw: DataFrame, fail_fast: bool = False) -> DataFrame:
                     out.append(base | {"error": f"{type(e).__name__}: {e}"})
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in out], schema=schema)
 
-    return raw.select("path", "offset", "separator_date", "raw").mapInArrow(run, SCHEMA)
+    headers = raw_headers(header_slice(F.decode("raw", "ISO-8859-1"))).alias("headers")
+    return raw.select("path", "offset", "separator_date", "raw", headers).mapInArrow(run, SCHEMA)
 
 
 def headers_only(raw: DataFrame) -> DataFrame:

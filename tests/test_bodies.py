@@ -316,3 +316,49 @@ def test_imap_requests_and_answers():
     assert (one_.port, one_.mailbox, one_.account_id, two.mailbox) == (993, "Sent", "w", "INBOX") and one_.options()["port"] == "993"
     with pytest.raises(ValueError):
         two.options()
+
+
+MESSAGE = """From: Ada Byron <ada@corp.example>
+To: Owner <owner@example.com>
+Subject: Invoice and a meeting
+Date: Mon, 1 Jan 2024 10:00:00 +0000
+Message-ID: <M9@corp.example>
+List-Unsubscribe: <https://l.example/u>
+Content-Type: text/plain; charset=utf-8
+
+Hi Owner,
+
+let us meet on 2024-03-01 10:30 CET.
+https://zoom.us/j/9
+View invoice https://shop.example/inv/7
+
+That is all that I have to say.
+
+Best regards,
+Ada Byron
+Corp GmbH
+linkedin.com/in/adabyron
+
+---- Forwarded message ----
+From: Bo <bo@b.example>
+Subject: Older
+Message-ID: <inner.1234@b.example>
+
+Older text that was sent by Bo some time ago.
+"""
+
+
+def test_all_stages_of_a_message(spark):
+    from postlake.operators import mail
+
+    raw = spark.createDataFrame([("a.eml", 0, None, bytearray(MESSAGE.encode())), ("b.eml", 0, None, bytearray(b""))], "path string, offset bigint, separator_date string, raw binary")
+    got = {r["path"]: r.asDict(recursive=True) for r in mail.analyse(raw, owners=["owner@example.com"]).collect()}
+    a = got["a.eml"]
+    assert a["salutation"] == "Hi Owner," and a["reply_text"].startswith("let us meet") and a["signature"].startswith("Best regards,")
+    assert a["forwarded_ids"] == ["inner.1234@b.example"] and [s["subject"] for s in a["forwarded_segments"]] == ["Older"] and a["forwarded_segments"][0]["from"] == [{"address": "bo@b.example", "name": "Bo"}]
+    assert {h["linked_entity_key"] for h in a["contact_hints"] if h["url"]} == {"ada byron|corp.example"} and "Owner" in {h["name"] for h in a["contact_hints"] if h["source"] == "salutation"}
+    assert a["event_hint"]["meeting_links"] == ["https://zoom.us/j/9"] and a["event_hint"]["is_complete"]
+    assert [b["kind"] for b in a["billing_actions"]] == ["view_invoice"] and a["direction"]["direction"] == "inbound" and a["unsubscribe_hints"][0]["url"] == "https://l.example/u"
+    assert a["mail_kind"]["kind"] and a["date_raw"].startswith("Mon, 1 Jan") and a["headers"]["subject"] == "Invoice and a meeting"
+    b = got["b.eml"]
+    assert b["body"] == "" and b["event_hint"] is None and b["contact_hints"] == [] and b["reply_text"] == ""
