@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, docs_of, prefix, signed, spans, words
+from .common import U64, among, chunks, docs_of, prefix, signed, spans, words
 
 T = 50  # words of a window: the length from which a repeat counts
 GRAM = 25
@@ -212,10 +212,14 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.withColumn("place", spread("anchor")).repartition("place").sortWithinPartitions("settled", "anchor", "context", "doc_id", "part", "start").drop("place").mapInArrow(sorted_runs, SORTED)
 
 
-def edge_texts(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, part, text, edges) of the documents that have edges, with all of a document's edges in one row."""
+def edge_texts(docs: DataFrame, edges: DataFrame, spark: SparkSession) -> DataFrame:
+    """(doc_id, part, text, edges) of the documents that have edges, with all of a document's edges in one row.
+
+    Texts of most other documents aren't shuffled.
+    """
     per_doc = edges.groupBy(F.col("doc_id").alias("id"), F.col("part").alias("id_part")).agg(F.array_sort(F.collect_set(F.struct("start", "windows", "anchor", "dup"))).alias("edges"))
-    rows = parted(docs)
+    rows = parted(docs).withColumn("part", F.col("part").cast("long"))
+    rows = among(rows, edges.select("part"), spark).withColumn("part", F.col("part").cast("int"))
     return rows.join(per_doc, (rows["doc_id"] == per_doc["id"]) & (rows["part"] == per_doc["id_part"])).select("doc_id", "part", "text", "edges")
 
 
@@ -233,48 +237,81 @@ def edge_arrays(batch: pa.RecordBatch, t: int = T):
 
 #: What is known of a match: a copy and its earlier occurrence, or a first occurrence, of words start:end.
 MATCHES = ["doc_id", "part", "is_copy", "source", "source_part", "source_start", "start", "end"]
-REPEATS = "doc_id bigint, part int, is_copy boolean, start_word int, end_word int, n_words int, source_doc_id bigint, source_start int"
+MAXIMAL = "doc_id bigint, part int, is_copy boolean, start int, `end` int, source bigint, source_start int"
+REPEATS = "doc_id bigint, part int, is_copy boolean, start_word int, end_word int, n_words int, source_doc_id bigint, source_start int, match_start int, match_words int"
 
 
-def merged(matches: DataFrame) -> DataFrame:
-    """REPEATS: matches with the same earlier occurrence that overlap or touch, at the same distance, become one maximal repeat."""
-    names = ["doc_id", "part", "is_copy", "source", "source_part", "shift", "start", "end"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def join(rows: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray] | None]:
-            start, end = rows[6], rows[7]
-            other = np.ones(len(start), np.bool_)
-            other[1:] = np.any([x[1:] != x[:-1] for x in rows[:6]], axis=0)
-            # a running maximum of ends within each group, by lifting each group above the one before
-            lift = (np.cumsum(other) - 1) << 32
-            reach = np.maximum.accumulate(end + lift) - lift
-            new = other.copy()
-            new[1:] |= start[1:] > reach[:-1]
-            first = np.flatnonzero(new)
-            out = [*(x[first] for x in rows[:7]), np.maximum.reduceat(end, first)]
-            done = len(first) if last else len(first) - 1
-            doc, part, copy, source, _, shift, begin, stop = (x[:done] for x in out)
-            columns = [pa.array(doc), pa.array(part), pa.array(copy), *(pa.array(x.astype(np.int32)) for x in (begin, stop, stop - begin)), pa.array(source, mask=~copy), pa.array((begin - shift).astype(np.int32), mask=~copy)]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "is_copy", "start_word", "end_word", "n_words", "source_doc_id", "source_start"]), None if last else [x[done:] for x in out]
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            rows = [*rows[:5], *(x.astype(np.int64) for x in rows[5:])]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows)]
-            out, held = join(rows, False)
-            yield out
+def _streamed(batches: Iterator[pa.RecordBatch], names: list[str], join) -> Iterator[pa.RecordBatch]:
+    """join(rows, last) -> (batch, rows to keep) over sorted rows, of which it keeps one for the next batch."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [x if x.dtype == np.bool_ else x.astype(np.int64) for x in (batch.column(c).to_numpy(zero_copy_only=False) for c in names)]
         if held is not None:
-            yield join(held, True)[0]
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        out, held = join(rows, False)
+        yield out
+    if held is not None:
+        yield join(held, True)[0]
+
+
+def _runs(keys: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where runs of spans begin that overlap or touch and agree in keys, in rows sorted by keys and start."""
+    other = np.ones(len(start), np.bool_)
+    other[1:] = np.any([x[1:] != x[:-1] for x in keys], axis=0)
+    # a running maximum of ends within each group, by lifting each group above the one before
+    lift = (np.cumsum(other) - 1) << 32
+    reach = np.maximum.accumulate(end + lift) - lift
+    other[1:] |= start[1:] > reach[:-1]
+    return np.flatnonzero(other)
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches at the same distance that overlap or touch grow into one."""
 
+    def join(rows: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray] | None]:
+        first = _runs(rows[:6], rows[6], rows[7])
+        out = [*(x[first] for x in rows[:7]), np.maximum.reduceat(rows[7], first)]
+        done = len(first) if last else len(first) - 1
+        doc, part, copy, source, _, shift, start, end = (x[:done] for x in out)
+        columns = [doc, part.astype(np.int32), copy, start.astype(np.int32), end.astype(np.int32), source, (start - shift).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "part", "is_copy", "start", "end", "source", "source_start"]), None if last else [x[done:] for x in out]
+
+    return _streamed(batches, ["doc_id", "part", "is_copy", "source", "source_part", "shift", "start", "end"], join)
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What matches cover without a gap is one repeat, with the longest of them."""
+
+    def join(rows: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray] | None]:
+        doc, part, copy, start, end, source, source_start, at, size = rows
+        first = _runs([doc, part, copy], start, end)
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc))))
+        order = np.lexsort((at, -size, run))
+        best = order[first]  # the first of the longest in each run
+        out = [*(x[first] for x in (doc, part, copy, start)), np.maximum.reduceat(end, first), *(x[best] for x in (source, source_start, at, size))]
+        done = len(first) if last else len(first) - 1
+        doc, part, copy, start, end, source, source_start, at, size = (x[:done] for x in out)
+        ints = lambda *xs: [pa.array(x.astype(np.int32)) for x in xs]
+        of = lambda *xs: [pa.array(x.astype(np.int32), mask=~copy) for x in xs]
+        columns = [pa.array(doc), *ints(part), pa.array(copy), *ints(start, end, end - start), pa.array(source, mask=~copy), *of(source_start, at, size)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "is_copy", "start_word", "end_word", "n_words", "source_doc_id", "source_start", "match_start", "match_words"]), None if last else [x[done:] for x in out]
+
+    return _streamed(batches, ["doc_id", "part", "is_copy", "start", "end", "source", "source_start", "match_start", "match_words"], join)
+
+
+def merged(matches: DataFrame) -> DataFrame:
+    """REPEATS of MATCHES: maximal matches of the same documents at the same distance, then all words that they cover without a gap.
+
+    Both passes see a document's rows in one partition, so there is one shuffle.
+    """
     here = F.when(F.col("is_copy"), F.col("start") - F.col("source_start")).otherwise(0).alias("shift")
     only = lambda c: F.when(F.col("is_copy"), F.col(c)).otherwise(0).alias(c)
-    rows = matches.select("doc_id", "part", "is_copy", only("source"), only("source_part"), here, "start", "end")
-    return rows.repartition("doc_id", "part").sortWithinPartitions(*names).mapInArrow(run, REPEATS)
+    rows = matches.select("doc_id", "part", "is_copy", only("source"), only("source_part"), here, "start", "end").repartition("doc_id", "part")
+    found = rows.sortWithinPartitions("doc_id", "part", "is_copy", "source", "source_part", "shift", "start", "end").mapInArrow(_extended, MAXIMAL)
+    found = found.withColumns({"match_start": F.col("start"), "match_words": F.col("end") - F.col("start")})
+    return found.sortWithinPartitions("doc_id", "part", "is_copy", "start", "end", "source").mapInArrow(_covered, REPEATS)
 
 
 def settled(sorted_rows: DataFrame, t: int = T) -> DataFrame:

@@ -5,14 +5,15 @@ first one in places' order that agrees with it.  That pair is a seed.  It is ext
 as far as windows have that anchor: at once where whole contexts are equal, word by word at
 the edges of passages, where each window before and after is looked up by its hash.  What
 lies beyond is extended by the neighbouring anchors: matches of two documents at the same
-distance that overlap or touch grow into one maximal repeat, and every one is of T words or more.
+distance that overlap or touch grow into one maximal match, and every one is of T words or
+more.  What the matches of a document cover without a gap is one repeat.
 
 The result is exact: a word lies in a repeat of is_copy = true if it is in a window of T = 50
 words that occurs at an earlier place, and in one of is_copy = false if it is in a window
-that occurs again later but not earlier.  A copy's row has its earlier occurrence
-(source_doc_id, source_start); where different parts of a copied passage occur first in
-different documents, each has a row of its own, and rows may overlap.  Places are ordered by
-doc_id, then by text, then by position.  Words are compared in lower case, without punctuation and white space.
+that occurs again later but not earlier.  A copy's row also has the longest match in it:
+match_words words from match_start are those from source_start of source_doc_id, which is
+earlier.  Places are ordered by doc_id, then by text, then by position.  Words are compared in
+lower case, without punctuation and white space.
 
 Defined results: null texts and ids, empty texts and texts of under 50 words have no repeats.
 Rows with the same doc_id and text count once; rows that share a doc_id but not the text are
@@ -107,7 +108,7 @@ def repeats(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """seeds.REPEATS of all maximal repeats of 50 words and more."""
     shared_checkpoints(spark)
     rows = grouped(seeds(docs)).checkpoint()
-    fine = edge_matches(edge_texts(docs, rows.where(F.col("kind") == EDGE)))
+    fine = edge_matches(edge_texts(docs, rows.where(F.col("kind") == EDGE), spark))
     return merged(settled(rows).unionByName(fine.select(MATCHES)))
 
 

@@ -10,8 +10,8 @@ array of its pieces, laid one after the other in the order of their places:
   are the two earlier suffixes that have most in common with each suffix;
 * their longest common prefixes, read off the kept ranks, give the longest previous factor.
 
-A place whose previous factor has T words or more begins a later copy; one that a copy
-points to and that is none itself is a first occurrence.  deduplicated() removes the later
+A place whose previous factor has T words or more begins a later copy, of which the factor is
+the row unless an earlier place's factor covers it; what a copy points to and that is none itself is a first occurrence.  deduplicated() removes the later
 copies and keeps the first.
 
 Factors run within pieces, which are all of the text around an anchor that can hold a window
@@ -39,8 +39,8 @@ from .common import chunks, ragged, shared_checkpoints, signed, table
 from .seeds import EDGE, MATCHES, SETTLED, T, edge_arrays, edge_texts, grouped, merged, seeds, settled
 from .substrings import edge_matches, without_copies
 
-PORTION_WORDS = 400_000  # words of a suffix array, about; an anchor is never split
-CROWD = 20_000  # pieces of an anchor in a suffix array, at most
+PORTION_WORDS = 150_000  # words of a suffix array, about; an anchor is never split
+CROWD = 2_000  # pieces of an anchor in a suffix array, at most
 
 
 def doubled_ranks(text: np.ndarray, least: int) -> list[np.ndarray]:
@@ -99,8 +99,12 @@ def previous_factors(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarr
     return length, source
 
 
-def copies(pieces: list[np.ndarray], t: int = T) -> tuple[np.ndarray, np.ndarray]:
-    """(source or -1, is the source of a copy) of every place in the pieces laid end to end, a divider after each."""
+def factors(pieces: list[np.ndarray], t: int = T) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, source) of the previous factor of t words or more at every place of the pieces laid end to end, a divider after each; 0 and -1 for none.
+
+    The last array tells the places whose factor ends beyond those of all places before it in its
+    piece: the others lie within one of these.
+    """
     total = sum(len(p) + 1 for p in pieces)
     text = np.empty(total, np.int64)
     divider = np.zeros(total, np.bool_)
@@ -112,11 +116,12 @@ def copies(pieces: list[np.ndarray], t: int = T) -> tuple[np.ndarray, np.ndarray
     words = np.unique(text[~divider], return_inverse=True)[1]
     text[~divider] = words + len(pieces)
     text[divider] = np.arange(len(pieces))  # all different, so no match runs across one
-    length, source = previous_factors(text, 2 * t)
-    source = np.where(length >= t, source, -1)
-    used = np.zeros(total, np.bool_)
-    used[source[source >= 0]] = True
-    return source, used
+    length, source = previous_factors(text, max(2 * t, max(map(len, pieces), default=0)))
+    length = np.where(length >= t, length, 0)
+    # no factor runs across a divider, so ends of earlier pieces are no greater than a piece's first place
+    end = np.arange(total) + length
+    before = np.concatenate([[0], np.maximum.accumulate(end)[:-1]])
+    return length, np.where(length > 0, source, -1), (length > 0) & (end > before)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +136,6 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Copies and first occurrences of pieces that come with equal anchors together."""
-    names = ["doc_id", "part", "is_copy", "source", "source_part", "source_start", "start"]
 
     def give(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "part", "start")] + [("dup", "descending")])
@@ -142,19 +146,24 @@ def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]) | (start[1:] != start[:-1])  # a repeated row gives the same piece again
         pick = np.flatnonzero(new)
         pieces = [flat[bounds[i] : bounds[i + 1]] for i in pick]
-        source, used = copies(pieces)
+        length, source, greatest = factors(pieces)
         size = np.array([len(p) + 1 for p in pieces])
         begin = np.cumsum(size) - size
-        at = ragged(begin, m[pick].astype(np.int64))
-        row = np.repeat(pick, m[pick])
-        place = start[row] + ragged(np.zeros(len(pick), np.int64), m[pick].astype(np.int64))
-        copy = source[at] >= 0
-        keep = copy | used[at] | dup[row]
-        found = np.maximum(source[at], 0)
-        piece = np.searchsorted(begin, found, "right") - 1
-        of = pick[piece]
-        columns = [doc[row], part[row], copy, doc[of], part[of], (start[of] + found - begin[piece]).astype(np.int32), place.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
+        place_of = lambda at: (piece := np.searchsorted(begin, at, "right") - 1, start[pick[piece]] + at - begin[piece])
+        at = np.flatnonzero(greatest)
+        (here, word), (there, earlier) = place_of(at), place_of(source[at])
+        # places that begin a window of some source and of no copy, in runs
+        turns = np.zeros(len(length) + 1, np.int64)
+        np.add.at(turns, source[at], 1)
+        np.add.at(turns, source[at] + length[at] - T + 1, -1)
+        first = (np.cumsum(turns)[:-1] > 0) & (length == 0)
+        known = ragged(begin[dup[pick]], m[pick][dup[pick]].astype(np.int64))  # all windows of a piece with copies of it as a whole
+        first[known] |= length[known] == 0
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], first.astype(np.int8), [0]])))
+        of, at_word = place_of(edges[::2])
+        run = edges[1::2] - edges[::2]
+        columns = [np.concatenate(x) for x in ((doc[pick[here]], doc[pick[of]]), (part[pick[here]], part[pick[of]]), (np.ones(len(at), np.bool_), np.zeros(len(of), np.bool_)), (doc[pick[there]], np.zeros(len(of), doc.dtype)), (part[pick[there]], np.zeros(len(of), part.dtype)), (earlier, np.zeros(len(of), np.int64)), (word, at_word), (word + length[at], at_word + run - 1 + T))]
+        return pa.RecordBatch.from_arrays([pa.array(c if k in (0, 2, 3) else c.astype(np.int32)) for k, c in enumerate(columns)], names=MATCHES)
 
     held: list[pa.RecordBatch] = []
     load = 0
@@ -183,10 +192,9 @@ def repeats_by_suffixes(docs: DataFrame, spark: SparkSession, crowd: int = CROWD
     gathered = rows.where(F.col("kind") != SETTLED)
     crowds = gathered.groupBy(F.col("anchor").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("of")
     crowded = gathered.join(crowds, F.col("anchor") == F.col("of"), "left_semi")
-    pieces = edge_texts(docs, gathered.join(crowds, F.col("anchor") == F.col("of"), "left_anti")).mapInArrow(_pieces, "anchor bigint, doc_id bigint, part int, start int, windows int, dup boolean, words array<bigint>")
-    fine = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "part", "start").mapInArrow(_factor, "doc_id bigint, part int, is_copy boolean, source bigint, source_part int, source_start int, start int")
-    fine = fine.withColumn("end", F.col("start") + T)
-    rest = edge_matches(edge_texts(docs, crowded.where(F.col("kind") == EDGE)))
+    pieces = edge_texts(docs, gathered.join(crowds, F.col("anchor") == F.col("of"), "left_anti"), spark).mapInArrow(_pieces, "anchor bigint, doc_id bigint, part int, start int, windows int, dup boolean, words array<bigint>")
+    fine = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "part", "start").mapInArrow(_factor, "doc_id bigint, part int, is_copy boolean, source bigint, source_part int, source_start int, start int, `end` int")
+    rest = edge_matches(edge_texts(docs, crowded.where(F.col("kind") == EDGE), spark))
     known = settled(rows.where(F.col("kind") == SETTLED)).unionByName(settled(crowded))
     return merged(known.unionByName(fine.select(MATCHES)).unionByName(rest.select(MATCHES)))
 
