@@ -52,6 +52,7 @@ NEIGHBOURS = 2
 THRESHOLD = 0.45  # Jaccard similarity of the shingle sets
 PLAY = 0.1  # two standard errors of the signatures' estimate of it
 SHINGLE = 3
+SALTS = 256
 STREAM = 2_000_000  # rows of a region that a task holds, about
 
 _random = np.random.default_rng(20240229)
@@ -260,8 +261,10 @@ def near_duplicate_rows(docs: DataFrame, spark: SparkSession) -> DataFrame:
         ids = nodes.join(some, "node").select("node", F.col("first.doc_id").alias("id"), F.col("first.part").alias("part"))
         rows = among(rows_of(docs), ids, spark).alias("r")
         texts = rows.join(ids.alias("i"), (F.col("r.doc_id") == F.col("i.id")) & (F.col("r.part") == F.col("i.part"))).select("node", "text").repartition("node").dropDuplicates(["node"])
-        right = alike.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        # a hub of very many is there once for each of SALTS shares of them
+        salted = alike.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+        left = salted.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        both = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(left, ["a", "salt"])
         return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint").distinct().checkpoint()
 
     first = verified(pairs(nodes.select("node", "sig", F.lit(0).cast("long").alias("root")), True))
