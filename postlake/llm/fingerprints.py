@@ -36,6 +36,7 @@ PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (1_103_515_245, 1_664_525_007)
 INVERSES = tuple(pow(b, -1, p) for b, p in zip(BASES, PRIMES))
 RUNG = 32
+SALTS, FEW, SHARE = 16, 4, 64  # parts that a document's partners are counted in, partners of a part that stay together, and size of a share
 PRINTS = "doc_id bigint, part bigint, n_chars int, fingerprint bigint, openings array<bigint>"
 _tables: dict[tuple[int, int], np.ndarray] = {}
 
@@ -172,7 +173,14 @@ def fingerprints(docs: DataFrame, spark: SparkSession) -> DataFrame:
     near = near.groupBy("doc_id", "part").agg(F.max_by("first", "rung").alias("near")).select("doc_id", "part", F.col("near.doc_id").alias("near_id"), F.col("near.part").alias("near_part")).checkpoint()
     ends = near.select("doc_id", "part").unionByName(near.select(F.col("near_id").alias("doc_id"), F.col("near_part").alias("part"))).distinct()
     texts = among(rows_of(docs), ends, spark).join(ends, ["doc_id", "part"]).repartition("doc_id", "part").dropDuplicates(["doc_id", "part"])
-    pairs = near.join(texts, ["doc_id", "part"]).join(texts.select(F.col("doc_id").alias("near_id"), F.col("part").alias("near_part"), F.col("text").alias("other")), ["near_id", "near_part"])
+    # a document that very many are compared with is there once for every share of them; they are counted in SALTS parts
+    counted = near.withColumn("s", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)))
+    many = counted.groupBy("near_id", "near_part", "s").agg(F.count("*").alias("n"))
+    share = F.when(F.col("n") > FEW, F.col("s") * (1 << 32) + 1 + F.pmod(F.xxhash64("part", "doc_id"), F.ceil(F.col("n") / SHARE))).otherwise(0)
+    salted = counted.join(many, ["near_id", "near_part", "s"]).withColumn("salt", share).drop("s", "n")
+    shares = salted.select("near_id", "near_part", "salt").distinct()
+    others = shares.join(texts.select(F.col("doc_id").alias("near_id"), F.col("part").alias("near_part"), F.col("text").alias("other")), ["near_id", "near_part"])
+    pairs = salted.join(texts, ["doc_id", "part"]).join(others, ["near_id", "near_part", "salt"])
     found = pairs.select("doc_id", "part", "near_id", "text", "other").mapInArrow(_extend, "doc_id bigint, part bigint, near_id bigint, head_chars int, tail_chars int")
     both = rows.join(twins, (F.col("fingerprint") == F.col("f")) & (F.col("n_chars") == F.col("n")), "left").join(found, ["doc_id", "part"], "left")
     return both.select("doc_id", "n_chars", "fingerprint", F.when(F.col("twin") < F.col("doc_id"), F.col("twin")).alias("twin_id"), "near_id", "head_chars", "tail_chars")

@@ -55,9 +55,10 @@ def test_hot_passages_and_their_sources(spark, monkeypatch, bits, find):
     text = {i: t.lower().split() for i, t in distinct}
     for r in found:
         if r["is_copy"]:
-            source = text[r["source_doc_id"]][r["source_start"] : r["source_start"] + r["n_words"]]
-            assert r["n_words"] >= 50 and source == text[r["doc_id"]][r["start_word"] : r["end_word"]]
-            assert (r["source_doc_id"], r["source_start"]) < (r["doc_id"], r["start_word"])
+            source = text[r["source_doc_id"]][r["source_start"] : r["source_start"] + r["match_words"]]
+            assert r["match_words"] >= 50 and source == text[r["doc_id"]][r["match_start"] : r["match_start"] + r["match_words"]]
+            assert (r["source_doc_id"], r["source_start"]) < (r["doc_id"], r["match_start"]) and r["start_word"] <= r["match_start"] and r["match_start"] + r["match_words"] <= r["end_word"]
+    assert len({(r["doc_id"], r["is_copy"], r["start_word"]) for r in found}) == len(found)
 
 
 def test_combiner_settles_what_is_known_and_sends_the_rest():
@@ -339,3 +340,16 @@ def test_pipeline_stages_against_brute_force(spark):
                     assert [bytes(v.data[a:b]).decode() for a, b in zip(v.start, v.end)] == rest and (d in cut or kept[d] == t)
         if name == "language_id":
             assert all(kept[d] == old[d] for d in kept)
+
+
+def test_a_much_wanted_partner_is_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "FEW", 1)
+    monkeypatch.setattr(fingerprints, "SHARE", 2)
+    head = prose(70, 12)
+    rows = [(i, f"{head} {prose(500 + i, 6)}", "en") for i in range(60)]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(documents(spark, rows), spark).collect()}
+    assert len(got) == 60 and got[0]["near_id"] is None
+    for i in range(1, 60):
+        near = rows[got[i]["near_id"]][1]
+        same = next(k for k, (a, b) in enumerate(zip(rows[i][1] + "\0", near + "\1")) if a != b)
+        assert got[i]["near_id"] < i and got[i]["head_chars"] == same
