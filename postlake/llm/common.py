@@ -8,9 +8,10 @@ two gathers and a multiplication.  Null texts count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,6 +134,24 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def release() -> None:
+    """Give memory that is free in this process, Arrow's and the C library's, back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run of mapInArrow(), so that a worker that waits for its next task doesn't keep the free memory of the last one."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[i], start[i] + 1, ... of length[i] each, one after the other."""
     total = int(length.sum())
@@ -175,7 +194,7 @@ def among(rows: DataFrame, ids: DataFrame, spark: SparkSession) -> DataFrame:
             p = batch.column("p").to_numpy()
             yield batch.select(["doc_id", "part", "text"]).filter(pa.array((sent.value[p // 8] >> (p % 8).astype(np.uint8) & 1).astype(np.bool_)))
 
-    return rows.withColumn("p", place).mapInArrow(run, "doc_id bigint, part bigint, text string")
+    return rows.withColumn("p", place).mapInArrow(tidy(run), "doc_id bigint, part bigint, text string")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, chunks, docs_of, named, prefix, ragged, shared_checkpoints, spans, table, words
+from .common import U64, Words, chunks, docs_of, named, prefix, ragged, shared_checkpoints, spans, table, tidy, words
 
 SIZES = (12, 16, 24, 32, 44, 60, 88, *(128 << k for k in range(10)))
 STRIDE = 4
@@ -309,7 +309,7 @@ def contaminated_rows(docs: DataFrame, benchmark: DataFrame, spark: SparkSession
                 columns = [[items.ids[x[1]] for x in found], *([x[k] for x in found] for k in (2, 3, 4))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("part").take(at), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.int32(), pa.int32())))], names=["doc_id", "part", "item_id", "similarity", "start_word", "end_word"])
 
-        return rows.mapInArrow(run, SCHEMA)
+        return rows.mapInArrow(tidy(run), SCHEMA)
 
     out = None
     for items in portions(benchmark):

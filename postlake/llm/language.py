@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs_of, named, shared_checkpoints, table
+from .common import chunks, docs_of, named, shared_checkpoints, table, tidy
 
 SAMPLE_DOCS = 256  # labelled documents of a language that its dictionary is made of, at most
 DICT_BYTES = 64 << 10  # size of a dictionary, at most
@@ -62,7 +62,8 @@ def fit(labelled: DataFrame, lang_col: str = "lang", sample_docs: int = SAMPLE_D
     if not sizes:
         return {}
     dict_bytes = min(dict_bytes, max(LEAST_BYTES, min(map(sum, sizes.values()))))
-    shares = labelled.sparkSession.createDataFrame([(k, level(v, dict_bytes)) for k, v in sizes.items()], "lang string, share bigint")
+    # a table of Arrow, as a list would need Python workers of another kind, which stay beside the others
+    shares = labelled.sparkSession.createDataFrame(pa.table({"lang": pa.array(list(sizes), pa.string()), "share": pa.array([level(v, dict_bytes) for v in sizes.values()], pa.int64())}))
     # n characters, of which the share holds most; the line feed after each piece counts
     n, most = F.length("text").cast("long"), F.floor(F.col("share") * F.length("text") / F.octet_length("text"))
     number = F.greatest(F.lit(1), F.floor(F.col("most") / PIECE))
@@ -137,8 +138,8 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = coder(dictionaries)
-        for batch in batches:
+        for batch in chunks(batches, names["text"]):
             best, margin = encode(batch.column(names["text"]).to_pylist())
             yield batch.filter(pa.array((best >= 0) & (margin >= MIN_MARGIN)))
 
-    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(tidy(keep), plain.schema).toDF(*docs.columns)

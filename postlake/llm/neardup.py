@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, among, chunks, components, mix, named, prefix, ragged, rows_of, shared_checkpoints, signed, spans, table, words
+from .common import U64, among, chunks, components, mix, named, prefix, ragged, rows_of, shared_checkpoints, signed, spans, table, tidy, words
 
 K = 100
 TREES = 33
@@ -241,21 +241,21 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicate_rows(docs: DataFrame, spark: SparkSession) -> DataFrame:
     """(doc_id, part, group_id, kept, n_links) of every distinct row that has a copy or near copy."""
     shared_checkpoints(spark)
-    signed_docs = rows_of(docs).mapInArrow(_sign, "doc_id bigint, part bigint, whole bigint, sig binary").checkpoint()
+    signed_docs = rows_of(docs).mapInArrow(tidy(_sign), "doc_id bigint, part bigint, whole bigint, sig binary").checkpoint()
     place = F.struct("doc_id", "part")
     # a node for every word sequence, with the first document that has it
     nodes = signed_docs.groupBy(F.col("whole").alias("node")).agg(F.min("sig").alias("sig"), F.min(place).alias("first")).checkpoint()
     sigs = nodes.select("node", "sig")
 
     def pairs(rows: DataFrame, hubs: bool) -> DataFrame:
-        trees = rows.select("node", "sig", "root").mapInArrow(_orders, "key bigint, label bigint, last int, node bigint, root bigint")
-        found = trees.repartition("key").sortWithinPartitions("key", "label", "last", "node").mapInArrow(lambda batches: _candidates(batches, hubs), "a bigint, b bigint")
+        trees = rows.select("node", "sig", "root").mapInArrow(tidy(_orders), "key bigint, label bigint, last int, node bigint, root bigint")
+        found = trees.repartition("key").sortWithinPartitions("key", "label", "last", "node").mapInArrow(tidy(lambda batches: _candidates(batches, hubs)), "a bigint, b bigint")
         return found.distinct()
 
     def verified(p: DataFrame) -> DataFrame:
         left = p.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
         both = left.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        alike = both.select("a", "b", "sa", "sb").mapInArrow(_alike, "a bigint, b bigint").checkpoint()
+        alike = both.select("a", "b", "sa", "sb").mapInArrow(tidy(_alike), "a bigint, b bigint").checkpoint()
         # only the texts of nodes in such pairs are shuffled, each once
         some = alike.select(F.col("a").alias("node")).unionByName(alike.select(F.col("b").alias("node"))).distinct()
         ids = nodes.join(some, "node").select("node", F.col("first.doc_id").alias("id"), F.col("first.part").alias("part"))
@@ -265,7 +265,7 @@ def near_duplicate_rows(docs: DataFrame, spark: SparkSession) -> DataFrame:
         salted = alike.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
         left = salted.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         both = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(left, ["a", "salt"])
-        return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint").distinct().checkpoint()
+        return both.select("a", "b", "ta", "tb").mapInArrow(tidy(_verify), "a bigint, b bigint").distinct().checkpoint()
 
     first = verified(pairs(nodes.select("node", "sig", F.lit(0).cast("long").alias("root")), True))
     hubs = components(first, spark)

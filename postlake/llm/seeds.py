@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, among, chunks, docs_of, prefix, signed, spans, words
+from .common import U64, among, chunks, docs_of, prefix, signed, spans, tidy, words
 
 T = 50  # words of a window: the length from which a repeat counts
 GRAM = 25
@@ -135,7 +135,7 @@ def _seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    return parted(docs).mapInArrow(_seed, SEEDS)
+    return parted(docs).mapInArrow(tidy(_seed), SEEDS)
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def spread(key: str) -> Column:
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("place", spread("anchor")).repartition("place").sortWithinPartitions("settled", "anchor", "context", "doc_id", "part", "start").drop("place").mapInArrow(sorted_runs, SORTED)
+    return rows.withColumn("place", spread("anchor")).repartition("place").sortWithinPartitions("settled", "anchor", "context", "doc_id", "part", "start").drop("place").mapInArrow(tidy(sorted_runs), SORTED)
 
 
 def edge_texts(docs: DataFrame, edges: DataFrame, spark: SparkSession) -> DataFrame:
@@ -309,9 +309,9 @@ def merged(matches: DataFrame) -> DataFrame:
     here = F.when(F.col("is_copy"), F.col("start") - F.col("source_start")).otherwise(0).alias("shift")
     only = lambda c: F.when(F.col("is_copy"), F.col(c)).otherwise(0).alias(c)
     rows = matches.select("doc_id", "part", "is_copy", only("source"), only("source_part"), here, "start", "end").repartition("doc_id", "part")
-    found = rows.sortWithinPartitions("doc_id", "part", "is_copy", "source", "source_part", "shift", "start", "end").mapInArrow(_extended, MAXIMAL)
+    found = rows.sortWithinPartitions("doc_id", "part", "is_copy", "source", "source_part", "shift", "start", "end").mapInArrow(tidy(_extended), MAXIMAL)
     found = found.withColumns({"match_start": F.col("start"), "match_words": F.col("end") - F.col("start")})
-    return found.sortWithinPartitions("doc_id", "part", "is_copy", "start", "end", "source").mapInArrow(_covered, REPEATS)
+    return found.sortWithinPartitions("doc_id", "part", "is_copy", "start", "end", "source").mapInArrow(tidy(_covered), REPEATS)
 
 
 def settled(sorted_rows: DataFrame, t: int = T) -> DataFrame:

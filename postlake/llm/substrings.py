@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, named, prefix, ragged, shared_checkpoints, signed, spans, table, words
+from .common import chunks, named, prefix, ragged, shared_checkpoints, signed, spans, table, tidy, words
 from .seeds import EDGE, MATCHES, T, Combiner, edge_arrays, edge_texts, grouped, merged, part_of, seeds, settled, spread
 
 WINDOWS = "settled boolean, anchor bigint, doc_id bigint, part int, start int, dup boolean, source bigint, source_part int, source_start int"
@@ -99,8 +99,8 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def edge_matches(edges: DataFrame) -> DataFrame:
     """MATCHES of the windows of edge_texts()."""
-    fine = edges.mapInArrow(windows, WINDOWS).withColumn("place", spread("anchor")).repartition("place").drop("place")
-    fine = fine.sortWithinPartitions("settled", "anchor", "doc_id", "part", "start").mapInArrow(resolve, "doc_id bigint, part int, is_copy boolean, source bigint, source_part int, source_start int, start int")
+    fine = edges.mapInArrow(tidy(windows), WINDOWS).withColumn("place", spread("anchor")).repartition("place").drop("place")
+    fine = fine.sortWithinPartitions("settled", "anchor", "doc_id", "part", "start").mapInArrow(tidy(resolve), "doc_id bigint, part int, is_copy boolean, source bigint, source_part int, source_start int, start int")
     return fine.withColumn("end", F.col("start") + T)
 
 
@@ -166,7 +166,7 @@ def without_copies(docs: DataFrame, spark: SparkSession, find: Callable[[DataFra
             out = pa.RecordBatch.from_arrays(list(columns.values()), names=schema.names)
             yield out.filter(pa.array((size_of == 0) | (np.diff(words(columns[text]).bounds) > 0))) if len(cut) else out
 
-    return both.mapInArrow(run, schema).toDF(*docs.columns)
+    return both.mapInArrow(tidy(run), schema).toDF(*docs.columns)
 
 
 def stage_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, ragged, shared_checkpoints, signed, table
+from .common import chunks, ragged, shared_checkpoints, signed, table, tidy
 from .seeds import EDGE, MATCHES, SETTLED, T, edge_arrays, edge_texts, grouped, merged, seeds, settled
 from .substrings import edge_matches, without_copies
 
@@ -192,8 +192,8 @@ def repeats_by_suffixes(docs: DataFrame, spark: SparkSession, crowd: int = CROWD
     gathered = rows.where(F.col("kind") != SETTLED)
     crowds = gathered.groupBy(F.col("anchor").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("of")
     crowded = gathered.join(crowds, F.col("anchor") == F.col("of"), "left_semi")
-    pieces = edge_texts(docs, gathered.join(crowds, F.col("anchor") == F.col("of"), "left_anti"), spark).mapInArrow(_pieces, "anchor bigint, doc_id bigint, part int, start int, windows int, dup boolean, words array<bigint>")
-    fine = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "part", "start").mapInArrow(_factor, "doc_id bigint, part int, is_copy boolean, source bigint, source_part int, source_start int, start int, `end` int")
+    pieces = edge_texts(docs, gathered.join(crowds, F.col("anchor") == F.col("of"), "left_anti"), spark).mapInArrow(tidy(_pieces), "anchor bigint, doc_id bigint, part int, start int, windows int, dup boolean, words array<bigint>")
+    fine = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "part", "start").mapInArrow(tidy(_factor), "doc_id bigint, part int, is_copy boolean, source bigint, source_part int, source_start int, start int, `end` int")
     rest = edge_matches(edge_texts(docs, crowded.where(F.col("kind") == EDGE), spark))
     known = settled(rows.where(F.col("kind") == SETTLED)).unionByName(settled(crowded))
     return merged(known.unionByName(fine.select(MATCHES)).unionByName(rest.select(MATCHES)))
