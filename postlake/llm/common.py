@@ -16,7 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -181,20 +182,34 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return docs_of(docs).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("part"), "text")
 
 
-def among(rows: DataFrame, ids: DataFrame, spark: SparkSession) -> DataFrame:
-    """rows without most of those whose part is not in ids, by a bitmap of hashes of bounded size."""
-    place = F.pmod(F.col("part"), F.lit(FILTER_BITS).cast("long"))
-    slots = ids.select(place.alias("p")).groupBy((F.col("p") / 8).cast("long").alias("byte")).agg(F.bit_or(F.pow(F.lit(2), F.col("p") % 8).cast("int")).cast("short").alias("bits")).toArrow()
+def slot_of(part: Column) -> Column:
+    return F.pmod(part, F.lit(FILTER_BITS).cast("long"))
+
+
+def sent_slots(ids: DataFrame, spark: SparkSession) -> Broadcast:
+    """The bitmap of the slots of ids' parts, of bounded size."""
+    slots = ids.select(slot_of(F.col("part")).alias("p")).groupBy((F.col("p") / 8).cast("long").alias("byte")).agg(F.bit_or(F.pow(F.lit(2), F.col("p") % 8).cast("int")).cast("short").alias("bits")).toArrow()
     bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
     bitmap[slots.column("byte").to_numpy()] = slots.column("bits").to_numpy()
-    sent = spark.sparkContext.broadcast(bitmap)
+    return spark.sparkContext.broadcast(bitmap)
+
+
+def by_slots(rows: DataFrame, slot: Column, sent: Broadcast, there: bool = True) -> DataFrame:
+    """rows whose slot is in the bitmap, or those whose slot is not."""
+    schema = rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column("p").to_numpy()
-            yield batch.select(["doc_id", "part", "text"]).filter(pa.array((sent.value[p // 8] >> (p % 8).astype(np.uint8) & 1).astype(np.bool_)))
+            p = batch.column("slot__").to_numpy()
+            hit = (sent.value[p // 8] >> (p % 8).astype(np.uint8) & 1) == there
+            yield batch.select(schema.names).filter(pa.array(hit))
+
+    return rows.withColumn("slot__", slot).mapInArrow(tidy(run), schema)
+
 
-    return rows.withColumn("p", place).mapInArrow(tidy(run), "doc_id bigint, part bigint, text string")
+def among(rows: DataFrame, ids: DataFrame, spark: SparkSession) -> DataFrame:
+    """rows without most of those whose part is not in ids, by a bitmap of hashes of bounded size."""
+    return by_slots(rows.select("doc_id", F.col("part").cast("long").alias("part"), "text"), slot_of(F.col("part")), sent_slots(ids, spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, among, chunks, components, mix, named, prefix, ragged, rows_of, shared_checkpoints, signed, spans, table, tidy, words
+from .common import U64, among, by_slots, chunks, components, mix, named, prefix, ragged, rows_of, sent_slots, shared_checkpoints, signed, slot_of, spans, table, tidy, words
 
 K = 100
 TREES = 33
@@ -299,12 +299,14 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     plain, names = named(docs)
     rows = plain.withColumns({"id__": F.col(names["doc_id"]).cast("long"), "part__": F.xxhash64(F.col(names["text"]).cast("string"))})
     same = lambda other: (F.col("id__") == other["doc_id"]) & (F.col("part__") == other["part"])
-    drop = near_duplicate_rows(docs, spark).where("not kept").select("doc_id", "part")
-    kept = rows.join(drop, same(drop), "left_anti")
-    # only rows that occur again are shuffled with their texts
-    again = rows.where("id__ is not null").groupBy(F.col("id__").alias("doc_id"), F.col("part__").alias("part")).count().where("count > 1").select("doc_id", "part")
+    drop = near_duplicate_rows(docs, spark).where("not kept").select("doc_id", "part").checkpoint()
+    again = rows.where("id__ is not null").groupBy(F.col("id__").alias("doc_id"), F.col("part__").alias("part")).count().where("count > 1").select("doc_id", "part").checkpoint()
+    # only rows that may be dropped or occur again are shuffled with their texts
+    asked = sent_slots(drop.unionByName(again), spark)
+    sure, doubt = (by_slots(rows, slot_of(F.col("part__")), asked, there) for there in (False, True))
+    kept = doubt.join(drop, same(drop), "left_anti")
     once = kept.join(again, same(again), "left_anti")
     several = kept.join(again, same(again), "left_semi")
     order = Window.partitionBy("id__", "part__").orderBy(F.to_json(F.struct(*plain.columns)))
     several = several.withColumn("rank__", F.row_number().over(order)).where("rank__ = 1").drop("rank__")
-    return once.unionByName(several).select(*plain.columns).toDF(*docs.columns)
+    return sure.unionByName(once).unionByName(several).select(*plain.columns).toDF(*docs.columns)

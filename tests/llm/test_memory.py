@@ -5,7 +5,7 @@ import sys
 
 import pytest
 
-from postlake.llm import language
+from postlake.llm import language, neardup
 
 #: MB that the process holds after a task of near_duplicates' first step over 10 MB of text, beyond what it held before.
 TASK = """
@@ -55,3 +55,23 @@ def test_shares_of_dictionaries_need_no_rdd_of_python(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "en" if i % 2 else "de", f"text {i} " * 9) for i in range(40)], "doc_id long, lang string, text string").localCheckpoint()
     monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
     assert sorted(language.fit(docs)) == ["de", "en"]
+
+
+def test_texts_of_rows_that_stay_are_not_shuffled(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"{x:x}" for x in r.integers(0, 1 << 60, 600)) for _ in range(300)]
+    rows = [(i, t, f"k{i}") for i, t in enumerate(texts)]
+    rows += [(900, texts[7], "copy"), (8, texts[8], "k8"), (None, texts[9], "no id"), (None, texts[9], "no id"), (901, None, "no text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(4).localCheckpoint()
+    context = spark.sparkContext._jsc.sc()
+
+    def written() -> int:
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    out = neardup.stage_near_duplicates(spark, docs, "").collect()
+    assert written() - before < sum(map(len, texts)) // 2
+    assert sorted((-1 if x is None else x, n) for x, _, n in out) == sorted([*((i, f"k{i}") for i in range(300)), (-1, "no id"), (-1, "no id"), (901, "no text")])
