@@ -7,11 +7,11 @@ import pytest
 
 from postlake.llm import language, neardup
 
-#: MB that the process holds after a task of near_duplicates' first step over 10 MB of text, beyond what it held before.
+#: MB that the process holds after a task of a step, beyond what it held before.
 TASK = """
 import re
 import numpy as np, pyarrow as pa
-from postlake.llm import neardup, seeds
+from postlake.llm import neardup, seeds, suffixes
 from postlake.llm.common import powers, BASE, INVERSE
 
 run = {of}
@@ -23,12 +23,17 @@ def batches():
         texts = [" ".join(words[r.integers(0, 5000, 400)]) for _ in range(1000)]
         yield pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([0] * 1000), pa.array(texts)], names=["doc_id", "part", "text"])
 
+def sorted_pieces():
+    for k in range(40):
+        own = [r.integers(0, 400, 2000) for _ in range(60)]
+        yield pa.RecordBatch.from_arrays([pa.array([k] * 60), pa.array(range(60)), pa.array([0] * 60, pa.int32()), pa.array([0] * 60, pa.int32()), pa.array([1951] * 60, pa.int32()), pa.array([False] * 60), pa.array(own, pa.list_(pa.int64()))], names=["anchor", "doc_id", "part", "start", "windows", "dup", "words"])
+
 def held():
     return sum(map(int, re.findall(r"\\nAnonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
 
 powers(BASE, 1 << 20), powers(INVERSE, 1 << 20)
 before = held()
-for _ in run(batches()):
+for _ in run(sorted_pieces() if "_factor" in "{of}" else batches()):
     pass
 print(held() - before)
 """
@@ -38,7 +43,7 @@ def held_after(of: str) -> float:
     return float(subprocess.run([sys.executable, "-c", TASK.format(of=of)], check=True, capture_output=True, text=True).stdout)
 
 
-@pytest.mark.parametrize("step", ["neardup._sign", "seeds._seed"])
+@pytest.mark.parametrize("step", ["neardup._sign", "seeds._seed", "suffixes._factor"])
 def test_memory_is_given_back_at_the_end_of_a_task(step):
     assert held_after(f"neardup.tidy({step})") < 12 < held_after(step)
 
