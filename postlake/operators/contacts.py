@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import address as A
-from ..functions.text import WS, ascii_lower, bind, blank_to_null, trim_ws
+from ..functions.text import WS, ascii_lower, bind, blank_to_null, tokens, trim_ws
 
 GREETINGS = "hi|hello|dear|bonjour|salut|hola|buenos|hallo|hej|ciao|dzień dobry|witam"
 #: What follows a name without a comma, in the order in which it is looked for.
@@ -42,15 +42,20 @@ def salutation_name(line: Column) -> Column:
 def signature_entities(signature: Column) -> Column:
     """struct(emails, phones, urls, organization_lines, title_lines, address_lines, is_partial); marks count inside words."""
 
-    def of(s: Column) -> Column:
+    def of(x: Column) -> Column:
+        """x: struct(s, words, rows); the rows as struct(line, low)."""
+        words = x["words"]
+        some = lambda test: F.array_distinct(F.transform(F.filter(x["rows"], test), lambda r: r["line"]))
+        has = lambda marks: lambda r: r["low"].rlike(marks)
+        placed = lambda r: r["low"].rlike(PLACE) | (F.regexp_count(r["line"], F.lit("[0-9]")) >= 4)
+        found = F.struct(A.email_tokens_of(words).alias("emails"), A.phone_tokens_of(words).alias("phones"), A.url_tokens_of(words).alias("urls"), some(has(ORGANISATION)).alias("organization_lines"), some(has(TITLE)).alias("title_lines"), some(placed).alias("address_lines"))
+        return bind(found, lambda e: F.struct(*(e[k].alias(k) for k in ("emails", "phones", "urls", "organization_lines", "title_lines", "address_lines")), ((F.size(e["emails"]) == 0) & (F.size(e["phones"]) == 0) & (x["s"] != "")).alias("is_partial")))
+
+    def split(s: Column) -> Column:
         rows = F.filter(F.transform(F.split(s, r"\r?\n"), trim_ws), lambda x: x != "")
-        some = lambda test: F.array_distinct(F.filter(rows, test))
-        has = lambda words: lambda x: ascii_lower(x).rlike(words)
-        placed = lambda x: ascii_lower(x).rlike(PLACE) | (F.regexp_count(x, F.lit("[0-9]")) >= 4)
-        found = F.struct(A.email_tokens(s).alias("emails"), A.phone_tokens(s).alias("phones"), A.url_tokens(s).alias("urls"), some(has(ORGANISATION)).alias("organization_lines"), some(has(TITLE)).alias("title_lines"), some(placed).alias("address_lines"))
-        return bind(found, lambda e: F.struct(*(e[k].alias(k) for k in ("emails", "phones", "urls", "organization_lines", "title_lines", "address_lines")), ((F.size(e["emails"]) == 0) & (F.size(e["phones"]) == 0) & (s != "")).alias("is_partial")))
+        return F.struct(s.alias("s"), tokens(s).alias("words"), F.transform(rows, lambda x: F.struct(x.alias("line"), ascii_lower(x).alias("low"))).alias("rows"))
 
-    return bind(F.coalesce(trim_ws(signature), F.lit("")), of)
+    return bind(bind(F.coalesce(trim_ws(signature), F.lit("")), split), of)
 
 
 def _hint(**given: Column) -> Column:

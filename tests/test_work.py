@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from postlake.functions import address
+from postlake.operators import contacts
 
 
 def plan_of(spark, made):
@@ -16,3 +17,8 @@ def test_url_tokens_make_each_step_once(spark):
     words = " ".join(["word", "end.", "...", "a.example", "http://x", "[t](HTTPS://B.example/p)", "<www.c.example>", "me@d.example", "e..f"] * 200)
     found = spark.createDataFrame([(words,)], "s string").select(address.url_tokens(F.col("s"))).first()[0]
     assert found == ["https://a.example", "HTTPS://B.example/p", "https://www.c.example", "https://e..f"]
+
+
+def test_signature_entities_split_a_text_once(spark):
+    plan = plan_of(spark, contacts.signature_entities)
+    assert plan.count("split(") == 2 and plan.count("regexp_") + plan.count("RLIKE") < 60
