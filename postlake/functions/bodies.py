@@ -29,19 +29,22 @@ def strip_footer(c: Column) -> Column:
     The footer begins at the first footer line in the last two thirds if it and what follows
     have two such lines and a strong one; later lines have no more of them after them.
     """
-    low = lambda x: ascii_lower(trim_ws(x))
-    footer = lambda x: low(x).rlike(FOOTER)
+    footer = lambda x: x["low"].rlike(FOOTER)
 
     def cut_lines(all_: Column) -> Column:
         n = F.size(all_)
         first = F.array_position(F.transform(all_, lambda x, i: (i >= F.floor(n / 3)) & footer(x)), True).cast("int")
-        rest = F.slice(all_, F.greatest(first, F.lit(1)), n)
-        cut = (first > 0) & (F.size(F.filter(rest, footer)) >= 2) & F.exists(rest, lambda x: low(x).rlike(STRONG))
-        return F.when(cut, F.slice(all_, 1, first - 1)).otherwise(all_)
+
+        def by(first: Column) -> Column:
+            rest = F.slice(all_, F.greatest(first, F.lit(1)), n)
+            cut = (first > 0) & F.exists(rest, lambda x: x["low"].rlike(STRONG)) & (F.size(F.filter(rest, footer)) >= 2)
+            return F.when(cut, F.slice(all_, 1, first - 1)).otherwise(all_)
+
+        return bind(first, by)
 
     def cut_tail(kept: Column) -> Column:
-        at = F.array_position(F.transform(kept, lambda x, i: (i >= F.floor(F.size(kept) / 2)) & low(x).rlike("|".join(TAILS))), True).cast("int")
-        return F.when(at > 0, F.slice(kept, 1, at - 1)).otherwise(kept)
+        at = F.array_position(F.transform(kept, lambda x, i: (i >= F.floor(F.size(kept) / 2)) & x["low"].rlike("|".join(TAILS))), True).cast("int")
+        return bind(at, lambda at: F.when(at > 0, F.slice(kept, 1, at - 1)).otherwise(kept))
 
     def cut_marks(t: Column) -> Column:
         def by(low: Column) -> Column:
@@ -54,12 +57,17 @@ def strip_footer(c: Column) -> Column:
         return bind(ascii_lower(t), by)
 
     def of(all_: Column) -> Column:
+        """all_: struct(line, low) of the lines."""
         plain = lambda some: F.when(F.size(some) > 0, some).otherwise(all_)
-        some = bind(F.filter(all_, lambda x: ~low(x).rlike(IMAGE_LINES)), plain)
-        text = bind(bind(some, cut_lines), lambda kept: trim_ws(F.array_join(cut_tail(kept), "\n")))
-        return F.when(F.size(all_) < 4, trim_ws(c)).otherwise(bind(text, cut_marks))
+        some = bind(F.filter(all_, lambda x: ~x["low"].rlike(IMAGE_LINES)), plain)
+        return bind(bind(some, cut_lines), lambda kept: trim_ws(F.array_join(F.transform(cut_tail(kept), lambda x: x["line"]), "\n")))
+
+    def by(all_: Column) -> Column:
+        # each line is trimmed and lowered once, for every rule
+        read = F.transform(all_, lambda x: F.struct(x.alias("line"), ascii_lower(trim_ws(x)).alias("low")))
+        return F.when(F.size(all_) < 4, trim_ws(c)).otherwise(bind(bind(read, of), cut_marks))
 
-    return bind(lines(c), of)
+    return bind(lines(c), by)
 
 
 def canonical_body(text: Column, html: Column) -> Column:
